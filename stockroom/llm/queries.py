@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockroom.llm import packing, sharding, token_counts
+from stockroom.llm import packing, quality_rules, range_join, sharding, simhash, token_counts
 from stockroom.llm.scratch import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), new_path(spark, "token-cache"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of all documents and the verdict of the rule cascade."""
+    return quality_rules.judged(table(spark, sf_dir, "documents")).select(*quality_rules.QUERY_COLUMNS)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes; equal texts stay together."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -38,10 +43,23 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings that have a cosine of 0.9 or more."""
+    return range_join.range_links(table(spark, sf_dir, "embeddings"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents whose fingerprints of 3-word shingles differ in 3 bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op6_range_join": op6_range_join,
+    "op9_simhash": op9_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE_SQL}
