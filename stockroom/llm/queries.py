@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockroom.llm import packing, quality_rules, range_join, sharding, simhash, token_counts
+from stockroom.llm import packing, quality_model, quality_rules, range_join, sharding, simhash, token_counts
 from stockroom.llm.scratch import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -48,6 +48,12 @@ def op6_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join.range_links(table(spark, sf_dir, "embeddings"))
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a model of the labels outside fold 0."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.scores(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents whose fingerprints of 3-word shingles differ in 3 bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op6_range_join": op6_range_join,
+    "op8_quality_model": op8_quality_model,
     "op9_simhash": op9_simhash,
 }
 
