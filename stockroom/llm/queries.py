@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockroom.llm import packing, quality_model, quality_rules, range_join, sharding, simhash, token_counts
+from stockroom.llm import mixing, packing, quality_model, quality_rules, range_join, sharding, simhash, token_counts, url_lists
 from stockroom.llm.scratch import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,6 +43,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the probability that mixing gives them, and whether they are drawn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mixed(docs).select("doc_id", "tokens", "topic", "probability", "sampled")
+
+
 def op6_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings that have a cosine of 0.9 or more."""
     return range_join.range_links(table(spark, sf_dir, "embeddings"))
@@ -59,14 +65,26 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages against the list entries active when they were fetched."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_lists.filter_urls(url_lists.captures(pages), url_lists.derived_lists(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_mixing": op5_mixing,
     "op6_range_join": op6_range_join,
     "op8_quality_model": op8_quality_model,
     "op9_simhash": op9_simhash,
+    "op10_url_lists": op10_url_lists,
 }
 
-ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality_rules.ORACLE_SQL,
+    "op5_mixing": mixing.oracle_sql(),
+    "op10_url_lists": url_lists.ORACLE_SQL,
+}
