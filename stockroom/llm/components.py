@@ -26,12 +26,12 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pointers = stored(ends.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to")), "pointers")
-        while True:
-            further = stored(pointers.join(pointers.select(F.col("node").alias("to"), F.col("to").alias("end")), "to").select("node", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")), "pointers")
+        moved = True
+        while moved:
+            step = pointers.select(F.col("node").alias("to"), F.col("to").alias("end"))
+            further = stored(pointers.join(step, "to").select("node", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")), "pointers")
             moved = not further.where("moved").isEmpty()
             pointers = further.select("node", "to")
-            if not moved:
-                break
         edges = _edges(
             edges.join(pointers.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(pointers.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         )

@@ -113,4 +113,4 @@ def pack(
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, **how) -> DataFrame:
     """The pieces of ``docs`` (doc_id, text) with their places; see ``pieces`` and ``pack``."""
-    return pack(stored(pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id), "pieces"), capacity=capacity, **how)
+    return pack(stored(pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id), "pieces", batch_rows=500), capacity=capacity, **how)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockroom.llm import mixing, packing, quality_model, quality_rules, range_join, sharding, simhash, token_counts, url_lists
+from stockroom.llm import languages, mixing, packing, quality_model, quality_rules, range_join, sharding, simhash, token_counts, url_lists
 from stockroom.llm.scratch import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -54,6 +54,11 @@ def op6_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join.range_links(table(spark, sf_dir, "embeddings"))
 
 
+def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all pages; the text model is fitted on documents."""
+    return languages.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by a model of the labels outside fold 0."""
     docs = table(spark, sf_dir, "documents")
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
     "op6_range_join": op6_range_join,
+    "op7_languages": op7_languages,
     "op8_quality_model": op8_quality_model,
     "op9_simhash": op9_simhash,
     "op10_url_lists": op10_url_lists,

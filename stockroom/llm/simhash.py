@@ -133,9 +133,9 @@ def _probes(part: int, key: Column, flips: list[int]) -> Column:
 
 
 def links(distinct: DataFrame, *, k: int = 3, sample_rows: int = 2000) -> DataFrame:
-    """(a, b) with a < b: all pairs of the fingerprints ``distinct`` (column fp, no repeats) at 1 to k bits."""
+    """(a, b): the nodes of all pairs of fingerprints of ``distinct`` (fp, node; no fp twice) at 1 to ``k`` bits."""
     rows = distinct.count()
-    drawn = [r.fp for r in distinct.orderBy(F.xxhash64("fp")).limit(sample_rows).collect()]
+    drawn = [r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(sample_rows).collect()]
     bits = np.unpackbits(np.array(drawn, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     stored_keys, probes = [], []
     for i, (part, t) in enumerate(plan(bits, rows, k)):
@@ -143,12 +143,17 @@ def links(distinct: DataFrame, *, k: int = 3, sample_rows: int = 2000) -> DataFr
         stored_keys.append(F.struct(F.lit(i).alias("part"), key.alias("key")))
         flips = [_signed(sum(1 << b for b in flip)) for j in range(t + 1) for flip in combinations(part, j)]
         probes.append(_probes(i, key, flips))
-    index = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*stored_keys)).alias("at")).select("b", "at.part", "at.key")
-    probe = distinct.select(F.col("fp").alias("a"), F.explode(F.concat(*probes)).alias("at")).select("a", "at.part", "at.key")
-    return probe.join(index, (probe.part == index.part) & (probe.key == index.key) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= k)).select("a", "b").distinct()
+    index = distinct.select(F.col("fp").alias("y"), F.col("node").alias("b"), F.explode(F.array(*stored_keys)).alias("at")).select("y", "b", "at.part", "at.key")
+    probe = distinct.select(F.col("fp").alias("x"), F.col("node").alias("a"), F.explode(F.concat(*probes)).alias("at")).select("x", "a", "at.part", "at.key")
+    close = (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= k)
+    return probe.join(index, (probe.part == index.part) & (probe.key == index.key) & close).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, k: int = 3, sample_rows: int = 2000) -> DataFrame:
+#: Nodes of fingerprints all of whose rows lack a doc_id lie from here up; a doc_id must be below.
+NO_ID = 1 << 62
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, k: int = 3, sample_rows: int = 2000, batch_rows: int = 500) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for each row of ``docs`` (doc_id, text).
 
     Rows are in one component if a chain of fingerprints, each at most ``k`` bits from the next, leads
@@ -156,10 +161,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, k: int = 3, sample_row
     same fingerprint (copies, all texts without words) are one node, so copies are never paired. Repeated
     rows and rows without doc_id return a row each. Empty in, empty out.
     """
-    own = stored(fingerprints(docs, shingle=shingle), "fingerprints")
-    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    found = components(links(distinct.select("fp"), k=k, sample_rows=sample_rows))
-    rooted = stored(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    of = stored(rooted.join(least, "root").select("fp", "component_id"), "component-of")
+    own = stored(fingerprints(docs, shingle=shingle), "fingerprints", batch_rows=batch_rows)
+    numberless = F.lit(NO_ID) + F.shiftrightunsigned("fp", 2)
+    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.coalesce("first", numberless).alias("node")), "distinct-fingerprints")
+    found = components(links(distinct, k=k, sample_rows=sample_rows))
+    root = F.coalesce("root", "node")
+    of = stored(distinct.join(found, "node", "left").select("fp", F.when(root < NO_ID, root).alias("component_id")), "component-of")
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from stockroom.llm.encoding import encoder
+from stockroom.llm.scratch import batches_of
 
 CACHE_SCHEMA = "content binary, n_tokens long, tokenizer string"
 
@@ -66,7 +67,8 @@ def count_tokens(
 
     distinct = docs.select(digest.alias("content"), content.alias("body")).groupBy("content").agg(F.first("body").alias("body"))
     misses = distinct.join(known, "content", "left_anti")
-    misses.mapInPandas(encode, "content binary, n_tokens long").withColumn("tokenizer", F.lit(version)).write.partitionBy("tokenizer").mode("append").parquet(cache_path)
+    with batches_of(spark, 500):
+        misses.mapInPandas(encode, "content binary, n_tokens long").withColumn("tokenizer", F.lit(version)).write.partitionBy("tokenizer").mode("append").parquet(cache_path)
 
     stored = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens")
     rows = docs.select(*keep, F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), digest.alias("content"))
