@@ -26,69 +26,82 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _repeated(hashes: Column) -> Column:
-    """Words in windows of ``WINDOW`` words found twice or more, from the words' hashes."""
+def _combined(hashes: Column, span: int) -> Column:
+    """Hashes of runs of 2 * ``span`` elements from those of runs of ``span``."""
+    n = F.size(hashes) - span
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(span + 1), n), lambda a, b: F.xxhash64(a, b))
+
 
-    def covered(keys: Column) -> Column:
-        def from_sorted(s: Column) -> Column:
-            twice = F.filter(s, lambda x, j: (x["key"] == F.get(s, j - 1)["key"]) | (x["key"] == F.get(s, j + 1)["key"]))
-            places = F.array_sort(F.transform(F.when(F.size(s) > 0, twice), lambda x: x["at"]))
-            start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
-            step = lambda acc, at: F.struct((at + WINDOW).alias("end"), (acc["n"] + at + WINDOW - F.greatest(acc["end"], at)).alias("n"))
-            return F.aggregate(places, start, step, lambda acc: acc["n"])
+def _covered(windows: Column) -> Column:
+    """Elements in windows of ``WINDOW`` that are found twice or more."""
 
-        pairs = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("key"), i.alias("at"))))
-        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0)).otherwise(let(pairs, from_sorted))
+    def from_sorted(s: Column) -> Column:
+        # get(s, -1) is null, and so is get(s, size): neither equals a key
+        twice = F.filter(s, lambda x, j: (x["key"] == F.get(s, j - 1)["key"]) | (x["key"] == F.get(s, j + 1)["key"]))
+        places = F.array_sort(F.transform(twice, lambda x: x["at"]))
+        start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+        step = lambda acc, at: F.struct((at + WINDOW).alias("end"), (acc["n"] + at + WINDOW - F.greatest(acc["end"], at)).alias("n"))
+        return F.aggregate(places, start, step, lambda acc: acc["n"])
 
-    # get(s, -1) is null, and so is get(s, size): neither equals a key
-    windows = F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
-    return F.when(F.size(hashes) <= WINDOW, F.lit(0)).otherwise(let(windows, covered))
+    pairs = F.array_sort(F.transform(windows, lambda k, i: F.struct(k.alias("key"), i.alias("at"))))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(pairs, from_sorted))
+
+
+def _repeated(hashes: Column) -> Column:
+    """Words in windows of ``WINDOW`` (8) words found twice or more, from the words' hashes.
+
+    A window found twice holds a run of four found twice, which most texts don't have.
+    """
+    fours = let(_combined(hashes, 1), lambda two: _combined(two, 2))
+    of_fours = lambda four: F.when(F.size(F.array_distinct(four)) == F.size(four), F.lit(0)).otherwise(let(_combined(four, 4), _covered))
+    return F.when(F.size(hashes) <= WINDOW, F.lit(0)).otherwise(let(fours, of_fours))
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stutter (words equal to
-    the one before them), all long, and base_failed to ``docs``.
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct (distinct words), all long, and base_failed.
 
     Null and empty texts have no words and fail. Windows are told apart by 64-bit hashes of their words'
     hashes. A text of any length is measured whole, in time n log n of its words. Existing columns with
     these names are replaced.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(body, SPACE + "+"), lambda w: w != "")
+    words = F.array_remove(F.split(body, SPACE + "+"), "")
     lines = F.filter(F.split(body, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    found = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).alias("n_words"), _repeated(h).alias("n_repeat_words"), F.size(F.filter(h, lambda x, i: x == F.get(h, i - 1))).alias("n_stutter")))
+    of_hashes = lambda h: F.struct(F.size(h).alias("n_words"), _repeated(h).alias("n_repeat_words"), F.size(F.array_distinct(h)).alias("n_distinct"))
+    of_words = lambda w: F.struct(let(F.transform(w, lambda x: F.xxhash64(x)), of_hashes).alias("h"), F.length(F.array_join(w, "")).alias("word_chars"))
     counted = docs.withColumns(
         {
-            "_words": found,
-            "word_chars": (F.length(body) - F.regexp_count(body, F.lit(SPACE))).cast("long"),
+            "_words": let(words, of_words),
             "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         }
     )
-    counted = counted.withColumns({n: F.col(f"_words.{n}").cast("long") for n in ("n_words", "n_repeat_words", "n_stutter")}).drop("_words")
+    counted = counted.withColumns({n: F.col(f"_words.h.{n}").cast("long") for n in ("n_words", "n_repeat_words", "n_distinct")} | {"word_chars": F.col("_words.word_chars").cast("long")}).drop("_words")
     return counted.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def standard_rules(text: str = "text") -> dict[str, Column]:
     """Rules on the columns of ``measured``; true rejects."""
     body = F.coalesce(F.col(text), F.lit(""))
-    upper, letters = F.regexp_count(body, F.lit(r"\p{Lu}")), F.regexp_count(body, F.lit(r"\p{L}"))
+    upper = F.regexp_count(body, F.lit(r"\p{Lu}"))
     return {
         "base": F.col("base_failed"),
         "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
         "long words": F.col("word_chars") > 20 * F.col("n_words"),
         "repeated lines": 2 * F.col("n_dup_lines") > F.size(F.split(body, "\n", -1)),
-        "stutter": 5 * F.col("n_stutter") > F.col("n_words"),
-        "shouting": 2 * upper > letters,
+        "few words": 5 * F.col("n_distinct") < F.col("n_words"),
+        "shouting": 10 * upper > 3 * F.col("word_chars"),
     }
 
 
-def order_rules(docs: DataFrame, rules: dict[str, Column], *, sample_rows: int = 1000, seed: int = 7) -> list[str]:
-    """Names of ``rules`` by share rejected per second, most first, as measured on a sample of ``docs``."""
-    n = docs.count()
-    if not n:
-        return list(rules)
-    sample = stored(docs.sample(min(1.0, sample_rows / n), seed=seed), "rule-sample").coalesce(4)
+def sampled(docs: DataFrame, rows: int, seed: int = 7) -> DataFrame:
+    """About ``rows`` rows of ``docs``, drawn at random from all of it."""
+    return docs.sample(min(1.0, rows / max(docs.count(), 1)), seed=seed)
+
+
+def order_rules(sample: DataFrame, rules: dict[str, Column]) -> list[str]:
+    """Names of ``rules`` by share rejected per second, most first, as measured on ``sample``."""
+    sample = stored(sample, "rule-sample").coalesce(4)
 
     def timed(rule: Column) -> tuple[float, float]:
         best, share = float("inf"), 0.0
@@ -106,12 +119,13 @@ def order_rules(docs: DataFrame, rules: dict[str, Column], *, sample_rows: int =
     return sorted(rules, key=lambda name: -ranks[name])
 
 
-def cascade(docs: DataFrame, rules: dict[str, Column], *, sample_rows: int = 1000, seed: int = 7) -> DataFrame:
-    """Adds failed_rule to ``docs``: the first rule, in the measured order, that rejects the row, else null.
+def cascade(docs: DataFrame, rules: dict[str, Column], sample: DataFrame) -> DataFrame:
+    """Adds failed_rule to ``docs``: the first rule, in the order measured on ``sample``, that rejects the row, else null.
 
-    A rule that gives null on a row doesn't reject it. Later rules are not evaluated on a rejected row.
+    A rule that gives null on a row doesn't reject it. Later rules are not evaluated on a rejected row. With an
+    empty sample the rules keep their order.
     """
-    names = order_rules(docs, rules, sample_rows=sample_rows, seed=seed)
+    names = order_rules(sample, rules)
     if not names:
         return docs.withColumn("failed_rule", F.lit(None).cast("string"))
     verdict = reduce(lambda chain, name: chain.when(rules[name], F.lit(name)), names[1:], F.when(rules[names[0]], F.lit(names[0])))
@@ -120,7 +134,7 @@ def cascade(docs: DataFrame, rules: dict[str, Column], *, sample_rows: int = 100
 
 def judged(docs: DataFrame, *, sample_rows: int = 1000) -> DataFrame:
     """``docs`` (doc_id, text) with the base measures, base_failed and kept by the standard rules."""
-    out = cascade(measured(docs), standard_rules(), sample_rows=sample_rows)
+    out = cascade(measured(docs), standard_rules(), measured(sampled(docs, sample_rows)))
     return out.withColumn("kept", F.col("failed_rule").isNull())
 
 
@@ -138,13 +152,12 @@ m AS (SELECT doc_id, t, CAST(len(ws) AS BIGINT) AS n_words,
              CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
-             len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_stutter,
-             CAST(length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS BIGINT) AS upper,
-             CAST(length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS BIGINT) AS letters
+             len(list_distinct(ws)) AS n_distinct,
+             CAST(length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS BIGINT) AS upper
       FROM w LEFT JOIN c USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR word_chars > 20 * n_words
-            OR 2 * n_dup_lines > len(string_split(t, chr(10))) OR 5 * n_stutter > n_words OR 2 * upper > letters) AS kept
+            OR 2 * n_dup_lines > len(string_split(t, chr(10))) OR 5 * n_distinct < n_words OR 10 * upper > 3 * word_chars) AS kept
 FROM b
 """

@@ -168,3 +168,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, k: int = 3, sample_row
     root = F.coalesce("root", "node")
     of = stored(distinct.join(found, "node", "left").select("fp", F.when(root < NO_ID, root).alias("component_id")), "component-of")
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, shingle: int = 5, k: int = 3) -> DataFrame:
+    """One row of ``docs`` (with doc_id and text) for each component of near duplicates: its smallest doc_id.
+
+    Of rows that share that doc_id one stays. Rows without doc_id are compared by equal texts alone.
+    """
+    named = docs.where("doc_id IS NOT NULL")
+    groups = near_duplicates(named, shingle=shingle, k=k)
+    chosen = stored(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "chosen")
+    once = named.join(chosen.where("n = 1"), "doc_id", "left_semi")
+    again = named.join(chosen.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
