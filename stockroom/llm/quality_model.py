@@ -159,8 +159,10 @@ def scores(docs: DataFrame, model: Model | None, *, threshold: float = 0.3, keep
         return docs.select(*keep, held.alias("held_out"), F.lit(0.5).alias("score"), F.lit(int(0.5 >= threshold)).alias("predicted"))
 
     @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.vstack(x.to_numpy())) if len(x) else np.zeros(0))
+    def score(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(model.score(x.to_numpy(np.float64)))
 
-    scored = docs.select(*keep, held.alias("held_out"), score(statistics(F.col("text"))).alias("score"))
+    # taken apart into columns, the statistics are computed by Spark once, before the rows go to Python
+    columns = F.struct(*(F.get("_x", F.lit(i)).alias(f"x{i}") for i in range(len(model.mean))))
+    scored = docs.select(*keep, held.alias("held_out"), statistics(F.col("text")).alias("_x")).withColumn("score", score(columns)).drop("_x")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
