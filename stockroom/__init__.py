@@ -1,0 +1 @@
+"""Catalogue routing and page enrichment as Spark jobs."""
