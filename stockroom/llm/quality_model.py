@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,11 +159,14 @@ def scores(docs: DataFrame, model: Model | None, *, threshold: float = 0.3, keep
     if model is None:
         return docs.select(*keep, held.alias("held_out"), F.lit(0.5).alias("score"), F.lit(int(0.5 >= threshold)).alias("predicted"))
 
-    @F.pandas_udf("double")
-    def score(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(model.score(x.to_numpy(np.float64)))
-
-    # taken apart into columns, the statistics are computed by Spark once, before the rows go to Python
-    columns = F.struct(*(F.get("_x", F.lit(i)).alias(f"x{i}") for i in range(len(model.mean))))
-    scored = docs.select(*keep, held.alias("held_out"), statistics(F.col("text")).alias("_x")).withColumn("score", score(columns)).drop("_x")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(batch.num_columns - 1)
+            score = model.score(x.flatten().to_numpy().reshape(len(x), -1)) if len(x) else np.zeros(0)
+            columns = [*batch.columns[:-1], pa.array(score, pa.float64()), pa.array(score >= threshold).cast(pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "score", "predicted"])
+
+    # a step of its own: the statistics are computed before it, and filters on the score stay after it
+    rows = docs.select(*keep, held.alias("held_out"), statistics(F.col("text")).alias("_x"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]), "score double, predicted int"])
+    return rows.mapInArrow(apply, schema)
