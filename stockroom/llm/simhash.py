@@ -170,14 +170,95 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, k: int = 3, sample_row
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, *, shingle: int = 5, k: int = 3) -> DataFrame:
-    """One row of ``docs`` (with doc_id and text) for each component of near duplicates: its smallest doc_id.
+# Near duplicates by similarity -------------------------------------------------------------------------------
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, in order; of a text with fewer words, the hash of all of them."""
+    from xxhash import xxh64_intdigest
+
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64))
+
+
+def views_of(hashes: np.ndarray, views: int, sample: int) -> list[int]:
+    """SimHash fingerprints of ``views`` samples: of each view the ``sample`` shingles with the smallest salted hashes.
+
+    Two texts with a share J of their shingles in common have the same sample in a view with a chance of
+    about J to the power of ``sample``.
+    """
+    if not len(hashes):
+        return [0] * views
+    salts = (np.arange(1, views + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    mixed = (hashes[None, :] ^ salts) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    n = min(sample, len(hashes))
+    least = np.argpartition(mixed, n - 1, axis=1)[:, :n]
+    bits = np.unpackbits(np.take_along_axis(mixed, least, axis=1).astype("<u8").view(np.uint8).reshape(views, n, 8), axis=2, bitorder="little")
+    return np.packbits(2 * bits.sum(axis=1) > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
+
+
+def similar_documents(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, k: int = 3, views: int = 14, sample: int = 4, leaders: int = 3, batch_rows: int = 500) -> DataFrame:
+    """(doc_id, component_id) for each distinct text's smallest doc_id of ``docs`` (doc_id, text).
+
+    Texts are linked if their sets of word shingles have a Jaccard similarity of ``similarity`` or more, found
+    among two kinds of candidates: fingerprints of the whole texts at most ``k`` bits apart, by the general
+    pigeonhole; and texts with the same fingerprint in one of ``views`` samples. Whole fingerprints alone don't
+    reach this similarity: at 0.8 they differ in about ten bits. In a bucket of a view each text meets the
+    smallest doc_id and ``leaders`` others, drawn by hash, never all; every candidate is verified on whole
+    texts. Texts with the same words are one node. component_id is the smallest doc_id reachable.
+    """
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            words = [(t or "").encode().lower().split() for t in batch["text"]]
+            seen = [views_of(shingle_hashes(w, shingle), views, sample) for w in words]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": [xxh3_128_digest(b" ".join(w)) for w in words], "fp": [simhash(t, shingle) for t in batch["text"]], "views": seen})
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes = [np.unique(shingle_hashes((t or "").encode().lower().split(), shingle).astype(np.uint32)).view(np.int32) for t in batch["text"]]
+            yield pd.DataFrame({"node": batch["doc_id"], "shingles": hashes})
+
+    own = stored(named.mapInPandas(apply, "doc_id long, content binary, fp long, views array<long>"), "sketches", batch_rows=batch_rows)
+    first = F.min_by(F.struct("fp", "views"), "doc_id").alias("s")
+    nodes = stored(own.groupBy("content").agg(F.min("doc_id").alias("node"), first).select("node", "s.fp", "s.views"), "texts")
+
+    # buckets of the views, and of equal whole fingerprints
+    bucket = F.posexplode(F.concat("views", F.array("fp"))).alias("view", "key")
+    rows = nodes.select("node", bucket)
+    drawn = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(leaders)]
+    heads = stored(rows.groupBy("view", "key").agg(F.count("*").alias("n"), F.min("node").alias("least"), *drawn).where("n > 1"), "buckets")
+    met = stored(rows, "views").join(heads, ["view", "key"]).select("node", F.explode(F.array_distinct(F.array("least", *(f"l{i}" for i in range(leaders))))).alias("other"))
+    near = links(stored(nodes.groupBy("fp").agg(F.min("node").alias("node")), "distinct-fingerprints"), k=k)
+    both = met.unionByName(near.select(F.col("a").alias("node"), F.col("b").alias("other")))
+    pairs = stored(both.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "candidates")
+
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
+    texts = named.join(wanted, "doc_id", "left_semi").mapInPandas(sets, "node long, shingles array<int>")
+    held = stored(texts.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles", batch_rows=batch_rows)
+    of = lambda end, name: held.select(F.col("node").alias(end), F.col("shingles").alias(name))
+    common = F.size(F.array_intersect("x", "y"))
+    share = F.col("common") / (F.size("x") + F.size("y") - F.col("common"))
+    verified = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").withColumn("common", common).where(share >= similarity).select("a", "b")
+    found = components(verified)
+    return nodes.select("node").join(found, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """One row of ``docs`` (with doc_id and text) for each component of ``similar_documents``: its smallest doc_id.
 
     Of rows that share that doc_id one stays. Rows without doc_id are compared by equal texts alone.
     """
     named = docs.where("doc_id IS NOT NULL")
-    groups = near_duplicates(named, shingle=shingle, k=k)
-    chosen = stored(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "chosen")
-    once = named.join(chosen.where("n = 1"), "doc_id", "left_semi")
-    again = named.join(chosen.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    chosen = stored(similar_documents(docs, **how).where("doc_id = component_id").select("doc_id").distinct(), "chosen")
+    counted = stored(named.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n")), "chosen-rows")
+    once = named.join(counted.where("n = 1"), "doc_id", "left_semi")
+    again = named.join(counted.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(again).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
