@@ -258,7 +258,10 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """
     named = docs.where("doc_id IS NOT NULL")
     chosen = stored(similar_documents(docs, **how).where("doc_id = component_id").select("doc_id").distinct(), "chosen")
-    counted = stored(named.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n")), "chosen-rows")
-    once = named.join(counted.where("n = 1"), "doc_id", "left_semi")
-    again = named.join(counted.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    counted = stored(named.select("doc_id").join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n")), "chosen-rows")
+    # the ids grow with the corpus, so they are shuffled to the texts at every size
+    kept = named.join(counted.where("n = 1").hint("merge"), "doc_id", "left_semi")
+    repeated = counted.where("n > 1")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
