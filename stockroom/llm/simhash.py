@@ -201,15 +201,82 @@ def views_of(hashes: np.ndarray, views: int, sample: int) -> list[int]:
     return np.packbits(2 * bits.sum(axis=1) > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
-def similar_documents(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, k: int = 3, views: int = 14, sample: int = 4, leaders: int = 3, batch_rows: int = 500) -> DataFrame:
+def block_roots(sets: list[np.ndarray], left: int, similarity: float) -> np.ndarray:
+    """For each of ``sets`` (of distinct hashes) the smallest position that links between two sides lead to.
+
+    The first ``left`` sets meet all others; if they are all, each meets each. Only pairs that are in one
+    component already are not compared.
+    """
+    n = len(sets)
+    start = 0 if left == n else left
+    sizes = np.array([len(s) for s in sets[start:]])
+    values, owners = np.concatenate(sets[start:]), np.repeat(np.arange(n - start), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    root = np.arange(n)
+    for i in range(left):
+        own = sets[i]
+        if not len(own) or (root[start:] == root[i]).all():
+            continue
+        low = np.searchsorted(values, own, "left")
+        times = np.searchsorted(values, own, "right") - low
+        at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+        common = np.bincount(owners[at], minlength=n - start)
+        near = np.flatnonzero(common >= similarity * (len(own) + sizes - common))
+        joined = np.unique(np.append(root[start + near], root[i]))
+        if len(joined) > 1:
+            root[np.isin(root, joined)] = joined[0]
+    return root
+
+
+def links_in_blocks(sides: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): star links of the local components of each pair of blocks of ``sides`` (bucket, lo, hi, own, node, shingles).
+
+    A task reads its pairs of blocks one after another, and holds one of them.
+    """
+
+    def pair(rows: list[pd.DataFrame]) -> pd.DataFrame:
+        both = pd.concat(rows).sort_values("own", kind="stable")
+        # a block against itself has one side
+        left = int((both["own"] == both["lo"]).sum())
+        node = both["node"].to_numpy()
+        root = block_roots([np.asarray(x) for x in both["shingles"]], left, similarity) if left else np.arange(len(node))
+        linked = root != np.arange(len(node))
+        return pd.DataFrame({"a": node[linked], "b": node[root[linked]]})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, of = [], None
+        for batch in batches:
+            key = batch[["bucket", "lo", "hi"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(key)]
+            found = []
+            for at, end in zip(cuts, cuts[1:]):
+                if at == end:
+                    continue
+                if held and tuple(key[at]) != of:
+                    found.append(pair(held))
+                    held = []
+                of = tuple(key[at])
+                held.append(batch.iloc[at:end])
+            if found:
+                yield pd.concat(found)
+        if held:
+            yield pair(held)
+
+    return sides.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInPandas(compare, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, k: int = 3, views: int = 14, sample: int = 4, block_rows: int = 512, batch_rows: int = 500) -> DataFrame:
     """(doc_id, component_id) for each distinct text's smallest doc_id of ``docs`` (doc_id, text).
 
     Texts are linked if their sets of word shingles have a Jaccard similarity of ``similarity`` or more, found
     among two kinds of candidates: fingerprints of the whole texts at most ``k`` bits apart, by the general
     pigeonhole; and texts with the same fingerprint in one of ``views`` samples. Whole fingerprints alone don't
-    reach this similarity: at 0.8 they differ in about ten bits. In a bucket of a view each text meets the
-    smallest doc_id and ``leaders`` others, drawn by hash, never all; every candidate is verified on whole
-    texts. Texts with the same words are one node. component_id is the smallest doc_id reachable.
+    reach this similarity: at 0.8 they differ in about ten bits. All texts with the same fingerprint in a view,
+    and all that a link of whole fingerprints brings together, are a bucket, in which each text meets each:
+    a bucket is cut into blocks of about ``block_rows``, and each pair of blocks is compared by itself, on
+    whole texts. Buckets with the same texts are compared once. Texts with the same words are one node.
+    component_id is the smallest doc_id reachable.
     """
     named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
 
@@ -230,24 +297,26 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, shingle: int
     first = F.min_by(F.struct("fp", "views"), "doc_id").alias("s")
     nodes = stored(own.groupBy("content").agg(F.min("doc_id").alias("node"), first).select("node", "s.fp", "s.views"), "texts")
 
-    # buckets of the views, and of equal whole fingerprints
+    # buckets of the views, of equal whole fingerprints, and of links between those
+    distinct = stored(nodes.groupBy("fp").agg(F.min("node").alias("node")), "distinct-fingerprints")
+    near = stored(links(distinct, k=k).select("a", "b", F.explode(F.array("a", "b")).alias("head")), "fingerprint-links")
+    heads = near.join(distinct.select("fp", F.col("node").alias("head")), "head").select("fp", "a", "b")
+    of_links = heads.join(nodes.select("node", "fp"), "fp").select(F.lit(-1).alias("view"), F.col("a").alias("key"), F.col("b").alias("key2"), "node")
     bucket = F.posexplode(F.concat("views", F.array("fp"))).alias("view", "key")
-    rows = nodes.select("node", bucket)
-    drawn = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(leaders)]
-    heads = stored(rows.groupBy("view", "key").agg(F.count("*").alias("n"), F.min("node").alias("least"), *drawn).where("n > 1"), "buckets")
-    met = stored(rows, "views").join(heads, ["view", "key"]).select("node", F.explode(F.array_distinct(F.array("least", *(f"l{i}" for i in range(leaders))))).alias("other"))
-    near = links(stored(nodes.groupBy("fp").agg(F.min("node").alias("node")), "distinct-fingerprints"), k=k)
-    both = met.unionByName(near.select(F.col("a").alias("node"), F.col("b").alias("other")))
-    pairs = stored(both.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "candidates")
-
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
+    members = stored(nodes.select("node", bucket).select("view", "key", F.lit(0).cast("long").alias("key2"), "node").unionByName(of_links), "members")
+    sums = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    filled = members.groupBy("view", "key", "key2").agg(F.count("*").alias("n"), *sums).where("n > 1")
+    buckets = stored(filled.groupBy("n", "x0", "x1").agg(F.min(F.struct("view", "key", "key2")).alias("at")).select("n", "at.*").withColumn("bucket", F.monotonically_increasing_id()), "buckets")
+    met = stored(members.join(buckets, ["view", "key", "key2"]).select("bucket", "n", "node"), "met")
+
+    wanted = stored(met.select(F.col("node").alias("doc_id")).distinct(), "candidate-ids")
     texts = named.join(wanted, "doc_id", "left_semi").mapInPandas(sets, "node long, shingles array<int>")
     held = stored(texts.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles", batch_rows=batch_rows)
-    of = lambda end, name: held.select(F.col("node").alias(end), F.col("shingles").alias(name))
-    common = F.size(F.array_intersect("x", "y"))
-    share = F.col("common") / (F.size("x") + F.size("y") - F.col("common"))
-    verified = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").withColumn("common", common).where(share >= similarity).select("a", "b")
-    found = components(verified)
+    blocks = F.ceil(F.col("n") / block_rows)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")
+    sides = met.join(held, "node").select("bucket", F.pmod(F.xxhash64("node", "bucket"), blocks).alias("own"), "node", "shingles", other)
+    sides = sides.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "shingles")
+    found = components(stored(links_in_blocks(sides, similarity), "verified", batch_rows=batch_rows))
     return nodes.select("node").join(found, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("component_id"))
 
 

@@ -251,6 +251,30 @@ def test_similar_documents(spark):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [512, 16])
+def test_copies_around_a_hub_that_is_not_the_smallest(spark, block_rows):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    hub = [word() for _ in range(200)]
+    copies = []
+    for _ in range(100):  # each at 0.8 or more to the hub, at about 0.67 to the others
+        at = set(rng.sample(range(200), 4))
+        copies.append(" ".join(word() if i in at else w for i, w in enumerate(hub)))
+    df = spark.createDataFrame([*enumerate(copies), (70_000, " ".join(hub))], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, block_rows=block_rows).collect()}
+    assert len(got) == 101 and set(got.values()) == {0}
+
+
+def test_blocks_against_brute_force():
+    rng = np.random.default_rng(8)
+    base = [rng.choice(2000, 40, replace=False) for _ in range(6)]
+    sets = [np.unique(np.append(rng.permutation(base[i % 6])[: rng.integers(30, 41)], rng.integers(0, 2000, 2))).astype(np.int32) for i in range(60)] + [np.zeros(0, np.int32)]
+    alike = lambda x, y: len(set(x) & set(y)) >= 0.7 * len(set(x) | set(y)) > 0
+    for left in (61, 20):
+        want = brute_components(61, [(i, j) for i in range(left) for j in range(0 if left == 61 else left, 61) if i != j and alike(sets[i], sets[j])])
+        assert simhash.block_roots(sets, left, 0.7).tolist() == want
+
+
 def test_isotonic_and_held_out_accuracy(spark):
     x, y = quality_model.isotonic(np.arange(5.0), np.array([0, 0.6, 0.4, 1, 0.9]), np.ones(5))
     assert np.all(np.diff(y) >= 0) and np.interp(1.5, x, y) == 0.5
