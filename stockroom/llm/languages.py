@@ -38,16 +38,20 @@ def trigram_counts(text: str) -> np.ndarray:
     return np.bincount(((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)).astype(np.int64), minlength=BUCKETS)
 
 
-def fit_text_model(labelled: DataFrame, *, train_rows: int = 5000, add: float = 0.5) -> tuple[list[str], np.ndarray]:
+def fit_text_model(labelled: DataFrame, *, train_rows: int = 5000, add: float = 0.5, least_rows: int = 200) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of each bucket in each, from rows (text, lang).
 
-    About ``train_rows`` rows are used, drawn by a hash of the text; each document's counts are scaled to its
-    number of trigrams to the power of a half, so that long documents don't outweigh the rest. Rows without
+    The languages are those of all rows. About ``train_rows`` distinct texts are used, drawn by a hash of the text,
+    but of each language about ``least_rows`` at least, and all if it has fewer; each document's counts are scaled
+    to its number of trigrams to the power of a half, so that long documents don't outweigh the rest. Rows without
     a language are left out.
     """
-    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    share = min(1.0, train_rows / max(known.count(), 1))
-    drawn = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("lang", letters_of(F.col("text")).alias("text"))
+    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", F.xxhash64("text").alias("h"))
+    texts = stored(known.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.count("*").alias("n")), "labelled-languages")
+    share = F.greatest(F.lit(train_rows) / texts.agg(F.sum("n").alias("n")).first()["n"], F.lit(least_rows) / F.col("n")) if not texts.isEmpty() else F.lit(1.0)
+    most = texts.select("lang", (F.least(share, F.lit(1.0)) * (1 << 20)).cast("long").alias("most"))
+    langs = sorted(r.lang for r in texts.select("lang").collect())
+    drawn = known.join(F.broadcast(most), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("most")).dropDuplicates(["lang", "h"]).select("lang", letters_of(F.col("text")).alias("text"))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
@@ -61,7 +65,6 @@ def fit_text_model(labelled: DataFrame, *, train_rows: int = 5000, add: float =
 
     counted = stored(drawn.mapInPandas(sums, "lang string, bucket int, n double"), "trigrams", batch_rows=500)
     table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets at most
-    langs = sorted(table["lang"].unique())
     counts = np.full((len(langs), BUCKETS), add)
     np.add.at(counts, (table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), table["bucket"].to_numpy(int)), table["n"].to_numpy())
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)) if langs else counts

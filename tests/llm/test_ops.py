@@ -314,6 +314,16 @@ def test_languages(spark):
     assert languages.identify(odd, queries.table(spark, SF, "documents").limit(0)).where("lang IS NULL").count() == 2
 
 
+def test_rare_languages_are_kept_and_copies_do_not_fill_the_sample(spark):
+    rows = [(f"the plain words number {i} of this", "en") for i in range(1500)] + [("always the same words", "en")] * 1500 + [(f"mots rares {i}", "fr") for i in range(3)] + [("1 2 3", "xx"), (None, "yy"), ("x", None)]
+    langs, table = languages.fit_text_model(spark.createDataFrame(rows, "text string, lang string"), train_rows=50, least_rows=5)
+    assert langs == ["en", "fr", "xx"] and table.shape == (3, languages.BUCKETS)
+    seen = languages.trigram_counts("always")
+    assert table[1, languages.trigram_counts("mots rares ").nonzero()[0]].min() > table[1].min() == table[1, seen.nonzero()[0]].min()
+    pages = spark.createDataFrame([(1, "http://a.org/", "<html lang='fr'>mots rares mots rares mots rares</html>")], "page_id long, url string, html string")
+    assert languages.identify(pages, spark.createDataFrame(rows, "text string, lang string"), train_rows=50).first().lang == "fr"
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
