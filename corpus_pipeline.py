@@ -16,6 +16,8 @@ from stockroom.llm.queries import table, tokenizer_path
 from stockroom.llm.scratch import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of the tokens that mixing draws.
+MIX_BUDGET = 0.5
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by the probabilities that raking gives them."""
-    return mixing.mixed(docs).where("sampled").select(*COLUMNS)
+    """Documents drawn as often as raking gives them out of a budget of half the tokens.
+
+    A document of a cell that should have more tokens than it holds is repeated.
+    """
+    drawn = mixing.mixed(docs, budget=MIX_BUDGET)
+    return drawn.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,13 +75,16 @@ def uniform_of(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mixed(docs: DataFrame, *, targets: DataFrame | None = None, power: float = 0.9, rounds: int = 10, seed: str = "mix", tokens: Column | None = None, topic: Column | None = None) -> DataFrame:
+def mixed(docs: DataFrame, *, targets: DataFrame | None = None, power: float = 0.9, rounds: int = 10, seed: str = "mix", tokens: Column | None = None, topic: Column | None = None, budget: float | None = None) -> DataFrame:
     """``docs`` (doc_id, text, source, lang) with tokens, topic, probability and sampled.
 
     ``targets``: (dimension, value, share); by default each dimension's own shares to ``power``. The scale is
     the largest at which no probability is over one, so no document would be needed twice and none is
-    capped. Null source or language is a value of its own, "". Repeated rows share their probability and
-    their draw. Clashing columns tokens, topic, probability and sampled of ``docs`` are replaced.
+    capped; then the one cell with the largest ratio sets the rate of all. With a ``budget``, the share of all
+    tokens that is drawn, the scale follows from it alone: probability is how often a document is expected, and
+    may be over one, and a column copies has how often it is drawn, its whole repeats and a draw for the rest.
+    Null source or language is a value of its own, "". Repeated rows share their probability and
+    their draw. Clashing columns tokens, topic, probability, sampled and, with a budget, copies of ``docs`` are replaced.
     """
     tokens = tokens_of(F.col("text")) if tokens is None else tokens
     topic = topic_of(F.col("text")) if topic is None else topic
@@ -89,10 +92,16 @@ def mixed(docs: DataFrame, *, targets: DataFrame | None = None, power: float = 0
     cells = stored(rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens")), "cells")
     raked = rake(cells, stored(tempered_targets(cells, power), "targets") if targets is None else targets, rounds=rounds)
     ratio = raked.withColumn("ratio", F.col("weight") / F.col("tokens"))
-    top = ratio.agg(F.max("ratio").alias("top"))  # one row
+    # one row; weights sum to one, so by a budget a cell's weight is its share of the tokens to be drawn
+    top = ratio.agg(F.max("ratio").alias("top") if budget is None else (1 / (budget * F.sum("tokens"))).alias("top"))
     chance = stored(ratio.join(F.broadcast(top)).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic", F.round(F.col("ratio") / F.col("top"), 6).alias("probability")), "chances")
     out = rows.join(chance, ["_source", "_lang", "topic"], "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
-    return out.withColumn("sampled", uniform_of(F.col("doc_id"), seed) < F.col("probability")).drop("_source", "_lang")
+    drawn = uniform_of(F.col("doc_id"), seed)
+    if budget is None:
+        return out.withColumn("sampled", drawn < F.col("probability")).drop("_source", "_lang")
+    whole = F.floor("probability")
+    copies = (whole + (drawn < F.col("probability") - whole).cast("int")).cast("int")
+    return out.withColumn("copies", copies).withColumn("sampled", F.col("copies") > 0).drop("_source", "_lang")
 
 
 def oracle_sql(rounds: int = 10, power: float = 0.9, seed: str = "mix") -> str:

@@ -156,6 +156,19 @@ def test_raking(spark, docs, empty):
     assert drawn.columns.count("probability") == 1 and mixing.mixed(empty, rounds=5).count() == 0
 
 
+def test_mixing_budget_is_not_set_by_one_rare_cell(spark):
+    rng = random.Random(6)
+    rows = [(i, "word " * rng.randint(50, 150), f"s{i % 3}", "en" if i % 4 else "de") for i in range(3000)]
+    schema = "doc_id long, text string, source string, lang string, copies string"
+    budget = lambda given: mixing.mixed(spark.createDataFrame([(*r, "c") for r in given], schema), budget=0.5).toPandas()
+    plain, stray = budget(rows), budget([*rows, (9999, "x " * 120, None, None)])
+    for got in (plain, stray):
+        assert abs((got.probability * got.tokens).sum() / got.tokens.sum() - 0.5) < 1e-3 and abs((got.copies * got.tokens).sum() / got.tokens.sum() - 0.5) < 0.04
+        assert (got.copies - got.probability).abs().max() < 1 and (got.sampled == (got.copies > 0)).all()
+    assert abs(plain.sampled.mean() - stray[stray.doc_id != 9999].sampled.mean()) < 0.02
+    assert stray[stray.doc_id == 9999].probability.item() > 1 and stray[stray.doc_id == 9999].copies.item() >= 1
+
+
 def brute_components(n, pairs):
     root = list(range(n))
 
