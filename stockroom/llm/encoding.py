@@ -3,8 +3,8 @@
 ``tokenizers`` encodes about 1.3 MB of text a second and core, ``tiktoken`` four times that, and for a
 byte-level BPE both apply the same merges to the same pieces. So where a tokenizer file is such a BPE
 whose merges follow the order of its ids, its own vocabulary is handed to ``tiktoken``; strings of added
-tokens inside a text become their ids, as ``tokenizers`` does by default. Any other file, and any text
-with a sign that the two libraries class differently (``unlike``), goes to ``tokenizers``.
+tokens inside a text become their ids, as ``tokenizers`` does by default. Any other file goes to
+``tokenizers``.
 """
 
 from __future__ import annotations
