@@ -4,7 +4,8 @@
 byte-level BPE both apply the same merges to the same pieces. So where a tokenizer file is such a BPE
 whose merges follow the order of its ids, its own vocabulary is handed to ``tiktoken``; strings of added
 tokens inside a text become their ids, as ``tokenizers`` does by default. Any other file goes to
-``tokenizers``.
+``tokenizers``, and so does any single text that ``tiktoken`` refuses: its patterns give up on runs of
+about a million white-space signs.
 """
 
 from __future__ import annotations
@@ -61,12 +62,17 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; null has those of the empty text."""
+        return [self._ids(t or "") for t in texts]
+
+    def _ids(self, text: str) -> bytes:
         import numpy as np
 
-        if self.fast is None:
-            told = self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)
-            return [np.asarray(x.ids, "<u4").tobytes() for x in told]
-        return [self.fast.encode_to_numpy(t or "", allowed_special="all").astype("<u4", copy=False).tobytes() for t in texts]
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+            except ValueError:  # "max stack size exceeded": the text's pattern, not the text, is at fault
+                pass
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def encoder(path: str) -> Encoder:

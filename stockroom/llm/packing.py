@@ -15,7 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,17 +35,22 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """The pieces of each document: its ids, then ``end_id``, cut by ``cut``. Null text is the empty text."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
         for batch in batches:
-            rows = [
-                (doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))
-                for doc, ids in zip(batch["doc_id"], (x + end for x in tokenizer.ids(batch["text"].tolist())))
-                for k, (start, length) in enumerate(cut(ids, capacity))
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            of, rows = [], []
+            for i, ids in enumerate(tokenizer.ids(batch.column("text").to_pylist())):
+                ids += end
+                parts = cut(ids, capacity)
+                of += [i] * len(parts)
+                rows += [(k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])) for k, (start, length) in enumerate(parts)]
+            # ids stay in Arrow: pandas turns a batch of ids with a null in it into floats
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(of, pa.int64())), *(pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64())))],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
-    return docs.select("doc_id", "text").mapInPandas(encode, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int, documents: int, attention: float, weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -88,25 +93,30 @@ def pack(
 ) -> DataFrame:
     """Adds sequence_id and offset to the rows of ``cut_docs`` (a stored table with length, at most ``capacity``).
 
+    ``attention`` may be below ``capacity`` squared, ``documents`` may be 1: each is a capacity of its own, and a piece
+    goes only where all three have room. A sequence of at most ``capacity`` tokens never costs more than its square,
+    nor holds more than ``capacity`` pieces, so with the defaults only tokens bind.
     ``rule``: "norm" (least weighted norm of the residuals) or "dot" (largest weighted dot product).
-    A piece whose own attention cost or count is over a capacity can't be placed: that is an error.
-    Rows with nulls in other columns and repeated rows are packed like any other. Empty in, empty out.
+    A piece whose own tokens, count or attention cost is over a capacity can't be placed: that is an error.
+    Rows with nulls in other columns and repeated rows are packed like any other; existing columns sequence_id, offset
+    and group_no are an error of the caller. Empty in, empty out.
     """
-    if attention < capacity**2 or documents < 1:
-        raise ValueError("a piece of full length must fit in a sequence")
-    total = cut_docs.where(F.col("length") < capacity).count()
-    groups = max(1, -(-total // group))
+    of = cut_docs.agg(F.count_if(F.col("length") < capacity).alias("n"), F.max("length").alias("longest")).first()
+    if documents < 1 or (of.longest or 0) > capacity or (of.longest or 0) ** 2 > attention:
+        raise ValueError("the longest piece doesn't fit in a sequence")
+    groups = max(1, -(-of.n // group))
     # a row's group comes from what it holds and, among equal rows, from where it is stored
     mixed = F.pmod(F.xxhash64("doc_id", "piece", "start", F.monotonically_increasing_id()), F.lit(groups))
     columns = cut_docs.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_docs.schema), "sequence_id long, offset long"])
 
-    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bins, at = best_fit(rows["length"].to_numpy(), capacity, documents, attention, weights, rule)
+    def packed(rows: pa.Table) -> pa.Table:
+        bins, at = best_fit(rows.column("length").to_numpy(), capacity, documents, attention, weights, rule)
         # even numbers: sequences of groups; odd numbers: pieces that fill one alone
-        return rows[columns].assign(sequence_id=2 * ((int(key[0]) << 31) + bins), offset=at)
+        first = rows.column("group_no")[0].as_py() << 31
+        return rows.select(columns).append_column("sequence_id", pa.array(2 * (first + bins))).append_column("offset", pa.array(at))
 
-    small = cut_docs.where(F.col("length") < capacity).withColumn("group_no", mixed).groupBy("group_no").applyInPandas(packed, schema)
+    small = cut_docs.where(F.col("length") < capacity).withColumn("group_no", mixed).groupBy("group_no").applyInArrow(packed, schema)
     alone = cut_docs.where(F.col("length") >= capacity).withColumns({"sequence_id": 2 * F.monotonically_increasing_id() + 1, "offset": F.lit(0).cast("long")})
     return small.unionByName(alone)
 

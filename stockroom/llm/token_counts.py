@@ -2,8 +2,9 @@
 
 A text's count depends on its normalised content and on the tokenizer's version alone. The cache is a
 Parquet folder, one partition for each tokenizer version, with a row for each content digest. A call
-groups the texts by digest (copies meet on the map side), takes away the digests that the cache holds,
-encodes only what is left, appends it, and joins the stored counts back by digest.
+takes away the digests that the cache holds, fetches one text for each digest that is left, encodes
+those, appends them, and joins the stored counts back by digest. Texts are shuffled only where there are
+more misses than may be broadcast, as digests: a warm cache moves digests alone.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from stockroom.llm.encoding import encoder
-from stockroom.llm.scratch import batches_of
+from stockroom.llm.scratch import batches_of, stored
 
 CACHE_SCHEMA = "content binary, n_tokens long, tokenizer string"
 
@@ -46,6 +47,7 @@ def count_tokens(
     text: str = "text",
     keep: tuple[str, ...] = ("doc_id",),
     limit: int = 512,
+    broadcast_misses: int = 100_000,
     normalise: Callable[[Column], Column] = lambda text: text,
 ) -> DataFrame:
     """``keep``, n_bytes, n_tokens and over_limit (n_tokens > ``limit``) for each row of ``docs``.
@@ -65,11 +67,18 @@ def count_tokens(
         for batch in batches:
             yield pd.DataFrame({"content": batch["content"], "n_tokens": [len(x) // 4 for x in tokenizer.ids(batch["body"].tolist())]})
 
-    distinct = docs.select(digest.alias("content"), content.alias("body")).groupBy("content").agg(F.first("body").alias("body"))
-    misses = distinct.join(known, "content", "left_anti")
-    with batches_of(spark, 500):
-        misses.mapInPandas(encode, "content binary, n_tokens long").withColumn("tokenizer", F.lit(version)).write.partitionBy("tokenizer").mode("append").parquet(cache_path)
-
-    stored = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens")
+    missing = stored(docs.select(digest.alias("content")).distinct().join(known, "content", "left_anti"), "token-misses")
+    n = missing.count()
+    bodies = docs.select(digest.alias("content"), content.alias("body"))
+    first = F.first("body").alias("body")
+    if n <= broadcast_misses:  # 32 bytes each: texts that the cache knows stay where they are
+        misses = bodies.join(F.broadcast(missing), "content", "left_semi").groupBy("content").agg(first)
+    else:  # copies meet on the map side; the digests are joined in the grouping's own partitions
+        misses = bodies.groupBy("content").agg(first).join(missing.hint("merge"), "content", "left_semi")
+    if n:
+        with batches_of(spark, 500):
+            misses.mapInPandas(encode, "content binary, n_tokens long").withColumn("tokenizer", F.lit(version)).write.partitionBy("tokenizer").mode("append").parquet(cache_path)
+
+    counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens")
     rows = docs.select(*keep, F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), digest.alias("content"))
-    return rows.join(stored, "content").select(*keep, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return rows.join(counts, "content").select(*keep, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
