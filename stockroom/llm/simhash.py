@@ -16,7 +16,7 @@ from itertools import combinations, repeat
 from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +54,13 @@ def simhash(text: str | None, shingle: int) -> int:
 def fingerprints(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) for each row of ``docs`` (doc_id, text); null text has no words."""
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # ids stay in Arrow: pandas turns a batch of ids with a null in it into floats
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.fromiter((simhash(t, shingle) for t in batch["text"]), np.int64, len(batch))})
+            fp = pa.array([simhash(t, shingle) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInPandas(apply, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, "doc_id long, fp long")
 
 
 def grouped_bits(sample: np.ndarray, widths: tuple[int, ...]) -> list[list[int]]:
@@ -149,24 +151,21 @@ def links(distinct: DataFrame, *, k: int = 3, sample_rows: int = 2000) -> DataFr
     return probe.join(index, (probe.part == index.part) & (probe.key == index.key) & close).select("a", "b")
 
 
-#: Nodes of fingerprints all of whose rows lack a doc_id lie from here up; a doc_id must be below.
-NO_ID = 1 << 62
-
-
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, k: int = 3, sample_rows: int = 2000, batch_rows: int = 500) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for each row of ``docs`` (doc_id, text).
 
     Rows are in one component if a chain of fingerprints, each at most ``k`` bits from the next, leads
     from one to the other; component_id is the smallest doc_id in it (null if it has none). Rows with the
     same fingerprint (copies, all texts without words) are one node, so copies are never paired. Repeated
-    rows and rows without doc_id return a row each. Empty in, empty out.
+    rows and rows without doc_id return a row each. Any 64-bit doc_id is returned as it is. Empty in, empty out.
     """
     own = stored(fingerprints(docs, shingle=shingle), "fingerprints", batch_rows=batch_rows)
-    numberless = F.lit(NO_ID) + F.shiftrightunsigned("fp", 2)
-    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.coalesce("first", numberless).alias("node")), "distinct-fingerprints")
-    found = components(links(distinct, k=k, sample_rows=sample_rows))
-    root = F.coalesce("root", "node")
-    of = stored(distinct.join(found, "node", "left").select("fp", F.when(root < NO_ID, root).alias("component_id")), "component-of")
+    # a fingerprint is its own node, so ids play no part before the end
+    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.col("fp").alias("node"), "first"), "distinct-fingerprints")
+    found = components(links(distinct.select("fp", "node"), k=k, sample_rows=sample_rows))
+    rooted = stored(distinct.join(found, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root")), "rooted")
+    of_root = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least-ids")
+    of = stored(rooted.join(of_root, "root").select("fp", "component_id"), "component-of")
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -201,11 +200,11 @@ def views_of(hashes: np.ndarray, views: int, sample: int) -> list[int]:
     return np.packbits(2 * bits.sum(axis=1) > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
-def block_roots(sets: list[np.ndarray], left: int, similarity: float) -> np.ndarray:
+def block_roots(sets: list[np.ndarray], left: int, similarity: float, known: np.ndarray | None = None) -> np.ndarray:
     """For each of ``sets`` (of distinct hashes) the smallest position that links between two sides lead to.
 
-    The first ``left`` sets meet all others; if they are all, each meets each. Only pairs that are in one
-    component already are not compared.
+    The first ``left`` sets meet all others; if they are all, each meets each. ``known``: a component of each
+    set, known before. Only pairs that are in one component already are not compared.
     """
     n = len(sets)
     start = 0 if left == n else left
@@ -214,6 +213,9 @@ def block_roots(sets: list[np.ndarray], left: int, similarity: float) -> np.ndar
     order = np.argsort(values, kind="stable")
     values, owners = values[order], owners[order]
     root = np.arange(n)
+    if known is not None:
+        _, first, which = np.unique(known, return_index=True, return_inverse=True)
+        root = first[which.ravel()]
     for i in range(left):
         own = sets[i]
         if not len(own) or (root[start:] == root[i]).all():
@@ -229,73 +231,91 @@ def block_roots(sets: list[np.ndarray], left: int, similarity: float) -> np.ndar
     return root
 
 
+SIDES = ["bucket", "mine", "theirs"]
+
+
 def links_in_blocks(sides: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): star links of the local components of each pair of blocks of ``sides`` (bucket, lo, hi, own, node, shingles).
+    """(a, b): star links of the local components of pairs of blocks of ``sides`` (bucket, mine, theirs, moves, node, label, shingles).
 
-    A task reads its pairs of blocks one after another, and holds one of them.
+    The rows of a (bucket, mine, theirs) that move meet each of the others; label is a component that a row is in already. A
+    task reads its pairs of blocks one after another, and holds one of them.
     """
 
-    def pair(rows: list[pd.DataFrame]) -> pd.DataFrame:
-        both = pd.concat(rows).sort_values("own", kind="stable")
-        # a block against itself has one side
-        left = int((both["own"] == both["lo"]).sum())
-        node = both["node"].to_numpy()
-        root = block_roots([np.asarray(x) for x in both["shingles"]], left, similarity) if left else np.arange(len(node))
-        linked = root != np.arange(len(node))
-        return pd.DataFrame({"a": node[linked], "b": node[root[linked]]})
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pair(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        both = pa.Table.from_batches(rows).combine_chunks()
+        order = np.argsort(~both.column("moves").to_numpy(), kind="stable")
+        left, node, label = int(both.column("moves").to_numpy().sum()), both.column("node").to_numpy()[order], both.column("label").to_numpy()[order]
+        sets = both.column("shingles").chunk(0)
+        at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        root = block_roots([flat[at[i] : at[i + 1]] for i in order], left, similarity, label) if left else np.arange(len(node))
+        linked = label[root] != label
+        return pa.RecordBatch.from_arrays([pa.array(label[linked]), pa.array(label[root[linked]])], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of = [], None
         for batch in batches:
-            key = batch[["bucket", "lo", "hi"]].to_numpy()
+            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in SIDES], axis=1) if len(batch) else np.zeros((0, 3), int)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(key)]
-            found = []
             for at, end in zip(cuts, cuts[1:]):
                 if at == end:
                     continue
                 if held and tuple(key[at]) != of:
-                    found.append(pair(held))
+                    yield pair(held)
                     held = []
                 of = tuple(key[at])
-                held.append(batch.iloc[at:end])
-            if found:
-                yield pd.concat(found)
+                held.append(batch.slice(at, end - at))
         if held:
             yield pair(held)
 
-    return sides.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInPandas(compare, "a long, b long")
+    return sides.repartition(*SIDES).sortWithinPartitions(*SIDES).mapInArrow(compare, "a long, b long")
+
 
+def text_key() -> Column:
+    """Digest of the column text as it is, null as empty; with the id, it tells rows apart."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
-def similar_documents(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, k: int = 3, views: int = 14, sample: int = 4, block_rows: int = 512, batch_rows: int = 500) -> DataFrame:
-    """(doc_id, component_id) for each distinct text's smallest doc_id of ``docs`` (doc_id, text).
 
-    Texts are linked if their sets of word shingles have a Jaccard similarity of ``similarity`` or more, found
-    among two kinds of candidates: fingerprints of the whole texts at most ``k`` bits apart, by the general
-    pigeonhole; and texts with the same fingerprint in one of ``views`` samples. Whole fingerprints alone don't
+def text_components(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, k: int = 3, views: int = 14, sample: int = 4, block_rows: int = 512, batch_rows: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(rows, roots) of ``docs`` (doc_id, text): rows has doc_id, text_key and node for each row; roots (node, root).
+
+    A node is a distinct sequence of words (A-Z in lower case); its rows may have any ids, or none. Nodes are
+    linked if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more, found among
+    two kinds of candidates: fingerprints of the whole texts at most ``k`` bits apart, by the general pigeonhole; and
+    texts with the same fingerprint in one of ``views`` samples of ``sample`` shingles. Whole fingerprints alone don't
     reach this similarity: at 0.8 they differ in about ten bits. All texts with the same fingerprint in a view,
-    and all that a link of whole fingerprints brings together, are a bucket, in which each text meets each:
-    a bucket is cut into blocks of about ``block_rows``, and each pair of blocks is compared by itself, on
-    whole texts. Buckets with the same texts are compared once. Texts with the same words are one node.
-    component_id is the smallest doc_id reachable.
+    and all that a link of whole fingerprints brings together, are a bucket, and no pair in a bucket goes
+    untested unless a chain of verified links joins it already:
+
+    1. Each member is verified against two others of its bucket: the one whose buckets are the largest in sum,
+       which is the hub of a group of copies if it has one, and the smallest.
+    2. Links found make components. Where a bucket still holds several, all members outside its largest component
+       are compared with all members, in blocks of about ``block_rows`` by as many, each pair of blocks by itself.
+
+    Verification is on 64-bit hashes of all shingles of the whole texts. roots has every node.
     """
-    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            words = [(t or "").encode().lower().split() for t in batch["text"]]
-            seen = [views_of(shingle_hashes(w, shingle), views, sample) for w in words]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": [xxh3_128_digest(b" ".join(w)) for w in words], "fp": [simhash(t, shingle) for t in batch["text"]], "views": seen})
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            texts = batch.column("text").to_pylist()
+            words = [(t or "").encode().lower().split() for t in texts]
+            found = [
+                pa.array([xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
+                pa.array([simhash(t, shingle) for t in texts], pa.int64()),
+                pa.array([views_of(shingle_hashes(w, shingle), views, sample) for w in words], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *found], names=["doc_id", "text_key", "content", "fp", "views"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [np.unique(shingle_hashes((t or "").encode().lower().split(), shingle).astype(np.uint32)).view(np.int32) for t in batch["text"]]
-            yield pd.DataFrame({"node": batch["doc_id"], "shingles": hashes})
+            hashes = [shingle_hashes((t or "").encode().lower().split(), shingle).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(hashes, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    own = stored(named.mapInPandas(apply, "doc_id long, content binary, fp long, views array<long>"), "sketches", batch_rows=batch_rows)
-    first = F.min_by(F.struct("fp", "views"), "doc_id").alias("s")
-    nodes = stored(own.groupBy("content").agg(F.min("doc_id").alias("node"), first).select("node", "s.fp", "s.views"), "texts")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    own = stored(keyed.mapInArrow(sketch, "doc_id long, text_key binary, content binary, fp long, views array<long>"), "sketches", batch_rows=batch_rows)
+    nodes = stored(own.groupBy("content").agg(F.first("fp").alias("fp"), F.first("views").alias("views"), F.min("text_key").alias("text_key")).withColumn("node", F.monotonically_increasing_id()), "texts")
+    rows = own.select("doc_id", "text_key", "content").join(nodes.select("content", "node"), "content").select("doc_id", "text_key", "node")
 
     # buckets of the views, of equal whole fingerprints, and of links between those
     distinct = stored(nodes.groupBy("fp").agg(F.min("node").alias("node")), "distinct-fingerprints")
@@ -306,31 +326,72 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, shingle: int
     members = stored(nodes.select("node", bucket).select("view", "key", F.lit(0).cast("long").alias("key2"), "node").unionByName(of_links), "members")
     sums = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
     filled = members.groupBy("view", "key", "key2").agg(F.count("*").alias("n"), *sums).where("n > 1")
+    # buckets with the same members count once
     buckets = stored(filled.groupBy("n", "x0", "x1").agg(F.min(F.struct("view", "key", "key2")).alias("at")).select("n", "at.*").withColumn("bucket", F.monotonically_increasing_id()), "buckets")
     met = stored(members.join(buckets, ["view", "key", "key2"]).select("bucket", "n", "node"), "met")
 
-    wanted = stored(met.select(F.col("node").alias("doc_id")).distinct(), "candidate-ids")
-    texts = named.join(wanted, "doc_id", "left_semi").mapInPandas(sets, "node long, shingles array<int>")
-    held = stored(texts.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles", batch_rows=batch_rows)
-    blocks = F.ceil(F.col("n") / block_rows)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")
-    sides = met.join(held, "node").select("bucket", F.pmod(F.xxhash64("node", "bucket"), blocks).alias("own"), "node", "shingles", other)
-    sides = sides.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "shingles")
-    found = components(stored(links_in_blocks(sides, similarity), "verified", batch_rows=batch_rows))
-    return nodes.select("node").join(found, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("component_id"))
+    # one text for each node in a bucket, and its shingles
+    wanted = met.groupBy("node").agg(F.sum("n").alias("reach"))
+    wanted = stored(wanted.join(nodes.select("node", "text_key"), "node"), "candidates")
+    # equal texts meet on the map side, and the join uses the grouping's partitions
+    texts = docs.groupBy(text_key().alias("text_key")).agg(F.first("text").alias("text")).join(wanted.select("text_key", "node").hint("merge"), "text_key").select("node", "text")
+    held = stored(texts.mapInArrow(sets, "node long, shingles array<long>"), "shingles", batch_rows=batch_rows)
+
+    # 1: against the hub and the smallest of each bucket
+    ranked = met.join(wanted.select("node", "reach"), "node")
+    leaders = stored(ranked.groupBy("bucket").agg(F.max_by("node", F.struct("reach", -F.col("node"))).alias("hub"), F.min("node").alias("least")), "leaders")
+    led = stored(met.join(leaders, "bucket"), "led")
+    tried = led.select("node", F.explode(F.array("hub", "least")).alias("leader")).where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    left, right = (held.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = common >= similarity * (F.size("sa") + F.size("sb") - common)
+    first = stored(stored(tried, "tried").join(left, "a").join(right, "b").where((F.size("sa") > 0) & alike).select("a", "b"), "verified")
+    known = components(first)
+
+    # 2: what is still apart in a bucket; its leaders have met everyone
+    labelled = stored(led.where("node != hub AND node != least").join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label")), "labelled")
+    shares = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    apart = stored(shares.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).where("n > most.n").select("bucket", "n", (F.col("n") - F.col("most.n")).alias("movers"), F.col("most.label").alias("main")), "apart")
+    still = labelled.join(apart, "bucket").join(held, "node").select("bucket", "node", "label", "shingles", F.col("label") != F.col("main"), *(F.ceil(F.col(c) / block_rows).alias(f"{c}_blocks") for c in ("movers", "n"))).toDF("bucket", "node", "label", "shingles", "moves", "movers_blocks", "n_blocks")
+    place = lambda blocks: F.pmod(F.xxhash64("node", "bucket"), F.col(blocks)).alias("own")
+    span = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    plain = ["node", "label", "shingles"]
+    # movers against movers and all others: a mover's block goes to each block of all, and each row of all to each block of movers
+    mine = still.where("moves").select("bucket", place("movers_blocks").alias("mine"), span("n_blocks").alias("theirs"), F.lit(True).alias("moves"), *plain)
+    theirs = still.select("bucket", span("movers_blocks").alias("mine"), place("n_blocks").alias("theirs"), F.lit(False).alias("moves"), *plain)
+    rest = stored(links_in_blocks(mine.unionByName(theirs), similarity), "verified", batch_rows=batch_rows)
+    roots = components(stored(first.unionByName(rest), "all-links"))
+    return rows, nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def similar_documents(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, component_id) for each row of ``docs`` (doc_id, text); see ``text_components`` for links.
+
+    component_id is the smallest doc_id of the component, null where no row of it has one. Repeated rows and rows
+    without doc_id return a row each. Texts without words are one component. Any 64-bit doc_id is allowed.
+    """
+    rows, roots = text_components(docs, **how)
+    of_rows = stored(rows.join(roots, "node").select("doc_id", "root"), "rows-by-component")
+    return of_rows.join(stored(of_rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least-ids"), "root").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """One row of ``docs`` (with doc_id and text) for each component of ``similar_documents``: its smallest doc_id.
+    """One row of ``docs`` (with doc_id and text) for each component of ``text_components``, with all its columns.
 
-    Of rows that share that doc_id one stays. Rows without doc_id are compared by equal texts alone.
+    It is a row with the smallest doc_id that the component has, and without one only where no row has an id; among
+    different texts with that id the one with the smallest digest. Of rows equal in both any one stays.
     """
-    named = docs.where("doc_id IS NOT NULL")
-    chosen = stored(similar_documents(docs, **how).where("doc_id = component_id").select("doc_id").distinct(), "chosen")
-    counted = stored(named.select("doc_id").join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n")), "chosen-rows")
+    rows, roots = text_components(docs, **how)
+    counted = rows.groupBy("node", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    rank = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_key", "n")
+    best = counted.groupBy("node").agg(F.min(rank).alias("row"))
+    chosen = stored(best.join(roots, "node").groupBy("root").agg(F.min("row").alias("row")).select("row.*"), "chosen")
     # the ids grow with the corpus, so they are shuffled to the texts at every size
-    kept = named.join(counted.where("n = 1").hint("merge"), "doc_id", "left_semi")
-    repeated = counted.where("n > 1")
+    key = ["doc_id", "text_key"]
+    given = docs.withColumn("_text_key", text_key())
+    match = lambda of: given["doc_id"].cast("long").eqNullSafe(of["doc_id"]) & (given["_text_key"] == of["text_key"])
+    once, repeated = chosen.where("n = 1").select(*key), chosen.where("n > 1").select(*key)
+    kept = given.join(once.hint("merge"), match(once), "left_semi")
     if not repeated.isEmpty():
-        kept = kept.unionByName(named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+        kept = kept.unionByName(given.join(repeated, match(repeated), "left_semi").dropDuplicates(["doc_id", "_text_key"]))
+    return kept.drop("_text_key")

@@ -261,6 +261,8 @@ def test_similar_documents(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "x"), (None, "x"), (5, texts[5])], "doc_id long, text string")
     kept = Counter(r.doc_id for r in simhash.one_of_each(df).collect())
     assert kept == Counter([*range(6), 13, 14, None])
+    got = simhash.similar_documents(df).collect()
+    assert len(got) == df.count() and {r.component_id for r in got if r.doc_id == 7} == {0}
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
