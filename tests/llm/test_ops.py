@@ -193,23 +193,79 @@ def test_components(spark):
     assert components.components(given.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("cell,block", [(4096, 4096), (20, 8)])
-def test_range_join(spark, cell, block):
+@pytest.mark.parametrize("block", [16_384, 8])
+def test_range_join(spark, block):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(30, 8))
     made = [list(map(float, b + rng.normal(size=8) * s)) for b in base for s in (0, 0.1, 0.3)] + [list(map(float, base[0]))] * 5
-    odd = [None, [], [0.0] * 8, [float("nan")] * 8, [1.0, None] + [0.0] * 6, [float("inf")] + [0.0] * 7]
+    odd = [None, [], [0.0] * 8, [float("nan")] * 8, [1.0, None] + [0.0] * 6, [float("inf")] + [0.0] * 7, made[0] + [0.0], made[0][:7]]
     df = spark.createDataFrame([(i, v, "x") for i, v in enumerate(made + odd)], "vec_id long, embedding array<float>, key string")
     x = np.array([np.float32(v) for v in made], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= 0.9
     want = brute_components(len(made), [(i, j) for i in range(len(made)) for j in range(i) if near[i, j]])
-    got = {r.vec_id: r for r in range_join.range_links(df, cell_rows=cell, block_rows=block).collect()}
+    got = {r.vec_id: r for r in range_join.range_links(df, block_rows=block).collect()}
     assert [got[i].n_links for i in range(len(made))] == list(near.sum(axis=1) - 1) and [got[i].component_id for i in range(len(made))] == want
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(len(made), len(made) + len(odd)))
     assert range_join.range_links(df.limit(0)).count() == 0
 
 
+def clusters(rng, n, dims=16, groups=40):
+    centres = rng.normal(size=(groups, dims))
+    x = centres[rng.integers(0, groups, n)] + rng.normal(size=(n, dims)) * 0.08
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_cells_of_clustered_vectors_send_few_rows_and_lose_no_pair():
+    rng, radius = np.random.default_rng(12), math.sqrt(0.2)
+    sent = []
+    for n in (2000, 10_000):
+        x = clusters(np.random.default_rng(12), n)
+        pivots = range_join.cheapest(range_join.spread_pivots(x[:1000], 1024, radius), x[:1000], n, radius, 256)
+        own, guest = range_join.dealt(range_join.distances(x, pivots), range_join.distances(pivots, pivots), None, radius)
+        assert len(pivots) >= 16
+        sent.append(1 + guest.sum() / n)
+    assert sent[1] < 1.3 * sent[0] < 4
+    x = np.vstack([clusters(rng, 600), rng.normal(size=(200, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = range_join.spread_pivots(x[:300], 32, radius)
+    own, guest = range_join.dealt(range_join.distances(x, pivots), range_join.distances(pivots, pivots), None, radius)
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    apart = own[i] != own[j]
+    low, high = np.where(own[i] < own[j], i, j), np.where(own[i] < own[j], j, i)
+    assert apart.any() and guest[high[apart], own[low[apart]]].all()
+
+
+@pytest.mark.parametrize("block", [16_384, 50])
+def test_range_join_of_clusters_against_brute_force(spark, block):
+    x = np.float32(clusters(np.random.default_rng(3), 900, groups=12)).astype(float)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T >= 0.9
+    want = brute_components(len(x), [(i, j) for i, j in zip(*np.nonzero(np.tril(near, -1)))])
+    got = sorted(range_join.range_links(df, block_rows=block).collect())
+    assert [r.n_links for r in got] == list(near.sum(axis=1) - 1) and [r.component_id for r in got] == want
+
+
+HUGE = [2**53 + 1, 2**63 - 1, 2**62 + 5, -(2**63), -7, None]
+
+
+def test_ids_of_any_size_beside_a_null(spark):
+    texts = [f"some text of its own, number {i}, with words that no other has {i * i}" for i in range(4)] + ["the same words twice"] * 2
+    df = spark.createDataFrame([*zip(HUGE, texts)], "doc_id long, text string").coalesce(1)
+    want = Counter(HUGE)
+    assert Counter(r.doc_id for r in packing.pack_documents(df, queries.tokenizer_path()).collect()) == want
+    got = simhash.near_duplicates(df).collect()
+    assert Counter(r.doc_id for r in got) == want and Counter(r.component_id for r in got) == Counter([*HUGE[:4], -7, -7])
+    assert Counter(r.component_id for r in simhash.similar_documents(df).collect()) == Counter([*HUGE[:4], -7, -7])
+    assert Counter(r.doc_id for r in simhash.one_of_each(df).collect()) == Counter(HUGE[:5])
+    vecs = spark.createDataFrame([(v, [1.0, 0.1] if i > 3 else [-float(i), i * i - 3.0]) for i, v in enumerate(HUGE)], "vec_id long, embedding array<float>").coalesce(1)
+    got = {r.vec_id: r.component_id for r in range_join.range_links(vecs).collect()}
+    assert set(got) == set(HUGE) and got[None] == got[-7] == -7
+    pages = spark.createDataFrame([(v, "http://a.org/", "<p>some words") for v in HUGE], "page_id long, url string, html string").coalesce(1)
+    known = spark.createDataFrame([("some words of this", "en"), ("quelques mots", "fr")], "text string, lang string")
+    assert Counter(r.page_id for r in languages.identify(pages, known).collect()) == want
+
+
 def test_fingerprints_and_links(docs, empty, spark):
     from xxhash import xxh64_intdigest
 
