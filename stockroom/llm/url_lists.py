@@ -15,10 +15,29 @@ from pyspark.sql import functions as F
 from stockroom.llm.scratch import stored
 
 
+#: Suffixes of two labels and more under which domains are registered. A parameter: give the list that you trust.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "co.in", "co.kr", "co.za", "com.br", "com.cn", "com.mx", "com.tr", "github.io", "blogspot.com")
+#: Longest host name; anything longer is none.
+HOST_CHARS = 253
+
+
 def host_of(url: Column) -> Column:
-    """Lower-case host of a URL without user, port and final dot; null if there is none."""
-    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
-    return F.nullif(F.regexp_replace(host, r"\.+$", ""), F.lit(""))
+    """Lower-case host of a URL without user, port and final dots; null if there is none, or if it is too long to be one."""
+    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:@]+)", 1)
+    host = F.rtrim(host, F.lit("."))
+    return F.when((host != "") & (F.length(host) <= HOST_CHARS), host)
+
+
+def is_address(host: Column) -> Column:
+    """Whether a host is an IP address, which has no parent domains."""
+    return host.rlike(r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$")
+
+
+def registered_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The label before a suffix, with it: the longest of ``suffixes`` or else the last label. Null for a bare suffix; an address is whole."""
+    known = "|".join(s.replace(".", r"\.") for s in sorted(suffixes, key=len, reverse=True))
+    found = F.regexp_extract(host, rf"([^.]+\.(?:{known}|[^.]+))$", 1)
+    return F.when(is_address(host), host).when(~host.isin(*suffixes), F.nullif(found, F.lit("")))
 
 
 def keys_of(url: Column) -> Column:
@@ -27,7 +46,8 @@ def keys_of(url: Column) -> Column:
     labels = F.split(host, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     first = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)", 1)
-    return F.when(host.isNotNull(), F.array_distinct(F.concat(F.when(first != "", F.array(F.concat(host, F.lit("/"), first))).otherwise(F.array().cast("array<string>")), parents)))
+    path = F.when(first != "", F.array(F.concat(host, F.lit("/"), first))).otherwise(F.array().cast("array<string>"))
+    return F.when(host.isNotNull(), F.array_distinct(F.concat(path, F.when(is_address(host), F.array(host)).otherwise(parents))))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -48,18 +68,17 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, keep: tuple[str, ...
 
     n_active: active entries met. decided_by: the key of the most specific one (null: none). blocked: whether
     that entry says "deny". A capture with a null or odd URL or a null fetch time meets no entry. Repeated
-    captures each return a row. Empty lists block nothing.
+    captures each return a row. Empty lists block nothing. Names in ``keep`` win over a result of the same name.
     """
-    rows = stored(captures.select(*keep, host_of(F.col(url)).alias("host"), keys_of(F.col(url)).alias("_keys"), F.col(fetched).alias("_at"), F.monotonically_increasing_id().alias("_row")), "captures")
+    rows = stored(captures.select(*keep, host_of(F.col(url)).alias("_host"), keys_of(F.col(url)).alias("_keys"), F.col(fetched).alias("_at"), F.monotonically_increasing_id().alias("_row")), "captures")
     spans = stored(validity(entries), "list-intervals").select(F.col("key").alias("_key"), "verdict", "valid_from", "valid_to")
     wanted = rows.select("_row", "_at", F.explode("_keys").alias("_key"))
     active = (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
     met = wanted.join(spans, "_key").where(active)
     rank = F.struct(F.length("_key").alias("length"), (F.col("verdict") == "deny").alias("deny"), F.col("_key").alias("key"))
-    decided = met.groupBy("_row").agg(F.count("*").alias("n"), F.max(rank).alias("top"))
-    return rows.join(decided, "_row", "left").select(
-        *keep, "host", F.coalesce("n", F.lit(0)).cast("long").alias("n_active"), F.col("top.key").alias("decided_by"), F.coalesce("top.deny", F.lit(False)).alias("blocked")
-    )
+    decided = met.groupBy("_row").agg(F.count("*").alias("_n"), F.max(rank).alias("_top"))
+    told = {"host": F.col("_host"), "n_active": F.coalesce("_n", F.lit(0)).cast("long"), "decided_by": F.col("_top.key"), "blocked": F.coalesce("_top.deny", F.lit(False))}
+    return rows.join(decided, "_row", "left").select(*keep, *(c.alias(name) for name, c in told.items() if name not in keep))
 
 
 # Captures and lists for the query, from the table of pages -------------------------------------------------
@@ -71,21 +90,28 @@ def captures(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.timestamp_seconds(F.lit(1_704_067_200) + minute * 60).alias("fetched_at"))
 
 
+#: In the given tables sites are registered under these.
+PAGE_SUFFIXES = ("example.com", "example.net", "example.org")
+
+
 def derived_lists(pages: DataFrame) -> DataFrame:
-    """A log for the query: registered domains and hosts of the pages, added and removed on days of 2024."""
-    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host IS NOT NULL").distinct()
-    domains = hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1).alias("key")).where("key <> ''").distinct()
+    """A log for the query: registered domains, hosts and hosts with a path of the pages, added and removed on days of 2024."""
+    seen = pages.select(host_of(F.col("url")).alias("host"), F.get(keys_of(F.col("url")), F.lit(0)).alias("path")).where("host IS NOT NULL").distinct()
+    hosts = seen.select("host").distinct()
+    domains = hosts.select(registered_domain(F.col("host"), PAGE_SUFFIXES).alias("key")).where("key IS NOT NULL").distinct()
     number = lambda key: F.conv(F.substring(F.md5(key), 1, 6), 16, 10).cast("long")
     day = lambda n, shift: F.timestamp_seconds(F.lit(1_704_067_200) + (F.pmod(n, F.lit(300)) + shift) * 86_400)
-    of = domains.withColumn("h", number(F.col("key")))
+    numbered = lambda df: df.withColumn("h", number(F.col("key")))
+    of = numbered(domains)
     known_bad = F.col("key").rlike("spam|pills|casino")
     log = lambda df, name, verdict, action, shift: df.select(F.lit(name).alias("list"), F.lit(verdict).alias("verdict"), "key", F.lit(action).alias("action"), day(F.col("h"), shift).alias("dated"))
     dated = log(of.where("h % 4 = 0"), "spam", "deny", "add", 0)
     dated = dated.unionByName(log(of.where("h % 8 = 0"), "spam", "deny", "remove", 60))
     dated = dated.unionByName(log(of.where("h % 16 = 0"), "spam", "deny", "add", 120))
     always = of.where(known_bad).select(F.lit("known").alias("list"), F.lit("deny").alias("verdict"), "key", F.lit("add").alias("action"), F.timestamp_seconds(F.lit(1_704_067_200)).alias("dated"))
-    blogs = hosts.where("host LIKE 'blog.%'").select(F.col("host").alias("key")).withColumn("h", number(F.col("key"))).where("h % 3 = 0")
-    return dated.unionByName(always).unionByName(log(blogs, "trusted", "allow", "add", 30))
+    blogs = numbered(hosts.where("host LIKE 'blog.%'").select(F.col("host").alias("key"))).where("h % 3 = 0")
+    paths = numbered(seen.where("path <> host").select(F.col("path").alias("key"))).where("h % 5 = 0")
+    return dated.unionByName(always).unionByName(log(blogs, "trusted", "allow", "add", 30)).unionByName(log(paths, "paths", "deny", "add", 10))
 
 
 ORACLE_SQL = r"""
@@ -93,14 +119,18 @@ WITH p AS (SELECT row_number() OVER () AS r, page_id, url,
                   nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS host,
                   (page_id * 2221) % 525600 AS mins FROM pages),
 hosts AS (SELECT DISTINCT host FROM p WHERE host IS NOT NULL),
-domains AS (SELECT DISTINCT regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) AS key FROM hosts),
+domains AS (SELECT DISTINCT regexp_extract(host, '([^.]+\.(?:example\.com|example\.net|example\.org|[^.]+))$', 1) AS key FROM hosts
+            WHERE host NOT IN ('example.com', 'example.net', 'example.org') AND NOT regexp_matches(host, '^[0-9]+(\.[0-9]+){3}$')),
 dn AS (SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS h FROM domains WHERE key <> ''),
 bn AS (SELECT host AS key, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS h FROM hosts WHERE host LIKE 'blog.%'),
+sn AS (SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS h FROM (SELECT DISTINCT host || '/' || seg AS key FROM (
+        SELECT host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS seg FROM p WHERE host IS NOT NULL) WHERE seg <> '')),
 log AS (SELECT 'spam' AS list, 'deny' AS verdict, key, 'add' AS action, (h % 300) * 1440 AS dated FROM dn WHERE h % 4 = 0
         UNION ALL SELECT 'spam', 'deny', key, 'remove', (h % 300 + 60) * 1440 FROM dn WHERE h % 8 = 0
         UNION ALL SELECT 'spam', 'deny', key, 'add', (h % 300 + 120) * 1440 FROM dn WHERE h % 16 = 0
         UNION ALL SELECT 'known', 'deny', key, 'add', 0 FROM dn WHERE regexp_matches(key, 'spam|pills|casino')
-        UNION ALL SELECT 'trusted', 'allow', key, 'add', (h % 300 + 30) * 1440 FROM bn WHERE h % 3 = 0),
+        UNION ALL SELECT 'trusted', 'allow', key, 'add', (h % 300 + 30) * 1440 FROM bn WHERE h % 3 = 0
+        UNION ALL SELECT 'paths', 'deny', key, 'add', (h % 300 + 10) * 1440 FROM sn WHERE h % 5 = 0),
 spans AS (SELECT *, lead(dated) OVER (PARTITION BY list, key ORDER BY dated, action = 'remove') AS until FROM log),
 l AS (SELECT r, mins, host, string_split(host, '.') AS ls, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS seg FROM p WHERE host IS NOT NULL),
 k AS (SELECT DISTINCT r, mins, key FROM (
