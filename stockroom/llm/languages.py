@@ -4,8 +4,9 @@ Four kinds of evidence are taken as independent given the language: the text's l
 model fitted on labelled documents), the language that the markup declares, the hint in the address (a
 two-letter path or country suffix), and what the host's other pages are in. How far declarations
 and hints can be trusted, and what hosts hold, is counted over all pages, each page counting as the
-likelihoods of its own text say. A host's counts are smoothed by its registered domain's, and those by all
-pages'; a page's own share is taken out of its host's counts before they speak for it.
+likelihoods of its own text say. A host's counts are smoothed by its registered domain's, those by the counts
+of the suffix that the domain is registered under, and those by all pages'; a page's own share is taken out of
+the counts before they speak for it.
 """
 
 from __future__ import annotations
@@ -18,14 +19,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockroom.llm.scratch import stored
-from stockroom.llm.url_lists import host_of
+from stockroom.llm.url_lists import SUFFIXES, host_of, registered_domain
 
 BUCKETS = 1 << 14
 
 
 def letters_of(html: Column) -> Column:
-    """Lower-case words of a page or text without its tags, scripts, styles and entities."""
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<[^>]*>|&[a-z]+;", " ")
+    """Lower-case words of a page or text without its tags, scripts, styles and entities.
+
+    A script or style that isn't closed takes the rest of the page; "<" begins a tag if ">" comes before the next "<".
+    So each sign is read a fixed number of times, whatever the page holds.
+    """
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<[^<>]*+>|&[a-z]++;", " ")
     return F.lower(F.regexp_replace(bare, r"\P{L}+", " "))
 
 
@@ -70,38 +75,44 @@ def fit_text_model(labelled: DataFrame, *, train_rows: int = 5000, add: float =
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)) if langs else counts
 
 
-def page_evidence(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """page_id, host, domain, declared, hint, and text: the log likelihood of the page's text by language.
+def page_evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """page_id, host, domain, zone, declared, hint, and text: the log likelihood of the page's text by language.
 
-    The log likelihoods are the mean over the trigrams times the root of their number: trigrams of one page
+    domain: the registered domain of the host, or the host where it has none; zone: what the domain is registered
+    under. The log likelihoods are the mean over the trigrams times the root of their number: trigrams of one page
     are far from independent. Without letters all are 0.
     """
-    langs, table = model
+    table = model[1]
     short = lambda c: F.when(c.rlike("^[a-z]{2}$"), c).otherwise(F.lit(""))
     host = F.coalesce(host_of(F.col("url")), F.lit(""))
-    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1))
+    domain = F.coalesce(registered_domain(host, suffixes), host)
+    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<html\b[^<>]*?\blang\s*+=\s*+[\"']?([a-z]{2})", 1))
     path = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z]+://[^/?#]*/([A-Za-z]{2})(?:[/?#]|$)", 1))
     hint = F.when(path != "", path).otherwise(short(F.regexp_extract(host, r"\.([^.]+)$", 1)))
-    shown = pages.select("page_id", host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+(?:\.[^.]+)?)$", 1).alias("domain"), short(declared).alias("declared"), hint.alias("hint"), letters_of(F.col("html")).alias("letters"))
-
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for text in batch["letters"]:
-                n = trigram_counts(text)
-                at = np.flatnonzero(n)
-                found.append((table[:, at] @ n[at]) / max(n.sum(), 1) ** 0.5)
-            yield batch.drop(columns="letters").assign(text=found)
+    shown = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), host.alias("host"), domain.alias("domain"), F.regexp_extract(domain, r"^[^.]+\.(.+)$", 1).alias("zone"), short(declared).alias("declared"), hint.alias("hint"),
+        letters_of(F.col("html")).alias("letters"),
+    )
+
+    @F.pandas_udf("array<double>")
+    def likelihoods(letters: pd.Series) -> pd.Series:
+        found = []
+        for text in letters:
+            n = trigram_counts(text)
+            at = np.flatnonzero(n)
+            found.append((table[:, at] @ n[at]) / max(n.sum(), 1) ** 0.5)
+        return pd.Series(found, dtype=object)
 
-    return stored(shown.mapInPandas(apply, "page_id long, host string, domain string, declared string, hint string, text array<double>"), "page-evidence", batch_rows=500)
+    return stored(shown.withColumn("text", likelihoods("letters")).drop("letters"), "page-evidence", batch_rows=500)
 
 
-def identify(pages: DataFrame, labelled: DataFrame, *, train_rows: int = 5000, host_weight: float = 2.0, add: float = 0.5) -> DataFrame:
+def identify(pages: DataFrame, labelled: DataFrame, *, train_rows: int = 5000, host_weight: float = 2.0, add: float = 0.5, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """page_id, lang, confidence, text_lang, declared and hint for each row of ``pages`` (page_id, url, html).
 
     ``labelled`` (text, lang) fits the text model; without labelled rows lang is null. A null or empty page
     is judged by its address and host; a null URL has the empty host and domain. Of equally likely languages
-    the first by name is taken. Repeated rows each return a row.
+    the first by name is taken; text_lang is null where the page has no three letters. Repeated rows each return a
+    row. Any 64-bit page_id is returned as it is. ``suffixes``: what domains are registered under (last labels need no entry).
     """
     model = fit_text_model(labelled, train_rows=train_rows)
     langs = model[0]
@@ -115,7 +126,7 @@ def identify(pages: DataFrame, labelled: DataFrame, *, train_rows: int = 5000, h
         powers = F.transform(logs, lambda x: F.exp(x - top))
         return F.get(F.transform(F.array(powers), lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda a, b: a + b))), F.lit(0))
 
-    rows = stored(page_evidence(pages, model).withColumn("p", normal(F.col("text"))), "page-likelihoods")
+    rows = stored(page_evidence(pages, model, suffixes).withColumn("p", normal(F.col("text"))), "page-likelihoods")
     sums = [F.sum(F.get("p", F.lit(i))).alias(f"n{i}") for i in at]
 
     def counts(key: str) -> DataFrame:
@@ -125,16 +136,17 @@ def identify(pages: DataFrame, labelled: DataFrame, *, train_rows: int = 5000, h
     everywhere = rows.agg(*sums).first()
     total = np.array([everywhere[i] or 0.0 for i in at]) + add
     share = F.array(*(F.lit(float(x)) for x in total / total.sum()))
-    of = rows.join(F.broadcast(counts("declared")), "declared").join(F.broadcast(counts("hint")), "hint").join(counts("domain"), "domain").join(counts("host"), "host")
+    of = rows.join(F.broadcast(counts("declared")), "declared").join(F.broadcast(counts("hint")), "hint").join(counts("zone"), "zone").join(counts("domain"), "domain").join(counts("host"), "host")
     size = lambda n: F.aggregate(n, F.lit(0.0), lambda a, b: a + b)
     held_out = lambda n, i: F.greatest(F.get(n, F.lit(i)) - F.get("p", F.lit(i)), F.lit(0.0))
     logs = []
     for i in at:
-        domain = (held_out(F.col("by_domain"), i) + host_weight * F.get(share, F.lit(i))) / (size(F.col("by_domain")) - 1 + host_weight)
-        prior = (held_out(F.col("by_host"), i) + host_weight * domain) / (size(F.col("by_host")) - 1 + host_weight)
+        prior = F.get(share, F.lit(i))
+        for level in ("zone", "domain", "host"):
+            prior = (held_out(F.col(f"by_{level}"), i) + host_weight * prior) / (size(F.col(f"by_{level}")) - 1 + host_weight)
         told = [F.log((held_out(F.col(f"by_{kind}"), i) + add) / float(total[i])) for kind in ("declared", "hint")]
         logs.append(F.get("text", F.lit(i)) + F.log(prior) + told[0] + told[1])
     fused = of.withColumn("_q", normal(F.array(*logs)))
     names = F.array(*map(F.lit, langs))
     first_of = lambda a: F.get(names, F.array_position(a, F.array_max(a)).cast("int") - 1)
-    return fused.select("page_id", first_of(F.col("_q")).alias("lang"), F.round(F.array_max("_q"), 6).alias("confidence"), first_of(F.col("text")).alias("text_lang"), "declared", "hint")
+    return fused.select("page_id", first_of(F.col("_q")).alias("lang"), F.round(F.array_max("_q"), 6).alias("confidence"), F.when(F.array_min("text") < 0, first_of(F.col("text"))).alias("text_lang"), "declared", "hint")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stockroom.llm import languages, mixing, packing, quality_model, quality_rules, range_join, sharding, simhash, token_counts, url_lists
 from stockroom.llm.scratch import new_path
@@ -46,7 +47,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the probability that mixing gives them, and whether they are drawn."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mixing.mixed(docs).select("doc_id", "tokens", "topic", "probability", "sampled")
+    return mixing.mixed(docs).select("doc_id", "tokens", "topic", F.round("probability", 6).alias("probability"), "sampled")
 
 
 def op6_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def op6_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all pages; the text model is fitted on documents."""
-    return languages.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    return languages.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"), suffixes=url_lists.PAGE_SUFFIXES)
 
 
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
