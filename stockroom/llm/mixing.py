@@ -47,26 +47,36 @@ def tempered_targets(cells: DataFrame, power: float = 0.9) -> DataFrame:
     return grown.join(F.broadcast(sums), "dimension").select("dimension", "value", (F.col("grown") / F.col("total")).alias("share"))
 
 
-def rake(cells: DataFrame, targets: DataFrame, *, rounds: int = 10, rounds_in_plan: int = 5) -> DataFrame:
+def rake(cells: DataFrame, targets: DataFrame, *, tolerance: float = 1e-9, max_rounds: int = 50) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with weight, calibrated to ``targets``; weights sum to one.
 
-    A value that is in ``targets`` but in no cell has no effect; the shares of the others are rescaled. A
-    value without a target gets none: its cells have weight 0. A step sums the cells of a value in a window;
-    there are as many cells as sources, languages and topics occur together, however many documents they
-    hold. Lineage is cut every ``rounds_in_plan``.
+    Rounds end when no value's share is further than ``tolerance`` from its target; ``max_rounds`` ends them where the
+    targets contradict each other. Each round is written, which cuts lineage. A value that is in ``targets`` but in no cell has no effect; the shares of the others are rescaled. A
+    value without a target gets none: its cells have weight 0. Each step sums the cells by value, which meet on the
+    map side, and joins the sums back: a value with most of the cells is never in one task.
     """
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
+    out, goals = cells.withColumn("weight", F.col("tokens").cast("double")), {}
     for d in DIMENSIONS:
-        goal = targets.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("share").alias(f"share_{d}"))
-        out = out.join(goal, d, "left")
-    for k in range(rounds):
+        held = cells.select(F.col(d)).distinct()
+        goal = stored(targets.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("share").cast("double").alias("share")).join(held, d, "left_semi"), "goal")
+        whole = goal.agg(F.sum("share")).first()[0] or 1.0
+        goals[d] = goal.select(d, (F.col("share") / whole).alias("share"))
+    for _ in range(max_rounds):
         for d in DIMENSIONS:
-            have = F.sum("weight").over(W.partitionBy(d))
-            out = out.withColumn("weight", F.when(have > 0, F.col("weight") * F.coalesce(f"share_{d}", F.lit(0.0)) / have).otherwise(F.lit(0.0)))
-        if k % rounds_in_plan == rounds_in_plan - 1 or k == rounds - 1:
-            out = stored(out, "raked")
-    total = out.agg(F.sum("weight").alias("total"))
-    return out.join(F.broadcast(total)).select("source", "lang", "topic", "tokens", (F.col("weight") / F.col("total")).alias("weight"))
+            ratio = F.when(F.col("have") > 0, F.coalesce("share", F.lit(0.0)) / F.col("have")).otherwise(F.lit(0.0))
+            factor = out.groupBy(d).agg(F.sum("weight").alias("have")).join(goals[d], d, "left").select(d, ratio.alias("factor"))
+            out = out.join(factor, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+        out = stored(out, "raked")
+        if residual(out, goals) <= tolerance:
+            break
+    total = out.agg(F.sum("weight")).first()[0] or 1.0
+    return out.select("source", "lang", "topic", "tokens", (F.col("weight") / total).alias("weight"))
+
+
+def residual(cells: DataFrame, goals: dict[str, DataFrame]) -> float:
+    """The largest distance of a value's share of the weights from its goal, over all dimensions."""
+    far = [cells.groupBy(d).agg(F.sum("weight").alias("have")).join(goal, d).select(F.abs(F.col("have") - F.col("share")).alias("far")) for d, goal in goals.items()]
+    return reduce(DataFrame.unionByName, far).agg(F.max("far")).first()[0] or 0.0
 
 
 def uniform_of(doc_id: Column, seed: str) -> Column:
@@ -75,7 +85,7 @@ def uniform_of(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mixed(docs: DataFrame, *, targets: DataFrame | None = None, power: float = 0.9, rounds: int = 10, seed: str = "mix", tokens: Column | None = None, topic: Column | None = None, budget: float | None = None) -> DataFrame:
+def mixed(docs: DataFrame, *, targets: DataFrame | None = None, power: float = 0.9, tolerance: float = 1e-9, seed: str = "mix", tokens: Column | None = None, topic: Column | None = None, budget: float | None = None) -> DataFrame:
     """``docs`` (doc_id, text, source, lang) with tokens, topic, probability and sampled.
 
     ``targets``: (dimension, value, share); by default each dimension's own shares to ``power``. The scale is
@@ -83,28 +93,30 @@ def mixed(docs: DataFrame, *, targets: DataFrame | None = None, power: float = 0
     capped; then the one cell with the largest ratio sets the rate of all. With a ``budget``, the share of all
     tokens that is drawn, the scale follows from it alone: probability is how often a document is expected, and
     may be over one, and a column copies has how often it is drawn, its whole repeats and a draw for the rest.
+    Probabilities are not rounded, so a document of the rarest cell keeps its chance.
     Null source or language is a value of its own, "". Repeated rows share their probability and
     their draw. Clashing columns tokens, topic, probability, sampled and, with a budget, copies of ``docs`` are replaced.
     """
     tokens = tokens_of(F.col("text")) if tokens is None else tokens
     topic = topic_of(F.col("text")) if topic is None else topic
-    rows = docs.drop("probability", "sampled").withColumns({"tokens": tokens, "topic": topic, "_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit(""))})
-    cells = stored(rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = rake(cells, stored(tempered_targets(cells, power), "targets") if targets is None else targets, rounds=rounds)
+    cell = [F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("topic")]
+    rows = docs.drop("probability", "sampled").withColumns({"tokens": tokens, "topic": topic})
+    cells = stored(rows.groupBy(*(c.alias(d) for c, d in zip(cell, DIMENSIONS))).agg(F.sum("tokens").alias("tokens")), "cells")
+    raked = rake(cells, stored(tempered_targets(cells, power), "targets") if targets is None else targets, tolerance=tolerance)
     ratio = raked.withColumn("ratio", F.col("weight") / F.col("tokens"))
-    # one row; weights sum to one, so by a budget a cell's weight is its share of the tokens to be drawn
-    top = ratio.agg(F.max("ratio").alias("top") if budget is None else (1 / (budget * F.sum("tokens"))).alias("top"))
-    chance = stored(ratio.join(F.broadcast(top)).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic", F.round(F.col("ratio") / F.col("top"), 6).alias("probability")), "chances")
-    out = rows.join(chance, ["_source", "_lang", "topic"], "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
+    # weights sum to one, so by a budget a cell's weight is its share of the tokens to be drawn
+    top = ratio.agg(F.max("ratio") if budget is None else 1 / (budget * F.sum("tokens"))).first()[0] or 1.0
+    chance = stored(ratio.select(F.struct(*DIMENSIONS).alias("cell"), (F.col("ratio") / top).alias("chance")), "chances")
+    out = rows.join(chance, F.struct(*(c.alias(d) for c, d in zip(cell, DIMENSIONS))) == chance["cell"], "left").drop(chance["cell"]).withColumn("probability", F.coalesce(chance["chance"], F.lit(0.0))).drop(chance["chance"])
     drawn = uniform_of(F.col("doc_id"), seed)
     if budget is None:
-        return out.withColumn("sampled", drawn < F.col("probability")).drop("_source", "_lang")
+        return out.withColumn("sampled", drawn < F.col("probability"))
     whole = F.floor("probability")
     copies = (whole + (drawn < F.col("probability") - whole).cast("int")).cast("int")
-    return out.withColumn("copies", copies).withColumn("sampled", F.col("copies") > 0).drop("_source", "_lang")
+    return out.withColumn("copies", copies).withColumn("sampled", F.col("copies") > 0)
 
 
-def oracle_sql(rounds: int = 10, power: float = 0.9, seed: str = "mix") -> str:
+def oracle_sql(rounds: int = 20, power: float = 0.9, seed: str = "mix") -> str:
     """DuckDB SQL for (doc_id, tokens, topic, probability, sampled)."""
     steps, last = [], "cells"
     for k in range(rounds):
@@ -125,8 +137,8 @@ grown AS ({shares}),
 targets AS MATERIALIZED (SELECT dimension, value, g / sum(g) OVER (PARTITION BY dimension) AS share FROM grown),
 {", ".join(steps)},
 r AS (SELECT source, lang, topic, weight / tokens AS ratio FROM {last}),
-q AS (SELECT source, lang, topic, round(ratio / max(ratio) OVER (), 6) AS probability FROM r)
-SELECT doc_id, tokens, topic, probability,
+q AS (SELECT source, lang, topic, ratio / max(ratio) OVER () AS probability FROM r)
+SELECT doc_id, tokens, topic, round(probability, 6) AS probability,
        CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled
 FROM d JOIN q USING (source, lang, topic)
 """
