@@ -1,16 +1,19 @@
 """Quality rules in a short-circuit cascade, with DataFrame functions only.
 
-``measured`` adds the base measures of each whole text, without a shuffle. ``cascade`` runs any rules (true:
-reject) one after another on each row until one rejects. It times every rule on a sample and counts what
-it rejects there, and orders the rules by rejection per cost. The order decides how much work is done, and
+A rule is a test on measures of a whole text (true: reject), and a measure is an expression on the text or on
+other measures. ``cascade`` runs the rules one after another on each row until one rejects: a measure is
+computed, once, when the first rule that needs it is reached, and not at all on rows that are rejected before.
+Each rule is timed from the raw text on a sample, with all measures that it needs, and what it rejects there
+is counted; rules are ordered by rejection per cost. The order decides how much work is done, and
 which rule is named as the first to reject; it never decides whether a row is rejected.
 """
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,85 +60,131 @@ def _repeated(hashes: Column) -> Column:
     return F.when(F.size(hashes) <= WINDOW, F.lit(0)).otherwise(let(fours, of_fours))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct (distinct words), all long, and base_failed.
-
-    Null and empty texts have no words and fail. Windows are told apart by 64-bit hashes of their words'
-    hashes. A text of any length is measured whole, in time n log n of its words. Existing columns with
-    these names are replaced.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
-    words = F.array_remove(F.split(body, SPACE + "+"), "")
-    lines = F.filter(F.split(body, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    of_hashes = lambda h: F.struct(F.size(h).alias("n_words"), _repeated(h).alias("n_repeat_words"), F.size(F.array_distinct(h)).alias("n_distinct"))
-    of_words = lambda w: F.struct(let(F.transform(w, lambda x: F.xxhash64(x)), of_hashes).alias("h"), F.length(F.array_join(w, "")).alias("word_chars"))
-    counted = docs.withColumns(
-        {
-            "_words": let(words, of_words),
-            "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        }
-    )
-    counted = counted.withColumns({n: F.col(f"_words.h.{n}").cast("long") for n in ("n_words", "n_repeat_words", "n_distinct")} | {"word_chars": F.col("_words.word_chars").cast("long")}).drop("_words")
-    return counted.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-
-
-def standard_rules(text: str = "text") -> dict[str, Column]:
-    """Rules on the columns of ``measured``; true rejects."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    upper = F.regexp_count(body, F.lit(r"\p{Lu}"))
+Measures = Mapping[str, Column]
+
+#: Measures by name: what each needs, and how it follows from that. "text" is the text itself, null as empty.
+MEASURES: dict[str, tuple[tuple[str, ...], Callable[[Measures], Column]]] = {
+    "words": (("text",), lambda m: F.array_remove(F.split(m["text"], SPACE + "+"), "")),
+    "hashes": (("words",), lambda m: F.transform(m["words"], lambda x: F.xxhash64(x))),
+    "n_words": (("words",), lambda m: F.size(m["words"])),
+    "word_chars": (("words",), lambda m: F.length(F.array_join(m["words"], ""))),
+    "n_repeat_words": (("hashes",), lambda m: _repeated(m["hashes"])),
+    "n_distinct": (("hashes",), lambda m: F.size(F.array_distinct(m["hashes"]))),
+    "n_symbols": (("text",), lambda m: F.regexp_count(m["text"], F.lit(r"[#*$%&|<>]"))),
+    "n_upper": (("text",), lambda m: F.regexp_count(m["text"], F.lit(r"\p{Lu}"))),
+    "n_lines": (("text",), lambda m: F.size(F.split(m["text"], "\n", -1))),
+    "lines": (("text",), lambda m: F.filter(F.split(m["text"], "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))),
+    "n_dup_lines": (("lines",), lambda m: F.size(m["lines"]) - F.size(F.array_distinct(m["lines"]))),
+}
+#: Measures that ``judged`` returns.
+SHOWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def with_measures(names: list[str], bound: Measures, use: Callable[[Measures], Column]) -> Column:
+    """``use`` with the measures ``names`` (and what they need) added to ``bound``, each computed once for a row."""
+    name = next((n for n in names if n not in bound), None)
+    if name is None:
+        return use(bound)
+    needs, make = MEASURES[name]
+    missing = [n for n in needs if n not in bound]
+    if missing:
+        return with_measures([*missing, *names], bound, use)
+    return let(make(bound), lambda value: with_measures(names, {**bound, name: value}, use))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Rejects where ``test``, on the measures that it needs, is true. Null doesn't reject."""
+
+    needs: tuple[str, ...]
+    test: Callable[[Measures], Column]
+
+
+def base_rules(min_words: int = 20, repeat_percent: int = 30) -> dict[str, Rule]:
+    """The rules that make base_failed: too few words, or too many in repeated windows."""
     return {
-        "base": F.col("base_failed"),
-        "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
-        "long words": F.col("word_chars") > 20 * F.col("n_words"),
-        "repeated lines": 2 * F.col("n_dup_lines") > F.size(F.split(body, "\n", -1)),
-        "few words": 5 * F.col("n_distinct") < F.col("n_words"),
-        "shouting": 10 * upper > 3 * F.col("word_chars"),
+        "short": Rule(("n_words",), lambda m: m["n_words"] < min_words),
+        "repeated words": Rule(("n_words", "n_repeat_words"), lambda m: 100 * m["n_repeat_words"] > repeat_percent * m["n_words"]),
+    }
+
+
+def standard_rules(min_words: int = 20, repeat_percent: int = 30) -> dict[str, Rule]:
+    """All rules by name."""
+    return base_rules(min_words, repeat_percent) | {
+        "symbols": Rule(("n_symbols", "n_words"), lambda m: 10 * m["n_symbols"] > m["n_words"]),
+        "long words": Rule(("word_chars", "n_words"), lambda m: m["word_chars"] > 20 * m["n_words"]),
+        "repeated lines": Rule(("n_dup_lines", "n_lines"), lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
+        "few words": Rule(("n_distinct", "n_words"), lambda m: 5 * m["n_distinct"] < m["n_words"]),
+        "shouting": Rule(("n_upper", "word_chars"), lambda m: 10 * m["n_upper"] > 3 * m["word_chars"]),
     }
 
 
+def cascade(names: list[str], rules: Mapping[str, Rule], bound: Measures) -> Column:
+    """The name of the first of ``names`` that rejects the text with the measures ``bound`` ("text" among them), else null."""
+    if not names:
+        return F.lit(None).cast("string")
+    rule = rules[names[0]]
+    return with_measures(list(rule.needs), bound, lambda m: F.when(rule.test(m), F.lit(names[0])).otherwise(cascade(names[1:], rules, m)))
+
+
+def body_of(text: str) -> Measures:
+    return {"text": F.coalesce(F.col(text), F.lit(""))}
+
+
 def sampled(docs: DataFrame, rows: int, seed: int = 7) -> DataFrame:
     """About ``rows`` rows of ``docs``, drawn at random from all of it."""
     return docs.sample(min(1.0, rows / max(docs.count(), 1)), seed=seed)
 
 
-def order_rules(sample: DataFrame, rules: dict[str, Column]) -> list[str]:
-    """Names of ``rules`` by share rejected per second, most first, as measured on ``sample``."""
-    sample = stored(sample, "rule-sample").coalesce(4)
+def order_rules(sample: DataFrame, rules: Mapping[str, Rule], text: str = "text", runs: int = 3) -> list[str]:
+    """Names of ``rules`` by share of ``sample`` rejected per second, most first; ties keep their order.
+
+    A rule's cost is the least time of ``runs`` of it alone, from the raw text, beyond that of reading the sample. It is
+    rounded to a power of two, so that noise seldom changes an order. On an empty sample the rules keep their order.
+    """
+    sample = stored(sample.select(text), "rule-sample").coalesce(4)
 
-    def timed(rule: Column) -> tuple[float, float]:
+    def timed(verdict: Column) -> tuple[float, float]:
         best, share = float("inf"), 0.0
-        for _ in range(2):
+        for _ in range(runs):
             began = time.perf_counter()
-            share = sample.agg(F.avg(rule.cast("double"))).first()[0] or 0.0
+            share = sample.agg(F.avg(F.coalesce(verdict, F.lit(False)).cast("double"))).first()[0] or 0.0
             best = min(best, time.perf_counter() - began)
         return best, share
 
-    empty_run, _ = timed(F.lit(False))
+    reading, _ = timed(F.octet_length(text) < 0)
     ranks = {}
     for name, rule in rules.items():
-        seconds, share = timed(rule)
-        ranks[name] = share / max(seconds - empty_run, 1e-3)
+        seconds, share = timed(with_measures(list(rule.needs), body_of(text), rule.test))
+        ranks[name] = share / 2.0 ** round(math.log2(max(seconds - reading, 1e-3)))
     return sorted(rules, key=lambda name: -ranks[name])
 
 
-def cascade(docs: DataFrame, rules: dict[str, Column], sample: DataFrame) -> DataFrame:
-    """Adds failed_rule to ``docs``: the first rule, in the order measured on ``sample``, that rejects the row, else null.
+def judged(docs: DataFrame, *, text: str = "text", min_words: int = 20, repeat_percent: int = 30, sample_rows: int = 2000) -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, failed_rule and kept.
 
-    A rule that gives null on a row doesn't reject it. Later rules are not evaluated on a rejected row. With an
-    empty sample the rules keep their order.
+    base_failed: by ``base_rules``; failed_rule: the first of ``standard_rules`` in measured order that rejects the
+    text, else null; kept: none does. Null and empty texts have no words: they are short. Windows are told apart by 64-bit
+    hashes of their words' hashes. A text of any length is measured whole, in time n log n of its words. Existing columns
+    with these names are replaced, and so is one named _judged.
     """
-    names = order_rules(sample, rules)
-    if not names:
-        return docs.withColumn("failed_rule", F.lit(None).cast("string"))
-    verdict = reduce(lambda chain, name: chain.when(rules[name], F.lit(name)), names[1:], F.when(rules[names[0]], F.lit(names[0])))
-    return docs.withColumn("failed_rule", verdict)
+    base, rules = base_rules(min_words, repeat_percent), standard_rules(min_words, repeat_percent)
+    names = order_rules(sampled(docs.select(text), sample_rows), rules, text)
+
+    def told(m: Measures) -> Column:
+        failed = base["short"].test(m) | base["repeated words"].test(m)
+        return F.struct(*(m[n].cast("long").alias(n) for n in SHOWN), failed.alias("base_failed"), cascade(names, rules, m).alias("failed_rule"))
+
+    rows = docs.withColumn("_judged", with_measures(list(SHOWN), body_of(text), told))
+    rows = rows.withColumns({c: F.col(f"_judged.{c}") for c in (*SHOWN, "base_failed", "failed_rule")})
+    return rows.withColumn("kept", F.col("failed_rule").isNull()).drop("_judged")
 
 
-def judged(docs: DataFrame, *, sample_rows: int = 1000) -> DataFrame:
-    """``docs`` (doc_id, text) with the base measures, base_failed and kept by the standard rules."""
-    out = cascade(measured(docs), standard_rules(), measured(sampled(docs, sample_rows)))
-    return out.withColumn("kept", F.col("failed_rule").isNull())
+def passed(docs: DataFrame, *, text: str = "text", min_words: int = 20, repeat_percent: int = 30, sample_rows: int = 2000) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, without its columns: nothing is measured beyond the first rule that rejects."""
+    rules = standard_rules(min_words, repeat_percent)
+    names = order_rules(sampled(docs.select(text), sample_rows), rules, text)
+    return docs.where(cascade(names, rules, body_of(text)).isNull())
 
 
 QUERY_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
