@@ -16,6 +16,8 @@ from stockroom.llm.queries import table, tokenizer_path
 from stockroom.llm.scratch import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words that a document must have: a short one can be clean.
+MIN_WORDS = 1
 #: Share of the tokens that mixing draws.
 MIX_BUDGET = 0.5
 
@@ -27,15 +29,12 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
-    return quality_rules.judged(docs).where("kept").select(*COLUMNS)
+    """Documents that no quality rule rejects; any text of ``MIN_WORDS`` words or more is long enough."""
+    return quality_rules.passed(docs.select(*COLUMNS), min_words=MIN_WORDS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.
-
-    Of rows that share that doc_id one stays; rows without doc_id stay if their group has no other.
-    """
+    """One document of each group of near duplicates: a row with the smallest doc_id, or any if none has one."""
     return simhash.one_of_each(docs.select(*COLUMNS))
 
 
