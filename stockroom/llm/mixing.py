@@ -53,30 +53,35 @@ def rake(cells: DataFrame, targets: DataFrame, *, tolerance: float = 1e-9, max_r
     Rounds end when no value's share is further than ``tolerance`` from its target; ``max_rounds`` ends them where the
     targets contradict each other. Each round is written, which cuts lineage. A value that is in ``targets`` but in no cell has no effect; the shares of the others are rescaled. A
     value without a target gets none: its cells have weight 0. Each step sums the cells by value, which meet on the
-    map side, and joins the sums back: a value with most of the cells is never in one task.
+    map side, and joins the ratios back: a value with most of the cells is never in one task.
     """
-    out, goals = cells.withColumn("weight", F.col("tokens").cast("double")), {}
+    out = cells.withColumn("weight", F.col("tokens").cast("double"))
     for d in DIMENSIONS:
-        held = cells.select(F.col(d)).distinct()
-        goal = stored(targets.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("share").cast("double").alias("share")).join(held, d, "left_semi"), "goal")
-        whole = goal.agg(F.sum("share")).first()[0] or 1.0
-        goals[d] = goal.select(d, (F.col("share") / whole).alias("share"))
+        goal = targets.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("share").cast("double").alias("share"))
+        met = goal.join(cells.select(d).distinct(), d, "left_semi").agg(F.sum("share")).first()[0] or 1.0
+        out = out.join(goal.select(d, (F.col("share") / met).alias(f"goal_{d}")), d, "left").withColumn(f"goal_{d}", F.coalesce(f"goal_{d}", F.lit(0.0)))
+    out = stored(out, "raked")
     for _ in range(max_rounds):
         for d in DIMENSIONS:
-            ratio = F.when(F.col("have") > 0, F.coalesce("share", F.lit(0.0)) / F.col("have")).otherwise(F.lit(0.0))
-            factor = out.groupBy(d).agg(F.sum("weight").alias("have")).join(goals[d], d, "left").select(d, ratio.alias("factor"))
-            out = out.join(factor, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            ratio = F.when(F.sum("weight") > 0, F.max(f"goal_{d}") / F.sum("weight")).otherwise(F.lit(0.0))
+            out = out.join(out.groupBy(d).agg(ratio.alias("factor")), d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         out = stored(out, "raked")
-        if residual(out, goals) <= tolerance:
+        if residual(out) <= tolerance:
             break
     total = out.agg(F.sum("weight")).first()[0] or 1.0
     return out.select("source", "lang", "topic", "tokens", (F.col("weight") / total).alias("weight"))
 
 
-def residual(cells: DataFrame, goals: dict[str, DataFrame]) -> float:
-    """The largest distance of a value's share of the weights from its goal, over all dimensions."""
-    far = [cells.groupBy(d).agg(F.sum("weight").alias("have")).join(goal, d).select(F.abs(F.col("have") - F.col("share")).alias("far")) for d, goal in goals.items()]
-    return reduce(DataFrame.unionByName, far).agg(F.max("far")).first()[0] or 0.0
+def residual(cells: DataFrame) -> float:
+    """The largest distance of a value's share of the weights from its goal, over the dimensions before the last.
+
+    A round ends with the last dimension, so there all shares are at their goals.
+    """
+    first = DIMENSIONS[:-1]
+    sums = cells.groupingSets([[d] for d in first], *first).agg(F.grouping_id().alias("level"), F.sum("weight").alias("have"), *(F.max(f"goal_{d}").alias(d[0]) for d in first))
+    # bit by bit from the left, a dimension's bit is 0 where the row is one of its values
+    goal = F.when(F.col("level") == 1, F.col(first[0][0])).otherwise(F.col(first[1][0]))
+    return sums.select(F.abs(F.col("have") - goal).alias("far")).agg(F.max("far")).first()[0] or 0.0
 
 
 def uniform_of(doc_id: Column, seed: str) -> Column:

@@ -136,7 +136,7 @@ def sampled(docs: DataFrame, rows: int, seed: int = 7) -> DataFrame:
     return docs.sample(min(1.0, rows / max(docs.count(), 1)), seed=seed)
 
 
-def order_rules(sample: DataFrame, rules: Mapping[str, Rule], text: str = "text", runs: int = 3) -> list[str]:
+def order_rules(sample: DataFrame, rules: Mapping[str, Rule], text: str = "text", runs: int = 2) -> list[str]:
     """Names of ``rules`` by share of ``sample`` rejected per second, most first; ties keep their order.
 
     A rule's cost is the least time of ``runs`` of it alone, from the raw text, beyond that of reading the sample. It is
