@@ -8,7 +8,6 @@ without a link are taken out before any of these joins: the empty key would be t
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stockroom.functions import fixed_values as V
@@ -75,6 +74,9 @@ def upsert_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def first_resolved_before(rows: DataFrame) -> DataFrame:
-    """rows (url_key, ord, confidence) with prior: ord of the first resolved row of the key before each."""
-    w = W.partitionBy("url_key").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("prior", F.min(F.when(F.col("confidence") == V.RESOLVED, F.col("ord"))).over(w))
+    """rows (url_key, ord, confidence) with prior: ord of the first resolved row of the key before each.
+
+    The first resolved row of a key is an aggregate, joined back: no key's rows are sorted in one task.
+    """
+    first = rows.where(F.col("confidence") == V.RESOLVED).groupBy("url_key").agg(F.min("ord").alias("_first"))
+    return rows.join(first, "url_key", "left").withColumn("prior", F.when(F.col("_first") < F.col("ord"), F.col("_first"))).drop("_first")

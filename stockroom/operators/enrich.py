@@ -12,6 +12,7 @@ from stockroom.functions.clean import brand_key
 from stockroom.functions.dimensions import dimension_result, is_dim_label, pairs_from_text
 from stockroom.operators.cache import fetch_worklist, new_cache_rows, replay_results, upsert_cache
 from stockroom.operators.pages import pairs_from_html
+from stockroom.sources.shared import stored
 
 RESULT_TYPE = "struct<height:string,width:string,depth:string,confidence:string,source_url:string,raw_text:string,reason:string>"
 
@@ -70,21 +71,23 @@ def pick_result(page: Column, n_page_pairs: Column, pdf: Column, url: Column) ->
 
 
 def page_dimensions(attached: DataFrame, pdf_text: DataFrame, convention: str = "overall", match: str = "substring") -> DataFrame:
-    """Adds result to rows with link, outcome and html. Documents are read only for pages not resolved."""
-    own = attached.columns
-    fetched = attached.where("outcome IS NULL")
-    parsed = pairs_from_html(fetched, "html", "link").withColumn("_pairs", dim_pairs(F.col("pairs"))).drop("pairs", "html")
+    """Adds result to rows with link, outcome and html. Documents are read only for pages not resolved.
+
+    Pages are joined and parsed once: what they say is stored, and then asked for the documents that it needs and for results.
+    """
+    kept = [c for c in attached.columns if c != "html"]
+    fetched = attached.withColumn("html", F.when(F.col("outcome").isNull(), F.col("html")))
+    parsed = stored(pairs_from_html(fetched, "html", "link").select(*kept, dim_pairs(F.col("pairs")).alias("_pairs"), "pdf_url"), "page-pairs")
     paged = parsed.withColumn("_page", dimension_result(F.col("_pairs"), F.col("link"), convention, match))
     open_ = (F.size("_pairs") == 0) | (F.col("_page.confidence") != V.RESOLVED)
-    wanted = paged.withColumn("_pdf", F.when(open_, F.col("pdf_url")))
+    wanted = stored(paged.withColumn("_pdf", F.when(open_, F.col("pdf_url"))).drop("pdf_url"), "page-results")
     # documents that some open page links to, each resolved once
     needed = wanted.where("_pdf IS NOT NULL").select(F.col("_pdf").alias("pdf_url")).distinct()
     texts = doc_text(pdf_text.join(needed, "pdf_url", "left_semi")).withColumn("_doc", dim_pairs(pairs_from_text(F.col("text"))))
     read = texts.where(F.size("_doc") > 0).select(F.col("pdf_url").alias("_pdf"), dimension_result(F.col("_doc"), F.col("pdf_url"), convention, match).alias("_read"))
-    kept = [c for c in own if c != "html"]
-    done = wanted.join(read, "_pdf", "left").select(*kept, pick_result(F.col("_page"), F.size("_pairs"), F.col("_read"), F.col("link")).alias("result"))
-    failed = attached.where("outcome IS NOT NULL").select(*kept, not_found(F.col("outcome"), F.col("link")).alias("result"))
-    return done.unionByName(failed)
+    picked = pick_result(F.col("_page"), F.size("_pairs"), F.col("_read"), F.col("link"))
+    result = F.when(F.col("outcome").isNull(), picked).otherwise(not_found(F.col("outcome"), F.col("link")))
+    return wanted.join(read, "_pdf", "left").select(*kept, result.alias("result"))
 
 
 def fetch_results(worklist: DataFrame, pages: DataFrame, pdf_text: DataFrame, parsers: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] | None = None) -> DataFrame:
@@ -99,8 +102,12 @@ def fetch_results(worklist: DataFrame, pages: DataFrame, pdf_text: DataFrame, pa
 
 
 def enrich(rows: DataFrame, cache: DataFrame, pages: DataFrame, pdf_text: DataFrame, fetched_at: Column, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(results, new cache) of rows to enrich. Results: the rows with height ... reason."""
-    own = fetch_results(fetch_worklist(rows, cache, force), pages, pdf_text)
+    """(results, new cache) of rows to enrich. Results: the rows with height ... reason.
+
+    The rows, the work list and its results are stored: each is used more than once, and none is computed again.
+    """
+    rows = stored(rows, "rows-to-enrich")
+    own = stored(fetch_results(stored(fetch_worklist(rows, cache, force), "work-list"), pages, pdf_text), "own-results")
     replayed = replay_results(rows, own, cache, force).select(*rows.columns, "result")
     linkless = rows.where("link = ''").withColumn("result", not_found(F.lit(V.NO_URL), F.lit("")))
     results = replayed.unionByName(linkless).select(*rows.columns, "result.*")

@@ -13,14 +13,22 @@ from pyspark.sql import functions as F
 from stockroom.functions import fixed_values as V
 from stockroom.functions.clean import is_blank_dims, is_header, stripped
 from stockroom.operators.summary import sheets
+from stockroom.sources.shared import stored
 
 #: Rows of row_seq to a lane.
 LANE = 1 << 16
 
 
-def block_order(mapped: DataFrame) -> DataFrame:
-    """(sheet, block, n, first_seq, block_ord): blocks of a sheet in order of their first row."""
-    blocks = mapped.groupBy("sheet", "block").agg(F.count("*").alias("n"), F.min("row_seq").alias("first_seq"))
+def lanes_of(mapped: DataFrame, lane: int = LANE) -> DataFrame:
+    """(sheet, block, lane, n, first_seq), stored: all that the order of blocks and rows needs from the rows, in one pass."""
+    of = mapped.groupBy("sheet", "block", F.floor(F.col("row_seq") / lane).alias("lane"))
+    return stored(of.agg(F.count("*").alias("n"), F.min("row_seq").alias("first_seq")), "lanes")
+
+
+def block_order(mapped: DataFrame, lanes: DataFrame | None = None) -> DataFrame:
+    """(sheet, block, n, first_seq, block_ord): blocks of a sheet in order of their first row. ``lanes``: of these rows."""
+    lanes = lanes_of(mapped) if lanes is None else lanes
+    blocks = lanes.groupBy("sheet", "block").agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
     return blocks.withColumn("block_ord", F.row_number().over(W.partitionBy("sheet").orderBy("first_seq")).cast("long"))
 
 
@@ -30,33 +38,37 @@ def order_output(mapped: DataFrame) -> DataFrame:
     return mapped.join(keys, ["sheet", "block"]).orderBy("sheet_ord", "block_ord", "row_seq")
 
 
-def block_starts(mapped: DataFrame) -> DataFrame:
+def block_starts(mapped: DataFrame, lanes: DataFrame | None = None) -> DataFrame:
     """``block_order`` with start: the row of the block's label. A block takes n + 2 rows and a separator."""
     before = F.sum(F.col("n") + 3).over(W.partitionBy("sheet").orderBy("block_ord").rowsBetween(W.unboundedPreceding, -1))
-    return block_order(mapped).withColumn("start", F.coalesce(before, F.lit(0)) + 1)
+    return block_order(mapped, lanes).withColumn("start", F.coalesce(before, F.lit(0)) + 1)
 
 
-def layout_positions(mapped: DataFrame, lane: int = LANE) -> DataFrame:
-    """Mapped rows with row_idx, their place in the sheet; equal row_seq may take each other's place."""
-    laned = mapped.withColumn("_lane", F.floor(F.col("row_seq") / lane))
-    lanes = laned.groupBy("sheet", "block", "_lane").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("sheet", "block").orderBy("_lane").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = lanes.select("sheet", "block", "_lane", before.alias("_before")).join(block_starts(mapped).select("sheet", "block", "start"), ["sheet", "block"])
+def layout_positions(mapped: DataFrame, lane: int = LANE, lanes: DataFrame | None = None) -> DataFrame:
+    """Mapped rows with row_idx, their place in the sheet; equal row_seq may take each other's place.
+
+    ``lanes``: ``lanes_of`` these rows with the same ``lane``. Rows are read twice: for the lanes, and to be placed.
+    """
+    lanes = lanes_of(mapped, lane) if lanes is None else lanes
+    before = F.coalesce(F.sum("n").over(W.partitionBy("sheet", "block").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = block_starts(mapped, lanes).select("sheet", "block", "start")
+    offsets = lanes.select("sheet", "block", F.col("lane").alias("_lane"), before.alias("_before")).join(starts, ["sheet", "block"])
     at = F.row_number().over(W.partitionBy("sheet", "block", "_lane").orderBy("row_seq"))
-    placed = laned.withColumn("_at", at).join(offsets, ["sheet", "block", "_lane"])
+    placed = mapped.withColumn("_lane", F.floor(F.col("row_seq") / lane)).withColumn("_at", at).join(offsets, ["sheet", "block", "_lane"])
     return placed.select(*mapped.columns, (F.col("start") + 1 + F.col("_before") + F.col("_at")).cast("long").alias("row_idx"))
 
 
 def sheet_grid(mapped: DataFrame) -> DataFrame:
     """(sheet, row_idx, c1..c8): the listing of each sheet, with labels, headers, rows and blank separators."""
-    starts = block_starts(mapped)
+    lanes = lanes_of(mapped)
+    starts = block_starts(mapped, lanes)
     empty = [F.lit("").alias(f"c{i}") for i in range(1, 9)]
     last = F.max("block_ord").over(W.partitionBy("sheet"))
     line = lambda at, cells: starts.select("sheet", at.cast("long").alias("row_idx"), *(F.lit(c).alias(f"c{i}") for i, c in enumerate(cells, 1)))
     labels = starts.select("sheet", F.col("start").cast("long").alias("row_idx"), F.col("block").alias("c1"), *empty[1:])
     heads = line(F.col("start") + 1, [*V.MAPPED_HEADERS, "", ""])
     gaps = starts.withColumn("_last", last).where("block_ord < _last").select("sheet", (F.col("start") + F.col("n") + 2).cast("long").alias("row_idx"), *empty)
-    rows = layout_positions(mapped).select("sheet", "row_idx", *(F.col(h).alias(f"c{i}") for i, h in enumerate(V.MAPPED_HEADERS, 1)), *empty[6:])
+    rows = layout_positions(mapped, lanes=lanes).select("sheet", "row_idx", *(F.col(h).alias(f"c{i}") for i, h in enumerate(V.MAPPED_HEADERS, 1)), *empty[6:])
     return labels.unionByName(heads).unionByName(rows).unionByName(gaps)
 
 

@@ -175,13 +175,12 @@ def pairs_from_html(pages: DataFrame, html: str = "html", url: str = "url") -> D
 
     @F.pandas_udf(f"struct<pairs:{PAIRS},pdf_url:string>")
     def parse(htmls: pd.Series, urls: pd.Series) -> pd.DataFrame:
-        rows = [page_pairs(h, u) for h, u in zip(htmls, urls)]
+        rows = [([], None) if h is None else page_pairs(h, u) for h, u in zip(htmls, urls)]
         return pd.DataFrame({"pairs": [p for p, _ in rows], "pdf_url": [x for _, x in rows]}, dtype=object)
 
-    may = F.coalesce(F.col(html).rlike(HOLDS), F.lit(False))
-    got = pages.where(may).withColumn("_got", parse(F.col(html), F.col(url)))
-    got = got.withColumns({"pairs": F.coalesce("_got.pairs", F.array().cast(PAIRS)), "pdf_url": F.col("_got.pdf_url")}).drop("_got")
-    return got.unionByName(pages.where(~may).withColumns({"pairs": F.array().cast(PAIRS), "pdf_url": F.lit(None).cast("string")}))
+    # one pass: a page that can't hold a pair goes through as null
+    got = pages.withColumn("_got", parse(F.when(F.col(html).rlike(HOLDS), F.col(html)), F.col(url)))
+    return got.withColumns({"pairs": F.coalesce("_got.pairs", F.array().cast(PAIRS)), "pdf_url": F.col("_got.pdf_url")}).drop("_got")
 
 
 def pairs_from_json(col: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stockroom.functions import fixed_values as V
 from stockroom.functions.clean import brand_key, contains_any, stripped
 from stockroom.functions.dimensions import once
+from stockroom.sources.shared import small
 
 #: Names of columns for the field names that override rules use.
 FIELDS = {"Brand": "brand", "Product Group": "product_group", "Subcategory": "subcategory", "Product Name": "product_name", "Model / SKU": "sku"}
@@ -118,7 +119,7 @@ def compiled(catalogue: DataFrame, rules: list, overrides: list) -> DataFrame:
     looked = {_checked_name(f): f for _, _, inner in overrides for f, _, _, _ in inner}
     texts = [_checked(f, catalogue.columns).alias(name) for name, f in looked.items()]
     row = F.struct(brand_key(F.col("product_group")).alias("group"), F.lower(stripped(F.col("subcategory"))).alias("low"), *texts)
-    # computed once for a row, however often Catalyst repeats the outcome
+    # one number for both outcomes; a filter on them that reaches this computes it once more
     number = once(row, lambda x: _first(_override_tests(overrides, x) + _rule_tests(rules, x)))
     targets = [(s, b) for _, _, inner in overrides for _, _, s, b in inner] + [(s, b) for _, _, s, b in rules]
     numbered = catalogue.withColumn("_rule", number)
@@ -138,14 +139,14 @@ def match_rules(catalogue: DataFrame, rules: DataFrame, key: str = "row_seq") ->
 def match_overrides(catalogue: DataFrame, overrides: DataFrame, key: str = "row_seq") -> DataFrame:
     """(key, sheet, block) of the first override rule of a table whose keyword is found.
 
-    Overrides for any group are joined without a group, apart from the rest: a table of overrides is small.
+    A row has its group and the empty one as keys, so that overrides for any group are found by the same equal join. The
+    table is broadcast after its rows are counted; a longer one is joined by shuffling.
     """
     names = {v: k for k, v in FIELDS.items()}
     cells = F.create_map(*(x for c in catalogue.columns for x in (F.lit(names.get(c, c)), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))))
     rows = catalogue.select(key, brand_key(F.col("product_group")).alias("_group"), stripped(F.col("subcategory")).alias("_sub"), "subcategory", cells.alias("_cells"))
-    o = overrides.withColumn("_group", F.lower("product_group"))
-    any_group = F.broadcast(o.where("_group = ''").drop("_group"))  # a list that people write; rows x its few rules
-    met = rows.join(F.broadcast(o.where("_group <> ''")), "_group").unionByName(rows.join(any_group, F.size("triggers") >= 0), allowMissingColumns=True)
+    o = overrides.select("ovr_ord", "rule_ord", "triggers", "check_fields", "keywords", "sheet", "block", F.lower("product_group").alias("_group"))
+    met = rows.withColumn("_group", F.explode(F.array_distinct(F.array("_group", F.lit(""))))).join(small(o), "_group")
     checked = F.array_join(F.transform("check_fields", lambda f: F.coalesce(F.try_element_at("_cells", f), F.lit(""))), " ")
     hits = met.where((F.size("triggers") == 0) | contains_any(F.col("_sub"), F.col("triggers"))).where(contains_any(checked, F.col("keywords")))
     first = hits.groupBy(key).agg(F.min_by(F.struct("sheet", resolve_block(F.col("block"), F.col("subcategory")).alias("block")), F.struct("ovr_ord", "rule_ord")).alias("t"))

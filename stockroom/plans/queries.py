@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ from stockroom.plans import derive
 from stockroom.plans import inputs as I
 from stockroom.plans.oracles import oracle
 from stockroom.sources import catalogue as A
+from stockroom.sources.shared import new_path, stored
+from stockroom.streaming import streams as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,6 +80,39 @@ def a4_drop_blank_rows(spark, sf_dir):
     return A.drop_blank_rows(I.catalogue(spark, sf_dir).select("row_seq", "sku", "link"), ["sku", "link"])
 
 
+@query("SELECT row_seq, sheet, block FROM cls WHERE sheet IS NOT NULL")
+def a7_rule_files(spark, sf_dir):
+    """Rules and overrides written as JSON files, read again, and applied to the catalogue as tables."""
+    rules, overrides = new_path(spark, "rules"), new_path(spark, "overrides")
+    table = [{"product_group": g, "subcategory_contains": t, "m10_sheet": s, "block": b} for g, t, s, b in V.RULES]
+    keyed = [{"product_group": g, "trigger_subcategory_contains": t, "rules": [{"check_fields": f, "keyword_contains": k, "m10_sheet": s, "block": b} for f, k, s, b in of]} for g, t, of in V.OVERRIDES]
+    for path, text in ((rules, {"rules": table}), (overrides, {"overrides": keyed})):
+        spark.createDataFrame([(json.dumps(text),)], "value string").coalesce(1).write.text(path)
+    rows = I.catalogue(spark, sf_dir)
+    first = R.match_overrides(rows, R.load_overrides(spark, overrides))
+    rest = R.match_rules(rows, R.load_rules(spark, rules)).join(first, "row_seq", "left_anti")
+    return first.unionByName(rest)
+
+
+@query("""SELECT sheet, block, row_seq, "Product" AS sku, "Link" AS link, CAST(NULL AS VARCHAR) AS reason FROM map UNION ALL SELECT NULL, NULL, row_seq, sku, link, reason FROM cls WHERE sheet IS NULL""")
+def a8_write_catalogue(spark, sf_dir):
+    """Mapped and unmapped rows written, over an earlier run, and read again."""
+    path, done = new_path(spark, "written"), I.classified(spark, sf_dir)
+    A.write_catalogue(R.mapped(done).limit(0), R.unmapped(done), path)
+    A.write_catalogue(R.mapped(done), R.unmapped(done), path)
+    rows = spark.read.parquet(f"{path}/mapped").select("sheet", "block", "row_seq", F.col("Product").alias("sku"), F.col("Link").alias("link"), F.lit(None).cast("string").alias("reason"))
+    none = F.lit(None).cast("string")
+    return rows.unionByName(spark.read.parquet(f"{path}/unmapped").select(none.alias("sheet"), none.alias("block"), "row_seq", F.col("Model / SKU").alias("sku"), F.col("Link").alias("link"), F.col("Reason Not Mapped").alias("reason")))
+
+
+@query("SELECT * FROM grid")
+def a9_write_enriched(spark, sf_dir):
+    """The listing written by sheet and read again."""
+    path = new_path(spark, "listing")
+    A.write_enriched(L.sheet_grid(I.mapped_rows(spark, sf_dir)), path)
+    return spark.read.parquet(path).select("sheet", "row_idx", *(f"c{i}" for i in range(1, 9)))
+
+
 # rules --------------------------------------------------------------------------------------------------
 
 
@@ -376,13 +412,40 @@ def h2_h5_pairs_from_html(spark, sf_dir):
     return got.select("page_key", F.get("pairs", F.lit(0))["source"].alias("source"), F.array_join(F.transform("pairs", lambda p: F.concat(p["label"], F.lit("="), p["value"])), ";").alias("found"), "pdf_url")
 
 
-@query("SELECT page_id, CAST(0 AS INT) AS n_pairs, CAST(NULL AS VARCHAR) AS pdf_url FROM pages", alone=True)
+@query(
+    """SELECT page_id, CAST(CASE page_id % 4 WHEN 0 THEN 1 ELSE 0 END AS INT) AS n_pairs, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || '/docs/sheet-' || CAST(page_id AS VARCHAR) || '.pdf'
+         WHEN 1 THEN 'https://files.example.com/' || CAST(page_id AS VARCHAR) || '.PDF' WHEN 2 THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || '/raw/' || CAST(page_id AS VARCHAR) END AS pdf_url FROM pages""",
+    alone=True,
+)
 def h4_real_pages(spark, sf_dir):
-    """The given pages, which hold no specification."""
-    got = P.pairs_from_html(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    """The given pages with a link put into three of four: by its words, by its own address, by a data attribute, or none that counts."""
+    pages, k = spark.read.parquet(f"{sf_dir}/pages.parquet"), F.col("page_id").cast("string")
+    put = (
+        F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<dl><dt>Page<dd>'), k, F.lit('</dl><a href="/docs/sheet-'), k, F.lit('.pdf">Data sheet</a>')))
+        .when(F.col("page_id") % 4 == 1, F.concat(F.lit('<a href="/x.pdf">Terms</a><a href="https://files.example.com/'), k, F.lit('.PDF"><b>Product</b> guide, data-sheet</a>')))
+        .when(F.col("page_id") % 4 == 2, F.concat(F.lit('<a href="/y.pdf">Terms</a><i data-pdf="/raw/'), k, F.lit('">')))
+        .otherwise(F.lit('<a href="/z.pdf">Terms</a><a href="/spec.html">Specification</a>'))
+    )
+    got = P.pairs_from_html(pages.select("page_id", "url", F.concat(put, "html").alias("html")))
     return got.select("page_id", F.size("pairs").alias("n_pairs"), "pdf_url")
 
 
+@query(
+    """SELECT page_key, string_agg(CASE seq % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'jsonld' WHEN 2 THEN 'next' ELSE 'html' END || ':' || label || '=' || value, ';' ORDER BY CASE seq % 4 WHEN 2 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END, seq) AS found
+    FROM pairs GROUP BY page_key"""
+)
+def e8_source_priority(spark, sf_dir):
+    """Pages with a pair in each of four places, the last ones first: next-data, then JSON-LD, then lists, then tables."""
+    of = lambda before, i, between, after: F.concat(F.lit(before), F.get("pairs", F.lit(i))["label"], F.lit(between), F.get("pairs", F.lit(i))["value"], F.lit(after))
+    parts = [
+        of("<table><tr><td>", 0, "</td><td>", "</td></tr></table>"), of("<dl><dt>", 3, "<dd>", "</dl>"),
+        of('<script type="application/ld+json">{"name": "', 1, '", "value": "', '"}</script>'), of('<script id="__NEXT_DATA__">[{"label": "', 2, '", "data": "', '"}]</script>'),
+    ]
+    pages = I.paired(spark, sf_dir).select("page_key", F.lit("https://shop.example.com/").alias("url"), F.concat(*parts).alias("html"))
+    said = F.transform("pairs", lambda p: F.concat(p["source"], F.lit(":"), p["label"], F.lit("="), p["value"]))
+    return P.pairs_from_html(pages).select("page_key", F.array_join(said, ";").alias("found"))
+
+
 @query("SELECT page_key, height, width, depth, confidence, raw_text, reason, CASE took WHEN 'doc' THEN 'https://shop.example.com/docs/spec-' || CAST(page_key AS VARCHAR) || '.pdf' ELSE 'https://shop.example.com/p/' || CAST(page_key AS VARCHAR) END AS source_url FROM dims")
 def h6_page_dimensions(spark, sf_dir):
     """All derived pages to dimensions, with documents where the page alone doesn't resolve."""
@@ -412,3 +475,27 @@ def h8_transform(spark, sf_dir):
     """A catalogue to mapped rows in their places."""
     placed = L.layout_positions(I.mapped_rows(spark, sf_dir))
     return placed.join(F.broadcast(S.sheets(spark)), "sheet").select("sheet_ord", "sheet", "block", "row_idx", "Brand", "Product", "Link")
+
+
+# streams ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT row_seq, sheet, block, reason FROM cls")
+def s1_classify_stream(spark, sf_dir):
+    """The catalogue as files that arrive, classified by a stream, and its sink read again."""
+    source, sink = new_path(spark, "arrived"), new_path(spark, "sink")
+    rows = I.catalogue(spark, sf_dir)
+    rows.write.parquet(source)
+    T.classify_stream(spark, source, rows.schema, sink, new_path(spark, "stream")).awaitTermination()
+    return spark.read.parquet(sink).select("row_seq", "sheet", "block", "reason")
+
+
+@query("SELECT url_key, height, width, depth, confidence, source_url, raw_text, reason, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM cache")
+def s2_cache_stream(spark, sf_dir):
+    """The cache that a stream of the log's rows keeps: two checkpoints one after another, the second over a live cache."""
+    log, path = stored(I.cache_log(spark, sf_dir), "log"), new_path(spark, "cache")
+    for part in range(2):
+        source = new_path(spark, "log")
+        log.where(F.col("ord") % 2 == part).write.parquet(source)
+        T.cache_stream(spark.readStream.schema(log.schema).parquet(source), path, new_path(spark, "stream")).awaitTermination()
+    return _timed(T.read_cache(spark, path))

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockroom.functions.clean import clean_cell, stripped
+from stockroom.operators.layout import order_output
 from stockroom.operators.rules import FIELDS
+from stockroom.sources.shared import small
 
 HEADER_ROW = 4
 
@@ -42,12 +44,16 @@ def drop_blank_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(F.exists(F.array(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns)), lambda x: x != ""))
 
 
-def promote_header(grid: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:
-    """(source_file, row_idx, header, cells): data rows of a landing with their file's clean header; blank rows go."""
+def promote_header(grid: DataFrame, header_row: int = HEADER_ROW, by: str = "source_file") -> DataFrame:
+    """(``by``, row_idx, header, cells): data rows of a landing with their file's clean header; blank rows go.
+
+    ``by`` tells files apart: give the path where names repeat. A file with several header rows has the least of them. The
+    headers are broadcast after the files are counted, so a large file is not one task.
+    """
     clean = lambda cells: F.transform(cells, lambda c: clean_cell(c))
-    heads = grid.where(F.col("row_idx") == header_row).select("source_file", clean("cells").alias("header"))
-    rows = grid.where(F.col("row_idx") > header_row).select("source_file", "row_idx", clean("cells").alias("cells"))
-    return rows.where(F.exists("cells", lambda c: c != "")).join(heads, "source_file")
+    heads = grid.where(F.col("row_idx") == header_row).groupBy(by).agg(F.min(clean("cells")).alias("header"))
+    rows = grid.where(F.col("row_idx") > header_row).select(by, "row_idx", clean("cells").alias("cells"))
+    return rows.where(F.exists("cells", lambda c: c != "")).join(small(heads), by)
 
 
 def cell(name: str):
@@ -69,12 +75,14 @@ def catalogue_of(promoted: DataFrame) -> DataFrame:
 
 
 def write_catalogue(mapped: DataFrame, unmapped: DataFrame, path: str) -> None:
-    """Mapped rows as Parquet by sheet and block under path/mapped; unmapped rows, if any, under path/unmapped."""
-    mapped.write.mode("overwrite").partitionBy("sheet", "block").parquet(f"{path}/mapped")
-    if not unmapped.isEmpty():
-        unmapped.write.mode("overwrite").parquet(f"{path}/unmapped")
+    """Mapped rows as Parquet by sheet under path/mapped, in block and row order; unmapped rows under path/unmapped.
+
+    Files of a sheet follow each other by name. Both folders are replaced, so that none is left of an earlier run.
+    """
+    order_output(mapped).drop("sheet_ord").orderBy("sheet", "block_ord", "row_seq").write.mode("overwrite").partitionBy("sheet").parquet(f"{path}/mapped")
+    unmapped.write.mode("overwrite").parquet(f"{path}/unmapped")
 
 
 def write_enriched(listing: DataFrame, path: str) -> None:
-    """The enriched listing as Parquet by sheet."""
-    listing.write.mode("overwrite").partitionBy("sheet").parquet(path)
+    """The enriched listing as Parquet by sheet, in row order."""
+    listing.orderBy("sheet", "row_idx").write.mode("overwrite").partitionBy("sheet").parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from stockroom.operators.cache import RESULT, upsert_cache
 from stockroom.operators.rules import classify
@@ -18,21 +19,63 @@ def classify_stream(spark: SparkSession, source: str, schema: str, sink: str, ch
     return classify(rows).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
 
 
-def read_versions(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """The cache as of a version; version 0 is empty."""
-    if version == 0:
+#: Parts of a cache, by a hash of the URL.
+PARTS = 64
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(version, part): each part of a cache with the versions in which it was written."""
+    try:
+        return spark.read.schema("version long, part int").parquet(f"{path}/manifest")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], "version long, part int")
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The versions of each part, latest first; there are ``PARTS`` parts, and two versions of each are kept."""
+    ranked = _manifest(spark, path).groupBy("part").agg(F.slice(F.sort_array(F.collect_set("version"), asc=False), 1, 3).alias("versions"))
+    return {r.part: r.versions for r in ranked.collect()}
+
+
+def _rows(spark: SparkSession, path: str, at: list[tuple[int, int]]) -> DataFrame:
+    if not at:
         return spark.createDataFrame([], CACHE_SCHEMA)
-    return spark.read.schema(CACHE_SCHEMA).parquet(f"{path}/v={version}")
+    return spark.read.schema(CACHE_SCHEMA).parquet(*(f"{path}/rows/version={version}/part={part}" for part, version in at))
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache that ``cache_stream`` keeps under ``path``, as of its last finished batch; empty if there is none."""
+    return _rows(spark, path, [(part, versions[0]) for part, versions in _versions(spark, path).items()])
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cache_stream(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keeps a cache under ``path`` from streamed results (cache columns and ord), the last of each URL winning.
 
-    Each batch writes a new version from the one before; a batch that is run again writes the same.
+    A batch reads and writes anew only the parts that it has URLs of. A part is valid once the manifest, which lies with the
+    data, names its version: a batch that is stopped before leaves the cache as it was, and one that is run again, or a new
+    checkpoint over a live cache, changes nothing but versions. Of each part the version before the last is kept for readers.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = read_versions(batch.sparkSession, path, number)
-        upsert_cache(before, batch).write.mode("overwrite").parquet(f"{path}/v={number + 1}")
+        spark = batch.sparkSession
+        part = F.pmod(F.xxhash64("url_key"), F.lit(PARTS)).cast("int").alias("part")
+        changed = [r.part for r in batch.select(part).distinct().collect()]
+        if not changed:
+            return
+        versions = _versions(spark, path)
+        version = 1 + max((v[0] for v in versions.values()), default=0)
+        merged = upsert_cache(_rows(spark, path, [(p, versions[p][0]) for p in changed if p in versions]), batch)
+        merged.withColumn("part", part).repartition(min(len(changed), PARTS), "part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows/version={version}")
+        spark.createDataFrame([(version, p) for p in changed], "version long, part int").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+        for p in changed:
+            for old in versions.get(p, [])[1:]:
+                _remove(spark, f"{path}/rows/version={old}/part={p}")
 
     return results.select("url_key", *RESULT, "fetched_at", F.col("ord")).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
