@@ -1,53 +1,7 @@
-"""Intermediate tables in the folder that the cluster shares.
-
-A table written here cuts lineage and survives the loss of executors. The folder is the session's
-``spark.checkpoint.dir``. Only where that is unset, as in local tests, a temporary folder is made.
-"""
+"""Intermediate tables in the shared folder; see ``stockroom.sources.shared``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager, nullcontext
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: list[str] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="stockroom-"))
-    return f"file://{_LOCAL[0]}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While this holds, Python workers get at most ``rows`` rows at once, whatever their texts' lengths."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
+from stockroom.sources.shared import batches_of, folder, new_path, stored
 
-def stored(df: DataFrame, name: str, *, batch_rows: int | None = None) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again."""
-    path = new_path(df.sparkSession, name)
-    with batches_of(df.sparkSession, batch_rows) if batch_rows else nullcontext():
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["batches_of", "folder", "new_path", "stored"]
