@@ -373,6 +373,28 @@ def test_copies_around_a_hub_that_is_not_the_smallest(spark, block_rows):
     assert len(got) == 101 and set(got.values()) == {0}
 
 
+def test_recall_at_the_threshold_beside_a_bucket_of_hundreds(spark):
+    """Of pairs with a similarity of 0.80 to 0.85 at least 0.9 are joined; texts that share a long passage but are not alike stay apart."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts, pairs = [], []
+    for _ in range(120):
+        base = [word() for _ in range(200)]
+        at = set(rng.sample(range(5, 195), 4))
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [base, [word() if i in at else w for i, w in enumerate(base)]]
+    shared = [word() for _ in range(120)]
+    first = len(texts)
+    texts += [[word() for _ in range(20)] + shared + [word() for _ in range(20)] for _ in range(300)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    pairs = [p for p in pairs if 0.8 <= alike(*p) <= 0.85]
+    assert len(pairs) > 60 and all(alike(first, j) < 0.8 for j in range(first + 1, len(texts)))
+    got = dict(simhash.similar_documents(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect())
+    assert np.mean([got[i] == got[j] for i, j in pairs]) >= 0.9
+    assert all(got[j] == j for j in range(first, len(texts)))
+
+
 def test_blocks_against_brute_force():
     rng = np.random.default_rng(8)
     base = [rng.choice(2000, 40, replace=False) for _ in range(6)]
