@@ -22,6 +22,8 @@ from stockroom.llm.scratch import stored
 
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
+#: Words of a stretch in which ``passed`` counts distinct words.
+STRETCH = 1000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -60,6 +62,12 @@ def _repeated(hashes: Column) -> Column:
     return F.when(F.size(hashes) <= WINDOW, F.lit(0)).otherwise(let(fours, of_fours))
 
 
+def _distinct_in_stretches(hashes: Column) -> Column:
+    """Distinct words in each stretch of ``STRETCH`` words, summed over the stretches that make up the whole text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(hashes), F.lit(1)), F.lit(STRETCH))
+    return F.aggregate(starts, F.lit(0), lambda n, at: n + F.size(F.array_distinct(F.slice(hashes, at, STRETCH))))
+
+
 Measures = Mapping[str, Column]
 
 #: Measures by name: what each needs, and how it follows from that. "text" is the text itself, null as empty.
@@ -70,6 +78,7 @@ MEASURES: dict[str, tuple[tuple[str, ...], Callable[[Measures], Column]]] = {
     "word_chars": (("words",), lambda m: F.length(F.array_join(m["words"], ""))),
     "n_repeat_words": (("hashes",), lambda m: _repeated(m["hashes"])),
     "n_distinct": (("hashes",), lambda m: F.size(F.array_distinct(m["hashes"]))),
+    "n_distinct_near": (("hashes",), lambda m: _distinct_in_stretches(m["hashes"])),
     "n_symbols": (("text",), lambda m: F.regexp_count(m["text"], F.lit(r"[#*$%&|<>]"))),
     "n_upper": (("text",), lambda m: F.regexp_count(m["text"], F.lit(r"\p{Lu}"))),
     "n_lines": (("text",), lambda m: F.size(F.split(m["text"], "\n", -1))),
@@ -119,6 +128,15 @@ def standard_rules(min_words: int = 20, repeat_percent: int = 30) -> dict[str, R
     }
 
 
+def stretch_rules(min_words: int = 20, repeat_percent: int = 30) -> dict[str, Rule]:
+    """``standard_rules``, but "few words" goes by stretches of ``STRETCH`` words, so that length alone rejects no text.
+
+    The share of distinct words of a whole text falls as it grows. Up to ``STRETCH`` words the rules are the same.
+    """
+    few = Rule(("n_distinct_near", "n_words"), lambda m: 5 * m["n_distinct_near"] < m["n_words"])
+    return standard_rules(min_words, repeat_percent) | {"few words": few}
+
+
 def cascade(names: list[str], rules: Mapping[str, Rule], bound: Measures) -> Column:
     """The name of the first of ``names`` that rejects the text with the measures ``bound`` ("text" among them), else null."""
     if not names:
@@ -181,8 +199,11 @@ def judged(docs: DataFrame, *, text: str = "text", min_words: int = 20, repeat_p
 
 
 def passed(docs: DataFrame, *, text: str = "text", min_words: int = 20, repeat_percent: int = 30, sample_rows: int = 2000) -> DataFrame:
-    """The rows of ``docs`` that ``judged`` keeps, without its columns: nothing is measured beyond the first rule that rejects."""
-    rules = standard_rules(min_words, repeat_percent)
+    """The rows of ``docs`` that none of ``stretch_rules`` rejects: nothing is measured beyond the first rule that rejects.
+
+    Null and empty texts are short; with ``min_words`` of 0 they stay. Columns are those of ``docs``.
+    """
+    rules = stretch_rules(min_words, repeat_percent)
     names = order_rules(sampled(docs.select(text), sample_rows), rules, text)
     return docs.where(cascade(names, rules, body_of(text)).isNull())
 

@@ -91,6 +91,19 @@ def test_cascade_order_changes_no_verdict(docs, empty):
     assert quality_rules.order_rules(empty, rules) == list(rules) and quality_rules.passed(empty).count() == 0
 
 
+def test_length_alone_rejects_no_text(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    long = " ".join(rng.choices(vocabulary, weights=[1 / (i + 9) for i in range(3000)], k=40_000))
+    poor = " ".join(rng.choices(vocabulary[:150], k=40_000))
+    near = lambda t: sum(len(set(t.split()[i : i + quality_rules.STRETCH])) for i in range(0, len(t.split()), quality_rules.STRETCH))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([long, poor, long + " end", "one two three", "", None])], "id int, text string")
+    with_near = quality_rules.with_measures(["n_distinct_near"], quality_rules.body_of("text"), lambda m: m["n_distinct_near"])
+    assert [r.n for r in df.orderBy("id").select(with_near.alias("n")).collect()] == [near(r.text or "") for r in df.orderBy("id").collect()]
+    assert {r.id for r in quality_rules.passed(df, min_words=1).collect()} == {0, 2, 3}
+    assert {r.id for r in quality_rules.judged(df, min_words=1).where("kept").collect()} == {3}
+
+
 def test_rules_are_ordered_by_rejection_per_cost_from_the_raw_text(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([(" ".join(rng.choices("abcdefgh", k=4000)),) for _ in range(200)], "text string")
