@@ -34,16 +34,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows that a Python worker gets at once; a single longer row still goes whole.
+BATCH_BYTES = 16 << 20
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While this holds, Python workers get at most ``rows`` rows at once, whatever their texts' lengths."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    """While this holds, Python workers get at most ``rows`` rows and about ``BATCH_BYTES`` at once, whatever their texts' lengths."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {key: spark.conf.get(key) for key in limits}
+    for key, limit in limits.items():
+        old = int(before[key].rstrip("bB"))
+        spark.conf.set(key, str(min(limit, old) if old > 0 else limit))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, old in before.items():
+            spark.conf.set(key, old)
 
 
 def stored(df: DataFrame, name: str, *, batch_rows: int | None = None) -> DataFrame:
