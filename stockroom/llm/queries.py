@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockroom.llm import languages, mixing, packing, quality_model, quality_rules, range_join, sharding, simhash, token_counts, url_lists
+from stockroom.llm import fill_middle, languages, mixing, packing, quality_model, quality_rules, range_join, resampling, secret_scan, sharding, simhash, token_counts, url_lists
 from stockroom.llm.scratch import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -77,6 +77,21 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.filter_urls(url_lists.captures(pages), url_lists.derived_lists(pages))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as fill-in-the-middle texts, and the texts restored from these, as digests."""
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secret_scan.digest_columns(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a tenth drawn towards the benchmark's words."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -88,10 +103,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": op8_quality_model,
     "op9_simhash": op9_simhash,
     "op10_url_lists": op10_url_lists,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_secrets": op12_secrets,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op5_mixing": mixing.oracle_sql(),
     "op10_url_lists": url_lists.ORACLE_SQL,
+    "op11_fill_middle": fill_middle.ORACLE_SQL,
 }
