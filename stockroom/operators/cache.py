@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockroom.functions import fixed_values as V
-from stockroom.functions.clean import url_key
+from stockroom.functions.clean import stripped, url_key
+from stockroom.sources.shared import small, stored
 
 RESULT = ["height", "width", "depth", "confidence", "source_url", "raw_text", "reason"]
 
@@ -21,6 +22,35 @@ def with_key(rows: DataFrame) -> DataFrame:
     return rows.withColumn("url_key", url_key(F.col("link")))
 
 
+def held_for(rows: DataFrame, cache: DataFrame) -> DataFrame:
+    """The cache's rows for the links of ``rows``: at the scan where the links are few enough to broadcast, else all of the cache.
+
+    What is left is shuffled at most as far as the links go; a cache kept by ``store_cache`` isn't shuffled even where they are many.
+    """
+    keys = with_key(rows.where(has_link(F.col("link")))).select("url_key").distinct()
+    known = small(stored(keys, "asked-keys"), or_none=True)
+    return cache if known is None else cache.join(known, "url_key", "left_semi")
+
+
+def store_cache(cache: DataFrame, table: str, buckets: int = 200) -> DataFrame:
+    """The cache as a table in buckets of url_key, sorted inside them; a join by url_key leaves it where it is.
+
+    The other side is dealt to the same number of buckets. An existing table of the name is replaced.
+    """
+    cache.repartition(buckets, "url_key").write.mode("overwrite").bucketBy(buckets, "url_key").sortBy("url_key").format("parquet").saveAsTable(table)
+    return cache.sparkSession.table(table)
+
+
+def upsert_bucketed(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """``upsert_cache`` as a full outer join: only the new rows are shuffled where the cache is in buckets of url_key."""
+    columns = [*RESULT, "fetched_at"]
+    last = new.groupBy("url_key").agg(F.max_by(F.struct(*columns), F.struct("fetched_at", "ord")).alias("_new"))
+    old = cache.select("url_key", F.struct(*columns).alias("_old"))
+    newer = F.col("_old").isNull() | (F.struct("_new.fetched_at") >= F.struct("_old.fetched_at"))
+    both = old.join(last, "url_key", "full").withColumn("r", F.when(F.col("_new").isNotNull() & newer, F.col("_new")).otherwise(F.col("_old")))
+    return both.select("url_key", "r.*")
+
+
 def lookup_cache(rows: DataFrame, cache: DataFrame) -> DataFrame:
     """Rows with url_key and cached: the result stored for it, or null. Empty dimensions read as null."""
     dims = [F.nullif(F.col(c), F.lit("")).alias(c) for c in ("height", "width", "depth")]
@@ -36,22 +66,35 @@ def should_fetch(confidence: Column, force: bool) -> Column:
 
 def fetch_worklist(rows: DataFrame, cache: DataFrame, force: bool = False) -> DataFrame:
     """(url_key, ord, brand, link) to fetch. Without force one for each url_key, from its first row."""
-    keyed = with_key(rows.where("link <> ''")).select("url_key", "ord", "brand", "link")
+    keyed = with_key(rows.where(has_link(F.col("link")))).select("url_key", "ord", "brand", "link")
     if force:
         return keyed.join(cache.where(F.col("confidence") == V.RESOLVED).select("url_key"), "url_key", "left_anti")
     first = keyed.groupBy("url_key").agg(F.min(F.struct("ord", "brand", "link")).alias("f")).select("url_key", "f.*")
     return first.join(cache.select("url_key"), "url_key", "left_anti")
 
 
+def one_result(own: DataFrame) -> DataFrame:
+    """One row for each (url_key, ord) of results, whatever a parser returned: the least, so that all readers agree."""
+    return own.groupBy("url_key", "ord").agg(F.min("result").alias("result"))
+
+
+def has_link(link: Column) -> Column:
+    """Whether a row has a link; null and blank are none."""
+    return stripped(link) != ""
+
+
 def replay_results(rows: DataFrame, own: DataFrame, cache: DataFrame, force: bool = False) -> DataFrame:
-    """Rows with the result that each gets; ``own``: (url_key, ord, result struct) of ``fetch_worklist``.
+    """Rows with a link and the result that each gets; ``own``: (url_key, ord, result struct) of ``fetch_worklist``.
 
+    Each such row comes out once, even if ``own`` has several results for a key: the first row's, and of one row's the least.
     Without force all rows of a key take the cached result, or else the first row's. With force a row takes
     the cached result if that is resolved, or else that of the first earlier row that was resolved, or its own.
     """
-    looked = lookup_cache(rows.where("link <> ''"), cache)
+    looked = lookup_cache(rows.where(has_link(F.col("link"))), cache)
     if not force:
-        return looked.join(own.select("url_key", F.col("result").alias("_own")), "url_key", "left").withColumn("result", F.coalesce("cached", "_own")).drop("_own", "cached")
+        first = own.groupBy("url_key").agg(F.min(F.struct("ord", "result"))["result"].alias("_own"))
+        return looked.join(first, "url_key", "left").withColumn("result", F.coalesce("cached", "_own")).drop("_own", "cached")
+    own = one_result(own)
     # the first row of a key that is resolved: an aggregate, then a join, so that no key is in one window
     good = own.where(F.col("result.confidence") == V.RESOLVED).groupBy("url_key").agg(F.min(F.struct("ord", "result")).alias("g"))
     both = looked.join(own.select("url_key", "ord", F.col("result").alias("_own")), ["url_key", "ord"], "left").join(good, "url_key", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stockroom.functions import fixed_values as V
 from stockroom.functions.clean import brand_key
 from stockroom.functions.dimensions import dimension_result, is_dim_label, pairs_from_text
-from stockroom.operators.cache import fetch_worklist, new_cache_rows, replay_results, upsert_cache
+from stockroom.operators.cache import fetch_worklist, has_link, held_for, new_cache_rows, one_result, replay_results, upsert_cache
 from stockroom.operators.pages import pairs_from_html
 from stockroom.sources.shared import stored
 
@@ -35,9 +35,30 @@ def fetch_outcome(status: Column, error: Column) -> Column:
     )
 
 
-def attach_pages(worklist: DataFrame, pages: DataFrame) -> DataFrame:
-    """The work list with outcome and html of each link; a link that wasn't crawled has failed."""
-    crawled = pages.select(F.col("url").alias("link"), fetch_outcome(F.col("status"), F.col("error")).alias("_outcome"), "html", F.lit(True).alias("_seen"))
+def latest_captures(crawl: DataFrame, as_of: Column | None = None, *, good_first: bool = False) -> DataFrame:
+    """(url, outcome, html): of each URL's captures the last one at or before ``as_of``, or the last one of all.
+
+    ``crawl``: url, status, error, html, and fetched_at if there are several runs; captures without a time come before all others.
+    Of captures of one moment one that succeeded is taken before one that failed; what is still even, by content, so that equal captures are one.
+    ``good_first``: an earlier success is taken before a later failure. A partial aggregate: a URL captured a million times is no hot key.
+    """
+    at = F.col("fetched_at").cast("timestamp") if "fetched_at" in crawl.columns else F.lit(None).cast("timestamp")
+    taken = crawl.select("url", fetch_outcome(F.col("status"), F.col("error")).alias("outcome"), "html", at.alias("_at"))
+    if as_of is not None:
+        taken = taken.where(F.col("_at").isNull() | (F.col("_at") <= as_of))
+    good = F.col("outcome").isNull()
+    order = F.struct(*([good.alias("kept")] if good_first else []), F.col("_at").alias("at"), good.alias("good"), F.coalesce("outcome", F.lit("")).alias("why"), F.length("html").alias("n"), F.xxhash64("html").alias("content"))
+    return taken.groupBy("url").agg(F.max_by(F.struct("outcome", "html"), order).alias("c")).select("url", "c.*")
+
+
+def attach_pages(worklist: DataFrame, crawl: DataFrame, as_of: Column | None = None, *, good_first: bool = False) -> DataFrame:
+    """The work list with outcome and html of each link, a row for each of its rows; a link that wasn't crawled has failed.
+
+    ``crawl``, ``as_of`` and ``good_first``: as of ``latest_captures``. Captures of links that nobody asked for are left out before
+    the pages are compared.
+    """
+    wanted = crawl.join(worklist.select(F.col("link").alias("url")).distinct(), "url", "left_semi")
+    crawled = latest_captures(wanted, as_of, good_first=good_first).select(F.col("url").alias("link"), F.col("outcome").alias("_outcome"), "html", F.lit(True).alias("_seen"))
     seen = F.coalesce("_seen", F.lit(False))
     return worklist.join(crawled, "link", "left").withColumn("outcome", F.when(seen, F.col("_outcome")).otherwise(F.lit(V.FETCH_FAILED))).drop("_outcome", "_seen")
 
@@ -90,26 +111,38 @@ def page_dimensions(attached: DataFrame, pdf_text: DataFrame, convention: str =
     return wanted.join(read, "_pdf", "left").select(*kept, result.alias("result"))
 
 
-def fetch_results(worklist: DataFrame, pages: DataFrame, pdf_text: DataFrame, parsers: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """(url_key, ord, result) of a work list, routed by brand. ``parsers``: brand key to (rows, pages, documents) -> rows with result."""
-    parsers = {b: lambda rows, pages, texts: page_dimensions(attach_pages(rows, pages), texts) for b in V.PARSED_BRANDS} if parsers is None else parsers
+Parser = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+
+
+def page_parsers(as_of: Column | None = None, convention: str = "overall", match: str = "substring") -> dict[str, Parser]:
+    """The page job for each brand that has one, with its options."""
+    return {b: lambda rows, crawl, texts: page_dimensions(attach_pages(rows, crawl, as_of), texts, convention, match) for b in V.PARSED_BRANDS}
+
+
+def fetch_results(worklist: DataFrame, crawl: DataFrame, pdf_text: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
+    """(url_key, ord, result) of a work list, routed by brand. ``parsers``: brand key to (rows, crawl, documents) -> rows with result."""
+    parsers = page_parsers() if parsers is None else parsers
     routed = route_brand(worklist)
     out = routed.where("parser IS NULL").select("url_key", "ord", F.col("routed").alias("result"))
     for key, parse in parsers.items():
         rows = routed.where(F.col("parser") == key).select("url_key", "ord", "brand", "link")
-        out = out.unionByName(parse(rows, pages, pdf_text).select("url_key", "ord", "result"))
+        out = out.unionByName(parse(rows, crawl, pdf_text).select("url_key", "ord", "result"))
     return out
 
 
-def enrich(rows: DataFrame, cache: DataFrame, pages: DataFrame, pdf_text: DataFrame, fetched_at: Column, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(results, new cache) of rows to enrich. Results: the rows with height ... reason.
+def enrich(rows: DataFrame, cache: DataFrame, crawl: DataFrame, pdf_text: DataFrame, fetched_at: Column, force: bool = False, parsers: dict[str, Parser] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, new cache) of rows to enrich. Results: the rows, each once, with height ... reason; a null link comes out empty.
 
-    The rows, the work list and its results are stored: each is used more than once, and none is computed again.
+    ``crawl`` may hold several captures of a URL: the last at or before ``fetched_at``, the time of the run, counts. ``parsers`` replaces
+    the page jobs, and with them that choice. The rows, the work list and its results are stored: each is used more than once, and
+    none is computed again.
     """
-    rows = stored(rows, "rows-to-enrich")
-    own = stored(fetch_results(stored(fetch_worklist(rows, cache, force), "work-list"), pages, pdf_text), "own-results")
-    replayed = replay_results(rows, own, cache, force).select(*rows.columns, "result")
-    linkless = rows.where("link = ''").withColumn("result", not_found(F.lit(V.NO_URL), F.lit("")))
+    rows = stored(rows.withColumn("link", F.coalesce("link", F.lit(""))), "rows-to-enrich")
+    asked = stored(held_for(rows, cache), "cache-asked")
+    work = stored(fetch_worklist(rows, asked, force), "work-list")
+    own = stored(one_result(fetch_results(work, crawl, pdf_text, page_parsers(fetched_at) if parsers is None else parsers)), "own-results")
+    replayed = replay_results(rows, own, asked, force).select(*rows.columns, "result")
+    linkless = rows.where(~has_link(F.col("link"))).withColumn("result", not_found(F.lit(V.NO_URL), F.lit("")))
     results = replayed.unionByName(linkless).select(*rows.columns, "result.*")
     return results, upsert_cache(cache, new_cache_rows(own, fetched_at))
 

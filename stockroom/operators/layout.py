@@ -1,7 +1,8 @@
 """Places of mapped rows in their sheets, and the flat listing of a sheet read back.
 
-Only the aggregates of (sheet, block) are ordered in windows of a few rows. The rank of a row inside its block
-is found in lanes of row_seq, so that a block of any size is never in one task.
+Only aggregates of (sheet, block) are ordered in windows. Rows are dealt out by ranges of row_seq, whatever numbers these are
+(dense, sparse, negative, or hashes), and sorted inside the ranges; counts of each range and block, added up in
+the order of the ranges, say where a range's rows of a block begin. So a block of any size is never in one task.
 """
 
 from __future__ import annotations
@@ -13,22 +14,34 @@ from pyspark.sql import functions as F
 from stockroom.functions import fixed_values as V
 from stockroom.functions.clean import is_blank_dims, is_header, stripped
 from stockroom.operators.summary import sheets
-from stockroom.sources.shared import stored
+from stockroom.sources.shared import small, stored
 
-#: Rows of row_seq to a lane.
+#: Rows of a listing to a lane of row_idx.
 LANE = 1 << 16
 
 
-def lanes_of(mapped: DataFrame, lane: int = LANE) -> DataFrame:
-    """(sheet, block, lane, n, first_seq), stored: all that the order of blocks and rows needs from the rows, in one pass."""
-    of = mapped.groupBy("sheet", "block", F.floor(F.col("row_seq") / lane).alias("lane"))
-    return stored(of.agg(F.count("*").alias("n"), F.min("row_seq").alias("first_seq")), "lanes")
+def ranged(mapped: DataFrame, lane: int | None = None) -> DataFrame:
+    """The rows with _part, the range of row_seq that they are in, and _at, their place in it by sheet, block and row_seq; stored.
 
+    The rows are evaluated for the ranges' bounds and once more to be stored; all that follows reads what is stored. ``lane``:
+    about how many rows to a range; by default as Spark sizes its partitions.
+    """
+    ranges = () if lane is None else (max(1, -(-mapped.count() // lane)),)
+    dealt = mapped.repartitionByRange(*ranges, "row_seq").sortWithinPartitions("sheet", "block", "row_seq").withColumn("_p", F.monotonically_increasing_id())
+    return stored(dealt.select(*mapped.columns, F.shiftright("_p", 33).cast("int").alias("_part"), F.col("_p").bitwiseAND((1 << 33) - 1).alias("_at")), "ranged")
+
+
+def parts_of(rows: DataFrame) -> DataFrame:
+    """(sheet, block, _part, n, first_seq, first_at) of ``ranged`` rows, stored: all that the order of blocks and rows needs from them."""
+    return stored(rows.groupBy("sheet", "block", "_part").agg(F.count("*").alias("n"), F.min("row_seq").alias("first_seq"), F.min("_at").alias("first_at")), "parts")
 
-def block_order(mapped: DataFrame, lanes: DataFrame | None = None) -> DataFrame:
-    """(sheet, block, n, first_seq, block_ord): blocks of a sheet in order of their first row. ``lanes``: of these rows."""
-    lanes = lanes_of(mapped) if lanes is None else lanes
-    blocks = lanes.groupBy("sheet", "block").agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
+
+def block_order(mapped: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(sheet, block, n, first_seq, block_ord): blocks of a sheet in order of their first row. ``parts``: ``parts_of`` these rows."""
+    if parts is None:
+        blocks = mapped.groupBy("sheet", "block").agg(F.count("*").alias("n"), F.min("row_seq").alias("first_seq"))
+    else:
+        blocks = parts.groupBy("sheet", "block").agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
     return blocks.withColumn("block_ord", F.row_number().over(W.partitionBy("sheet").orderBy("first_seq")).cast("long"))
 
 
@@ -38,37 +51,41 @@ def order_output(mapped: DataFrame) -> DataFrame:
     return mapped.join(keys, ["sheet", "block"]).orderBy("sheet_ord", "block_ord", "row_seq")
 
 
-def block_starts(mapped: DataFrame, lanes: DataFrame | None = None) -> DataFrame:
+def block_starts(mapped: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """``block_order`` with start: the row of the block's label. A block takes n + 2 rows and a separator."""
     before = F.sum(F.col("n") + 3).over(W.partitionBy("sheet").orderBy("block_ord").rowsBetween(W.unboundedPreceding, -1))
-    return block_order(mapped, lanes).withColumn("start", F.coalesce(before, F.lit(0)) + 1)
+    return block_order(mapped, parts).withColumn("start", F.coalesce(before, F.lit(0)) + 1)
 
 
-def layout_positions(mapped: DataFrame, lane: int = LANE, lanes: DataFrame | None = None) -> DataFrame:
-    """Mapped rows with row_idx, their place in the sheet; equal row_seq may take each other's place.
+def placed(rows: DataFrame, parts: DataFrame, starts: DataFrame) -> DataFrame:
+    """``ranged`` rows with row_idx, from their ``parts_of`` and ``block_starts``."""
+    before = F.coalesce(F.sum("n").over(W.partitionBy("sheet", "block").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # where the first row of a block would be if the range began with it
+    offset = F.col("start") + 2 + before - F.col("first_at")
+    offsets = stored(parts.join(starts.select("sheet", "block", "start"), ["sheet", "block"]).select("sheet", "block", "_part", offset.alias("_offset")), "offsets")
+    kept = [c for c in rows.columns if c not in ("_part", "_at")]
+    return rows.join(small(offsets), ["sheet", "block", "_part"]).select(*kept, (F.col("_offset") + F.col("_at")).cast("long").alias("row_idx"))
 
-    ``lanes``: ``lanes_of`` these rows with the same ``lane``. Rows are read twice: for the lanes, and to be placed.
-    """
-    lanes = lanes_of(mapped, lane) if lanes is None else lanes
-    before = F.coalesce(F.sum("n").over(W.partitionBy("sheet", "block").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = block_starts(mapped, lanes).select("sheet", "block", "start")
-    offsets = lanes.select("sheet", "block", F.col("lane").alias("_lane"), before.alias("_before")).join(starts, ["sheet", "block"])
-    at = F.row_number().over(W.partitionBy("sheet", "block", "_lane").orderBy("row_seq"))
-    placed = mapped.withColumn("_lane", F.floor(F.col("row_seq") / lane)).withColumn("_at", at).join(offsets, ["sheet", "block", "_lane"])
-    return placed.select(*mapped.columns, (F.col("start") + 1 + F.col("_before") + F.col("_at")).cast("long").alias("row_idx"))
+
+def layout_positions(mapped: DataFrame, lane: int | None = None) -> DataFrame:
+    """Mapped rows with row_idx, their place in the sheet; equal row_seq may take each other's place. ``lane``: as of ``ranged``."""
+    rows = ranged(mapped, lane)
+    parts = parts_of(rows)
+    return placed(rows, parts, block_starts(rows, parts))
 
 
 def sheet_grid(mapped: DataFrame) -> DataFrame:
     """(sheet, row_idx, c1..c8): the listing of each sheet, with labels, headers, rows and blank separators."""
-    lanes = lanes_of(mapped)
-    starts = block_starts(mapped, lanes)
+    placed_rows = ranged(mapped)
+    parts = parts_of(placed_rows)
+    starts = stored(block_starts(placed_rows, parts), "starts")
     empty = [F.lit("").alias(f"c{i}") for i in range(1, 9)]
     last = F.max("block_ord").over(W.partitionBy("sheet"))
     line = lambda at, cells: starts.select("sheet", at.cast("long").alias("row_idx"), *(F.lit(c).alias(f"c{i}") for i, c in enumerate(cells, 1)))
     labels = starts.select("sheet", F.col("start").cast("long").alias("row_idx"), F.col("block").alias("c1"), *empty[1:])
     heads = line(F.col("start") + 1, [*V.MAPPED_HEADERS, "", ""])
     gaps = starts.withColumn("_last", last).where("block_ord < _last").select("sheet", (F.col("start") + F.col("n") + 2).cast("long").alias("row_idx"), *empty)
-    rows = layout_positions(mapped, lanes=lanes).select("sheet", "row_idx", *(F.col(h).alias(f"c{i}") for i, h in enumerate(V.MAPPED_HEADERS, 1)), *empty[6:])
+    rows = placed(placed_rows, parts, starts).select("sheet", "row_idx", *(F.col(h).alias(f"c{i}") for i, h in enumerate(V.MAPPED_HEADERS, 1)), *empty[6:])
     return labels.unionByName(heads).unionByName(rows).unionByName(gaps)
 
 

@@ -2,12 +2,22 @@
 
 Each page is parsed once, with the standard library's parser, in small Arrow batches; pages that can't
 hold a pair are told apart before by a plain pattern and never cross to Python.
+
+A page is a list of elements numbered in document order, each with the number after its last descendant and the stretch of
+texts inside it. Numbers by tag are sorted lists, so that "all rows of this table" is a slice, and "the first value in this
+element" one step of a binary search. Parsing and looking up take time in proportion to the page.
+
+What nesting multiplies: an outer table or list gives the pairs of the inner ones too, and these give them again. A pair that
+came ``REPEATS`` times before is left out. That changes no result, since a result shows that many lines at most
+and a repeated pair neither sets nor contradicts a value. A page whose pairs hold ``MOST_TEXT`` characters gives no further ones.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -16,88 +26,105 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockroom.functions.fixed_values import RAW_LINES
+
 PAIR = "struct<source:string,label:string,value:string>"
 PAIRS = f"array<{PAIR}>"
-#: What a page must hold somewhere to give a pair or a link.
-HOLDS = r"(?i)<table|<dl|spec|ld\+json|__NEXT_DATA__|\.pdf|data-pdf"
+#: What a page must hold somewhere to give a pair or a link: a tag, or a word of an attribute, written out or with references
+#: to its letters and signs. Case is Unicode's, as in the parser's own patterns.
+HOLDS = r"(?iu)<table|<dl|spec|ld\+json|__NEXT_DATA__|\.pdf|data-pdf|&#|&(?:period|plus|lowbar|underbar);"
+
+#: How often a pair is repeated at most, and the characters that a page's pairs hold at most (each pair counts 16 more).
+REPEATS, MOST_TEXT = RAW_LINES, 8 << 20
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+HIDDEN = {"script", "style", "template"}
 #: Opening one of these ends an open one of those.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}, "option": {"option"}}
 #: ... but not beyond one of these.
 WITHIN = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"div", "td", "th", "li", "dd", "article", "section"}, "option": {"select"}}
 
 
-class Node:
-    __slots__ = ("attrs", "inside", "tag")
-
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.inside = tag, attrs, []
-
-    def all(self) -> Iterator["Node"]:
-        """Descendants in document order."""
-        stack = [iter(self.inside)]
-        while stack:
-            x = next(stack[-1], None)
-            if x is None:
-                stack.pop()
-            elif isinstance(x, Node):
-                yield x
-                stack.append(iter(x.inside))
-
-    def strings(self) -> Iterator[str]:
-        stack = [iter(self.inside)]
-        while stack:
-            x = next(stack[-1], None)
-            if x is None:
-                stack.pop()
-            elif isinstance(x, str):
-                yield x
-            elif x.tag not in ("script", "style", "template"):
-                stack.append(iter(x.inside))
-
-    def text(self, between: str = " ") -> str:
-        return between.join(s for s in (x.strip() for x in self.strings()) if s)
-
+class Page(HTMLParser):
+    """A page's elements by number; elements that may stay open are closed where the next one begins.
 
-class Tree(HTMLParser):
-    """A tree of a page; elements that may stay open are closed where the next one begins."""
+    tag, attrs, end and hidden (how many script, style or template elements it is in, itself included) are lists by element;
+    texts are (text, hidden), and first and last say which of them lie in an element.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = Node("", {})
-        self.open = [self.root]
+        self.tags, self.attrs, self.end, self.hidden, self.first, self.last = [], [], [], [], [], []
+        self.texts: list[list] = []
+        self.scripts: dict[int, list[str]] = {}
+        self.by_tag: dict[str, list[int]] = {}
+        self.open: list[int] = []  # elements, outermost first
+        self.places: dict[str, list[int]] = {}  # of open elements of a tag: where they are in ``open``
+        self.joins = False  # whether the next text goes on where the last one ended
         self.feed(html)
         self.close()
+        self._close_from(0)
+
+    def _close_from(self, place: int) -> None:
+        while len(self.open) > place:
+            n = self.open.pop()
+            self.places[self.tags[n]].pop()
+            self.end[n], self.last[n] = len(self.tags), len(self.texts)
+            self.joins = False
 
     def handle_starttag(self, tag, attrs):
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag in WITHIN.get(tag, ()) or tag not in ENDS:
-                break
-            if self.open[at].tag in ENDS[tag]:
-                del self.open[at:]
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)})
-        self.open[-1].inside.append(node)
+        if tag in ENDS:
+            floor = max((self.places[t][-1] for t in WITHIN[tag] if self.places.get(t)), default=-1)
+            # the outermost one that ends here
+            ended = [own[i] for own in (self.places.get(t, ()) for t in ENDS[tag]) if (i := bisect_left(own, floor + 1)) < len(own)]
+            if ended:
+                self._close_from(min(ended))
+        n = len(self.tags)
+        self.tags.append(tag)
+        self.attrs.append({k: v or "" for k, v in reversed(attrs)} if attrs else {})
+        self.hidden.append((self.hidden[self.open[-1]] if self.open else 0) + (tag in HIDDEN))
+        self.end.append(n + 1)
+        self.first.append(len(self.texts))
+        self.last.append(len(self.texts))
+        self.by_tag.setdefault(tag, []).append(n)
+        self.joins = False
         if tag not in VOID:
-            self.open.append(node)
+            self.places.setdefault(tag, []).append(len(self.open))
+            self.open.append(n)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._close_from(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag == tag:
-                del self.open[at:]
-                break
+        if self.places.get(tag):
+            self._close_from(self.places[tag][-1])
 
     def handle_data(self, data):
-        inside = self.open[-1].inside
-        if inside and isinstance(inside[-1], str):
-            inside[-1] += data
+        inside = self.open[-1] if self.open else None
+        if inside is not None and self.tags[inside] == "script":
+            self.scripts.setdefault(inside, []).append(data)
+        if self.joins:
+            self.texts[-1][0].append(data)
         else:
-            inside.append(data)
+            self.texts.append([[data], self.hidden[inside] if inside is not None else 0])
+            self.joins = True
+
+    def text(self, n: int, between: str = " ") -> str:
+        """The stripped texts in an element, without those of scripts, styles and templates inside it."""
+        pieces = ("".join(parts).strip() for parts, hidden in self.texts[self.first[n] : self.last[n]] if hidden == self.hidden[n])
+        return between.join(p for p in pieces if p)
+
+    def script(self, n: int) -> str:
+        return "".join(self.scripts.get(n, ()))
+
+    def inside(self, numbers: list[int], n: int) -> range:
+        """Where in sorted ``numbers`` the descendants of an element are."""
+        return range(bisect_left(numbers, n + 1), bisect_left(numbers, self.end[n]))
+
+    def all(self, tag: str) -> list[int]:
+        return self.by_tag.get(tag, [])
 
 
 def json_pairs(text: str | None) -> list[tuple[str, str]]:
@@ -127,43 +154,101 @@ SPEC, LABEL, VALUE = (re.compile(p, re.I) for p in ("spec", "label|name|key|titl
 SHEET = re.compile(r"spec|product.guide|data.sheet", re.I)
 
 
-def _classed(node: Node, pattern: re.Pattern) -> bool:
-    """Whether one of an element's classes, or all of them together, match."""
-    return any(pattern.search(c) for c in node.attrs.get("class", "").split())
+def _listed(page: Page) -> Iterator[tuple[int, int]]:
+    """(dt, dd) of each list: its first term with its first description, and so on.
+
+    An inner list whose terms and descriptions are as far apart as an outer one's gives pairs that this one gave.
+    """
+    terms, told = page.all("dt"), page.all("dd")
+    outer: list[tuple[int, int]] = []  # open lists: their end, and how far apart
+    seen: Counter[int] = Counter()
+    for n in page.all("dl"):
+        while outer and outer[-1][0] <= n:
+            seen[outer.pop()[1]] -= 1
+        a, b = page.inside(terms, n), page.inside(told, n)
+        apart = a.start - b.start
+        if seen[apart] < REPEATS:
+            yield from ((terms[i], told[j]) for i, j in zip(a, b))
+        outer.append((page.end[n], apart))
+        seen[apart] += 1
+
+
+def _rows(page: Page) -> Iterator[tuple[int, int]]:
+    """The first two cells of each row of each table. A table in ``REPEATS`` others gives rows that each of them gave."""
+    rows, cells, outer = page.all("tr"), sorted(page.all("td") + page.all("th")), []
+    for n in page.all("table"):
+        while outer and outer[-1] <= n:
+            outer.pop()
+        if len(outer) < REPEATS:
+            for i in page.inside(rows, n):
+                own = page.inside(cells, rows[i])
+                if len(own) >= 2:
+                    yield cells[own.start], cells[own.start + 1]
+        outer.append(page.end[n])
+
+
+def _classed(page: Page) -> Iterator[tuple[int, int]]:
+    """Of each element with a class like "spec", the first label and the first value in it, if they are two elements."""
+    of: dict[re.Pattern, list[int]] = {SPEC: [], LABEL: [], VALUE: []}
+    for n, attrs in enumerate(page.attrs):
+        words = attrs.get("class", "").split() if attrs else ()
+        for pattern, numbers in of.items():
+            if any(pattern.search(w) for w in words):
+                numbers.append(n)
+    given: Counter[tuple[int, int]] = Counter()
+    for n in of[SPEC]:
+        labels, values = page.inside(of[LABEL], n), page.inside(of[VALUE], n)
+        if labels and values:
+            pair = of[LABEL][labels.start], of[VALUE][values.start]
+            if pair[0] != pair[1] and given[pair] < REPEATS:
+                given[pair] += 1
+                yield pair
+
+
+def _linked(page: Page) -> Iterator[tuple[str, bool]]:
+    """The address of each link to a document, and whether it or the link's text is about specifications."""
+    searched: Counter[int] = Counter()  # up to where the text seen from a link (by what hides it) is searched, with those of links inside
+    for n in page.all("a"):
+        href = page.attrs[n].get("href", "")
+        if ".pdf" in href.lower():
+            said = bool(SHEET.search(href))
+            if not said and page.end[n] > searched[page.hidden[n]]:
+                said, searched[page.hidden[n]] = bool(SHEET.search(page.text(n, ""))), page.end[n]
+            yield href, said
 
 
 def page_pairs(html: str | None, url: str | None) -> tuple[list[dict], str | None]:
     """Pairs of a page in order of their sources (next-data, JSON-LD, HTML), and its spec sheet's URL."""
     try:
-        nodes = list(Tree(html or "").root.all())
+        page = Page(html or "")
     except (AssertionError, RecursionError):
         return [], None
-    found = []
-    add = lambda source, pairs: found.extend({"source": source, "label": k, "value": v} for k, v in pairs)
-    script = lambda n: "".join(x for x in n.inside if isinstance(x, str))
-    for n in [n for n in nodes if n.tag == "script" and n.attrs.get("id") == "__NEXT_DATA__"][:1]:
-        add("next", json_pairs(script(n)))
-    for n in nodes:
-        if n.tag == "script" and n.attrs.get("type") == "application/ld+json":
-            add("jsonld", json_pairs(script(n)))
-    for n in nodes:
-        if n.tag == "dl":
-            inner = list(n.all())
-            add("html", zip((x.text() for x in inner if x.tag == "dt"), (x.text() for x in inner if x.tag == "dd")))
-    for n in nodes:
-        if n.tag == "table":
-            for row in (x for x in n.all() if x.tag == "tr"):
-                cells = [x for x in row.all() if x.tag in ("td", "th")][:2]
-                if len(cells) == 2:
-                    add("html", [(cells[0].text(), cells[1].text())])
-    for n in nodes:
-        if _classed(n, SPEC):
-            label, value = (next((x for x in n.all() if _classed(x, p)), None) for p in (LABEL, VALUE))
-            if label is not None and value is not None and label is not value:
-                add("html", [(label.text(), value.text())])
-    link = next((n.attrs["href"] for n in nodes if n.tag == "a" and ".pdf" in n.attrs.get("href", "").lower() and (SHEET.search(n.text("")) or SHEET.search(n.attrs["href"]))), None)
+    found, left, texts = [], MOST_TEXT, {}
+
+    def add(source: str, pairs) -> None:
+        nonlocal left
+        for label, value in pairs:
+            left -= len(label) + len(value) + 16
+            if left < 0:
+                return
+            found.append({"source": source, "label": label, "value": value})
+
+    def text(n: int) -> str:
+        if n not in texts:
+            texts[n] = page.text(n)
+        return texts[n]
+
+    scripts = page.all("script")
+    for n in [n for n in scripts if page.attrs[n].get("id") == "__NEXT_DATA__"][:1]:
+        add("next", json_pairs(page.script(n)))
+    for n in scripts:
+        if page.attrs[n].get("type") == "application/ld+json":
+            add("jsonld", json_pairs(page.script(n)))
+    for pairs in (_listed(page), _rows(page), _classed(page)):
+        add("html", ((text(label), text(value)) for label, value in pairs))
+    link = next((href for href, said in _linked(page) if said), None)
     if link is None:
-        link = next((n.attrs["data-pdf"] for n in nodes if "data-pdf" in n.attrs), None)
+        link = next((attrs["data-pdf"] for attrs in page.attrs if "data-pdf" in attrs), None)
     try:
         return found, None if link is None else urljoin(url or "", link)
     except ValueError:

@@ -2,7 +2,8 @@
 
 A catalogue has the columns brand, product_group, subcategory, product_name, sku, link and row_seq, and any
 others. Rules come as plain lists or as tables. A list is folded into one expression: no join, no shuffle,
-and the number of rules is bounded by what a person can keep in order. A table of rules is joined by group.
+and the number of rules is bounded by what a person can keep in order. A table of rules may be of any length: it
+is turned into an index of the grams of its terms, and joined by these.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from stockroom.functions import fixed_values as V
 from stockroom.functions.clean import brand_key, contains_any, stripped
 from stockroom.functions.dimensions import once
-from stockroom.sources.shared import small
+from stockroom.sources.shared import small, stored
 
 #: Names of columns for the field names that override rules use.
 FIELDS = {"Brand": "brand", "Product Group": "product_group", "Subcategory": "subcategory", "Product Name": "product_name", "Model / SKU": "sku"}
@@ -127,13 +128,51 @@ def compiled(catalogue: DataFrame, rules: list, overrides: list) -> DataFrame:
     return numbered.withColumns({"sheet": _named(F.col("_rule"), [s for s, _ in targets]), "block": resolve_block(block, F.col("subcategory"))})
 
 
+#: Signs to a gram of the rule index.
+GRAM = 4
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of ``n`` signs of a text, none if it is shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(group, gram, term, rule_ord): each term of a group once, with its first rule, under its rarest gram.
+
+    A term of fewer than ``GRAM`` signs is its own gram. A rule without terms, or with an empty one, has neither gram nor term. So a text
+    can hold a term only if it holds the gram that the term is filed under.
+    """
+    group, terms = F.lower("product_group").alias("group"), F.transform("terms", F.lower)
+    anything = (F.size("terms") == 0) | F.array_contains(terms, "")
+    listed = rules.select("rule_ord", group, F.explode(F.when(anything, F.array(F.lit(None).cast("string"))).otherwise(F.filter(terms, lambda t: t.isNotNull()))).alias("term"))
+    first = listed.groupBy("group", "term").agg(F.min("rule_ord").alias("rule_ord"))
+    grams = F.when(F.length("term") < GRAM, F.array("term")).otherwise(_grams(F.col("term"), GRAM))
+    filed = first.where("term IS NOT NULL").withColumn("gram", F.explode(grams))
+    common = filed.groupBy("group", "gram").agg(F.count("*").alias("n"))
+    rarest = filed.join(common, ["group", "gram"]).groupBy("group", "term", "rule_ord").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    none = F.lit(None).cast("string")
+    return rarest.select("group", "gram", "term", "rule_ord").unionByName(first.where("term IS NULL").select("group", none.alias("gram"), none.alias("term"), "rule_ord"))
+
+
 def match_rules(catalogue: DataFrame, rules: DataFrame, key: str = "row_seq") -> DataFrame:
-    """(key, sheet, block) of the first matching row of a table of rules, joined by group."""
-    r = rules.select("rule_ord", F.lower("product_group").alias("_group"), "terms", "sheet", "block")
-    rows = catalogue.select(key, brand_key(F.col("product_group")).alias("_group"), stripped(F.col("subcategory")).alias("_sub"), "subcategory")
-    hits = rows.join(r, "_group").where((F.size("terms") == 0) | contains_any(F.col("_sub"), F.col("terms")))
-    first = hits.groupBy(key).agg(F.min_by(F.struct("sheet", resolve_block(F.col("block"), F.col("subcategory")).alias("block")), "rule_ord").alias("t"))
-    return first.select(key, "t.sheet", "t.block")
+    """(key, sheet, block) of the first matching row of a table of rules.
+
+    Distinct (group, subcategory) are matched, not rows: each meets the rule of its group that asks for nothing, and through the grams
+    of its text the terms that are filed under one of them (``rule_index``). So a hundred thousand rules of one group
+    cost a text its own length, and never rows by rules. Both joins are equal joins.
+    """
+    index = stored(rule_index(rules), "rule-index")
+    asked = catalogue.select(brand_key(F.col("product_group")).alias("group"), stripped(F.col("subcategory")).alias("_sub")).distinct()
+    texts = stored(asked.join(small(index.select("group").distinct()), "group", "left_semi").withColumn("_low", F.lower("_sub")), "rule-texts")
+    sizes = [r.n for r in index.where("gram IS NOT NULL").select(F.length("gram").alias("n")).distinct().collect()]
+    own = F.flatten(F.array(*(_grams(F.col("_low"), n) for n in sizes))) if sizes else F.array().cast("array<string>")
+    met = texts.withColumn("gram", F.explode(own)).join(small(index.where("gram IS NOT NULL")), ["group", "gram"]).where(F.contains("_low", "term")).select("group", "_sub", "rule_ord")
+    plain = texts.join(small(index.where("gram IS NULL").select("group", "rule_ord")), "group").select("group", "_sub", "rule_ord")
+    first = stored(met.unionByName(plain).groupBy("group", "_sub").agg(F.min("rule_ord").alias("rule_ord")).join(small(rules.select("rule_ord", "sheet", "block")), "rule_ord"), "rule-hits")
+    rows = catalogue.select(key, brand_key(F.col("product_group")).alias("group"), stripped(F.col("subcategory")).alias("_sub"), "subcategory")
+    return rows.join(small(first), ["group", "_sub"]).select(key, "sheet", resolve_block(F.col("block"), F.col("subcategory")).alias("block"))
 
 
 def match_overrides(catalogue: DataFrame, overrides: DataFrame, key: str = "row_seq") -> DataFrame:

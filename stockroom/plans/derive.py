@@ -39,6 +39,15 @@ CRAWL = """
 SELECT url, CASE page_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 403 WHEN 3 THEN 429 WHEN 4 THEN 404 END AS status,
   CASE WHEN page_id % 6 = 5 THEN 'timeout' ELSE '' END AS error, html FROM pages"""
 
+CAPTURES = """
+SELECT page_id, url, k, CASE (page_id + k) % 4 WHEN 0 THEN 200 WHEN 1 THEN 500 WHEN 2 THEN 200 ELSE 404 END AS status, '' AS error, concat(html, CASE k WHEN 0 THEN '' WHEN 1 THEN 'x' ELSE 'xx' END) AS html,
+  CAST(CASE k WHEN 0 THEN '2024-04-01 00:00:00' WHEN 1 THEN '2024-05-01 00:00:00' ELSE CASE page_id % 3 WHEN 0 THEN '2024-05-01 00:00:00' WHEN 1 THEN '2024-05-20 00:00:00' ELSE '2024-07-01 00:00:00' END END AS TIMESTAMP) AS fetched_at
+FROM pages CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 1 UNION ALL SELECT 2) n WHERE page_id % 7 <> 0"""
+
+NUMBERS = """
+SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_retailprice * 1e17 WHEN 1 THEN p_retailprice * 1e20 WHEN 2 THEN -1 * p_retailprice * 1e30 WHEN 3 THEN p_size / 1e20 WHEN 4 THEN -1 * p_size / 1e5
+  WHEN 5 THEN p_partkey * 1e7 + 0.5 WHEN 6 THEN p_size * 1e22 ELSE p_size / 1e3 END AS value FROM part"""
+
 GRID = f"""
 SELECT source_file, CAST(row_number() OVER (PARTITION BY source_file ORDER BY row_seq) + 4 AS BIGINT) AS row_idx, brand, product_group, subcategory, sku, product_name, link
 FROM ({CATALOGUE}) c"""

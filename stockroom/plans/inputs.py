@@ -97,3 +97,29 @@ def crawl_by_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = html_pages(spark, sf_dir).drop("page_key")
     return made.unionByName(made.withColumn("url", F.concat("url", F.lit("/"))))
 
+
+def recrawl_by_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``crawl_by_link`` as captures: each twice before the run, one that failed before these, and another page after the run."""
+    made, at = crawl_by_link(spark, sf_dir), lambda day: F.lit(f"{day} 00:00:00").cast("timestamp")
+    counted = made.withColumn("fetched_at", at("2024-05-01"))
+    failed = made.withColumns({"status": F.lit(500), "error": F.lit(""), "fetched_at": at("2024-04-01")})
+    later = made.withColumns({"status": F.lit(200), "error": F.lit(""), "html": F.lit("<table><tr><td>Net dimension (WxHxD)<td>1 2 3</table>"), "fetched_at": at("2024-07-01")})
+    return counted.unionByName(counted).unionByName(failed).unionByName(later)
+
+
+#: Rows to a sheet of ``csv_sheets``; every so many of them one has no header.
+SHEET_ROWS, WITHOUT_HEADER = 100, 5
+
+
+def csv_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(number, value): the catalogue as CSV sheets of ``SHEET_ROWS`` rows at most, a text each, with the URL first or last and blank rows at the end."""
+    cells = ["brand", "product_group", "subcategory", "sku", "product_name", "link"]
+    quoted = lambda names: F.concat_ws(",", *(F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) for c in names))
+    number = F.floor(F.col("row_seq") / SHEET_ROWS)
+    first = number % 2 == 0
+    line = F.when(first, quoted([cells[-1], *cells[:-1]])).otherwise(quoted(cells))
+    rows = catalogue(spark, sf_dir).select(number.alias("number"), "row_seq", line.alias("line")).groupBy("number").agg(F.array_sort(F.collect_list(F.struct("row_seq", "line"))).alias("l"))
+    titles = ["Brand", "Product Group", "Subcategory", " Model / SKU ", "Product Name"]
+    head = F.when(F.col("number") % WITHOUT_HEADER == WITHOUT_HEADER - 1, F.lit("")).when(F.col("number") % 2 == 0, F.lit(",".join(["Shop product url ", *titles]))).otherwise(F.lit(",".join([*titles, "Product URL"])))
+    lines = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return rows.select("number", F.concat(F.lit('Master catalogue\n"a banner,\nof two lines"\n\n'), head, F.lit("\n"), lines, F.lit("\n\n,,\n")).alias("value"))

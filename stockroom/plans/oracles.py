@@ -37,9 +37,17 @@ def _unit(of: str) -> str:
     return f"nullif(lower(regexp_extract({of}, '(?i)\\((mm|cm|m)\\)', 1)), '')"
 
 
-def _resolved(name: str, source: str, key: str) -> str:
-    """Tables <name>_r with h, w, d, conflict, raw_text, confidence, reason by key from rows (key, seq, label, value)."""
+_WORDS = [("width", "W"), ("w", "W"), ("height", "H"), ("h", "H"), ("depth", "D"), ("d", "D")]
+
+
+def _resolved(name: str, source: str, key: str, *, words: bool = False, skip: str = "cav AND NOT ovl", told: str = "cav AND NOT ovl") -> str:
+    """Tables <name>_r with h, w, d, conflict, raw_text, confidence, reason by key from rows (key, seq, label, value).
+
+    ``words``: an axis is named by a whole word; ``skip``: the labels that don't count; ``told``: those of them that raw_text ends with.
+    """
     axis = "CASE WHEN contains(l, 'width') THEN 'W' WHEN contains(l, 'w') THEN 'W' WHEN contains(l, 'height') THEN 'H' WHEN contains(l, 'h') THEN 'H' WHEN contains(l, 'depth') THEN 'D' WHEN contains(l, 'd') THEN 'D' END"
+    if words:
+        axis = "CASE " + " ".join(f"WHEN regexp_matches(l, '\\b{w}\\b') THEN '{a}'" for w, a in _WORDS) + " END"
     return f"""
 {name}_d AS (SELECT {key}, seq, label, value, lower(label) AS l, regexp_matches(label, '{_RE["cavity"]}') AS cav, regexp_matches(label, '{_RE["overall"]}') AS ovl,
     coalesce({_unit("label")}, {_unit("value")}, 'mm') AS unit, regexp_extract_all(replace(value, ',', ''), '\\d+(?:\\s*[-–]\\s*\\d+)?', 0) AS ns,
@@ -47,14 +55,14 @@ def _resolved(name: str, source: str, key: str) -> str:
     upper(regexp_extract(label, '{_RE["axes"]}', 1)) AS a1, upper(regexp_extract(label, '{_RE["axes"]}', 2)) AS a2, upper(regexp_extract(label, '{_RE["axes"]}', 3)) AS a3
     FROM {source} WHERE regexp_matches(label, '{_RE["dim"]}')),
 {name}_u AS (SELECT *, row_number() OVER (PARTITION BY {key}, cav AND NOT ovl ORDER BY seq) AS skip FROM {name}_d),
-{name}_v AS (SELECT {key}, seq * 4 AS place, {axis} AS axis, {_MM.format(n="ns[1]")} AS v FROM {name}_u WHERE NOT (cav AND NOT ovl) AND a1 = '' AND len(ns) > 0
-    UNION ALL SELECT {key}, seq * 4, a1, {_MM.format(n="ns[1]")} FROM {name}_u WHERE NOT (cav AND NOT ovl) AND a1 <> '' AND len(ns) >= 3 AND a1 <> a2 AND a1 <> a3
-    UNION ALL SELECT {key}, seq * 4 + 1, a2, {_MM.format(n="ns[2]")} FROM {name}_u WHERE NOT (cav AND NOT ovl) AND a1 <> '' AND len(ns) >= 3 AND a2 <> a3
-    UNION ALL SELECT {key}, seq * 4 + 2, a3, {_MM.format(n="ns[3]")} FROM {name}_u WHERE NOT (cav AND NOT ovl) AND a1 <> '' AND len(ns) >= 3),
+{name}_v AS (SELECT {key}, seq * 4 AS place, {axis} AS axis, {_MM.format(n="ns[1]")} AS v FROM {name}_u WHERE NOT ({skip}) AND a1 = '' AND len(ns) > 0
+    UNION ALL SELECT {key}, seq * 4, a1, {_MM.format(n="ns[1]")} FROM {name}_u WHERE NOT ({skip}) AND a1 <> '' AND len(ns) >= 3 AND a1 <> a2 AND a1 <> a3
+    UNION ALL SELECT {key}, seq * 4 + 1, a2, {_MM.format(n="ns[2]")} FROM {name}_u WHERE NOT ({skip}) AND a1 <> '' AND len(ns) >= 3 AND a2 <> a3
+    UNION ALL SELECT {key}, seq * 4 + 2, a3, {_MM.format(n="ns[3]")} FROM {name}_u WHERE NOT ({skip}) AND a1 <> '' AND len(ns) >= 3),
 {name}_a AS (SELECT {key}, axis, arg_min(v, place) AS v, count(DISTINCT v) > 1 AS differs FROM {name}_v WHERE axis IS NOT NULL GROUP BY ALL),
 {name}_p AS (SELECT {key}, max(CASE WHEN axis = 'H' THEN v END) AS h, max(CASE WHEN axis = 'W' THEN v END) AS w, max(CASE WHEN axis = 'D' THEN v END) AS d, bool_or(differs) AS conflict FROM {name}_a GROUP BY {key}),
 {name}_t AS (SELECT {key}, string_agg(CASE WHEN line <= 12 THEN label || ': ' || value END, chr(10) ORDER BY seq)
-      || coalesce(chr(10) || '[Cavity dims skipped]: ' || string_agg(CASE WHEN cav AND NOT ovl AND skip <= 4 THEN label || ': ' || value END, '; ' ORDER BY seq), '') AS raw_text FROM {name}_u GROUP BY {key}),
+      || coalesce(chr(10) || '[Cavity dims skipped]: ' || string_agg(CASE WHEN {told} AND skip <= 4 THEN label || ': ' || value END, '; ' ORDER BY seq), '') AS raw_text FROM {name}_u GROUP BY {key}),
 {name}_r AS (SELECT t.{key}, h, w, d, coalesce(conflict, false) AS conflict, raw_text,
     CASE WHEN conflict THEN 'Needs Review' WHEN h IS NOT NULL AND w IS NOT NULL AND d IS NOT NULL THEN 'Resolved' WHEN h IS NOT NULL OR w IS NOT NULL OR d IS NOT NULL THEN 'Needs Review' ELSE 'Not Found' END AS confidence,
     CASE WHEN conflict THEN 'Conflicting dimension values found on page' WHEN h IS NOT NULL AND w IS NOT NULL AND d IS NOT NULL THEN ''
@@ -121,3 +129,13 @@ res AS (SELECT t.sheet, t.row_idx, t.brand, t.sku, t.link, t.ord,
 def oracle(select: str) -> str:
     """A query over the common tables."""
     return f"WITH {BASE}\n{select}"
+
+
+def word_oracle(select: str) -> str:
+    """A query over the pairs resolved by whole words: word_r."""
+    return f"WITH pairs AS ({derive.PAIRS}), {_resolved('word', 'pairs', 'page_key', words=True)}\n{select}"
+
+
+def cavity_oracle(select: str) -> str:
+    """A query over the pairs of cavities: cav_r."""
+    return f"WITH pairs AS ({derive.PAIRS}), {_resolved('cav', 'pairs', 'page_key', skip='ovl AND NOT cav', told='false')}\n{select}"

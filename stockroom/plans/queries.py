@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stockroom.functions import clean, dimensions
@@ -18,7 +20,7 @@ from stockroom.operators import rules as R
 from stockroom.operators import summary as S
 from stockroom.plans import derive
 from stockroom.plans import inputs as I
-from stockroom.plans.oracles import oracle
+from stockroom.plans.oracles import cavity_oracle, oracle, word_oracle
 from stockroom.sources import catalogue as A
 from stockroom.sources.shared import new_path, stored
 from stockroom.streaming import streams as T
@@ -74,6 +76,16 @@ def a3_clean_cell(spark, sf_dir):
     return events.select("event_id", clean.clean_cell(F.col("value"), "double").alias("value"), clean.clean_cell(F.col("event_type")).alias("event_type"))
 
 
+@query(
+    f"""SELECT p_partkey, CASE WHEN value = floor(value) THEN CAST(CAST(value AS HUGEINT) AS VARCHAR) WHEN abs(value) >= 1e7 THEN CAST(CAST(value AS DECIMAL(38, 1)) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS value
+    FROM ({derive.NUMBERS}) n""",
+    alone=True,
+)
+def a3_large_and_tiny(spark, sf_dir):
+    """Numbers beyond what a long holds, and fractions with an exponent, as clean cells."""
+    return derive.derived(spark, sf_dir, derive.NUMBERS).select("p_partkey", clean.clean_cell(F.col("value"), "double").alias("value"))
+
+
 @query("SELECT row_seq, sku, link FROM cat WHERE sku <> '' OR link <> ''")
 def a4_drop_blank_rows(spark, sf_dir):
     """Rows with an SKU or a link."""
@@ -113,6 +125,30 @@ def a9_write_enriched(spark, sf_dir):
     return spark.read.parquet(path).select("sheet", "row_idx", *(f"c{i}" for i in range(1, 9)))
 
 
+_WRITTEN = """SELECT g.sheet, g.row_idx, c1, c2, CASE WHEN r.ord IS NULL THEN c3 ELSE r.height END AS c3, CASE WHEN r.ord IS NULL THEN c4 ELSE r.width END AS c4, CASE WHEN r.ord IS NULL THEN c5 ELSE r.depth END AS c5, c6,
+    CASE WHEN r.ord IS NOT NULL THEN r.confidence WHEN c1 = 'Brand' AND c2 = 'Product' THEN 'Dimension Confidence' ELSE c7 END AS c7, CASE WHEN r.ord IS NOT NULL THEN r.source_url WHEN c1 = 'Brand' AND c2 = 'Product' THEN 'Dimension Source' ELSE c8 END AS c8
+    FROM grid g LEFT JOIN res r ON g.sheet = r.sheet AND g.row_idx = r.row_idx"""
+
+
+@query(_WRITTEN)
+def a9_write_results(spark, sf_dir):
+    """The listing with the results of an enrichment, confidence and source included, written by sheet and read again."""
+    path = new_path(spark, "enriched")
+    A.write_enriched(E.apply_results(L.sheet_grid(I.mapped_rows(spark, sf_dir)), _enriched(spark, sf_dir)[0]), path)
+    return spark.read.parquet(path).select("sheet", "row_idx", *(f"c{i}" for i in range(1, 9)))
+
+
+@query("SELECT row_seq, row_number() OVER (ORDER BY row_seq) AS place FROM cls WHERE sheet IS NULL")
+def a8_unmapped_order(spark, sf_dir):
+    """Unmapped rows, written after being dealt out anew, with their places in the files that were written."""
+    path, done = new_path(spark, "written"), I.classified(spark, sf_dir)
+    A.write_catalogue(R.mapped(done), R.unmapped(done).repartition(7, "Model / SKU"), path)
+    rows = spark.read.parquet(f"{path}/unmapped").select("row_seq", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("i"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    files = rows.groupBy("file").agg(F.count("*").alias("n")).select("file", before.alias("before"))
+    return rows.join(F.broadcast(files), "file").select("row_seq", (F.col("before") + F.col("i") + 1).alias("place"))
+
+
 # rules --------------------------------------------------------------------------------------------------
 
 
@@ -140,6 +176,26 @@ def b3_compiled_rules(spark, sf_dir):
     return R.compiled(I.catalogue(spark, sf_dir), V.RULES, []).where("sheet IS NOT NULL").select("row_seq", "sheet", "block")
 
 
+_NAMES = "SELECT p_partkey, lower(p_name) AS name, p_partkey % 3 AS kind, split_part(lower(p_name), ' ', 1) AS w1, split_part(lower(p_name), ' ', 2) AS w2, substr(lower(p_name), 1, 3) AS w3 FROM part"
+
+
+@query(
+    f"""WITH names AS ({_NAMES}), terms AS (SELECT p_partkey AS rule_ord, CASE kind WHEN 0 THEN w1 || ' ' || w2 WHEN 1 THEN w3 || CAST(p_partkey AS VARCHAR) ELSE w2 || ' ' END AS term FROM names WHERE p_partkey > 3),
+    texts AS (SELECT p_partkey AS row_seq, name || ' ' || w3 || CAST(p_partkey + 1 AS VARCHAR) AS text FROM names)
+    SELECT row_seq, 'Ovens' AS sheet, 'block ' || CAST(min(rule_ord) AS VARCHAR) AS block FROM texts JOIN terms ON contains(text, term) GROUP BY row_seq""",
+    alone=True,
+)
+def b3_many_rules(spark, sf_dir):
+    """A rule for every part, all of one group, against texts that hold some of their terms."""
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.lower("p_name").alias("name"))
+    word, k = (lambda i: F.split_part("name", F.lit(" "), F.lit(i))), F.col("p_partkey")
+    start = F.substring("name", 1, 3)
+    term = F.when(k % 3 == 0, F.concat(word(1), F.lit(" "), word(2))).when(k % 3 == 1, F.concat(start, k.cast("string"))).otherwise(F.concat(word(2), F.lit(" ")))
+    rules = names.where("p_partkey > 3").select(k.cast("int").alias("rule_ord"), F.lit("All").alias("product_group"), F.array(term).alias("terms"), F.lit("Ovens").alias("sheet"), F.concat(F.lit("block "), k.cast("string")).alias("block"))
+    text = F.concat("name", F.lit(" "), start, (k + 1).cast("string"))
+    return R.match_rules(names.select(k.alias("row_seq"), F.lit("all").alias("product_group"), text.alias("subcategory")), rules)
+
+
 @query("SELECT row_seq, CASE WHEN row_seq % 2 = 0 THEN 'Fixed' WHEN trim(subcategory) = '' THEN 'Uncategorised' ELSE trim(subcategory) END AS block FROM cat")
 def b4_resolve_block(spark, sf_dir):
     """Blocks, half of them the row's own subcategory."""
@@ -196,6 +252,17 @@ def c2_lookup_cache(spark, sf_dir):
     return found.select("ord", "url_key", "cached.confidence", "cached.height", "cached.width", "cached.depth", "cached.raw_text")
 
 
+def _bucketed(spark: SparkSession, cache: DataFrame) -> DataFrame:
+    return C.store_cache(cache, f"cache_{uuid.uuid4().hex}", 8)
+
+
+@query("SELECT t.ord, t.url_key, c.confidence, nullif(c.height, '') AS height, nullif(c.width, '') AS width, nullif(c.depth, '') AS depth, coalesce(c.raw_text, CASE WHEN c.url_key IS NOT NULL THEN '' END) AS raw_text FROM todo t LEFT JOIN cache c ON t.url_key = c.url_key WHERE t.link <> ''")
+def c2_lookup_bucketed(spark, sf_dir):
+    """The same lookup in a cache stored in buckets, which stays where it is."""
+    found = C.lookup_cache(I.rows_to_enrich(spark, sf_dir).where("link <> ''"), _bucketed(spark, I.cache(spark, sf_dir)).hint("merge"))
+    return found.select("ord", "url_key", "cached.confidence", "cached.height", "cached.width", "cached.depth", "cached.raw_text")
+
+
 @query("SELECT t.ord, c.confidence IS NULL AS fetch, c.confidence IS NULL OR c.confidence <> 'Resolved' AS fetch_forced FROM todo t LEFT JOIN cache c ON t.url_key = c.url_key WHERE t.link <> ''")
 def c3_should_fetch(spark, sf_dir):
     """Whether rows' URLs are fetched, without and with force."""
@@ -228,6 +295,19 @@ def c5_attach_pages(spark, sf_dir):
     return E.attach_pages(work, crawl).select("page_id", "link", "outcome", F.length("html").cast("long").alias("n"))
 
 
+@query(
+    f"""WITH taken AS (SELECT *, CASE WHEN status >= 400 THEN 'HTTP ' || CAST(status AS VARCHAR) END AS outcome FROM ({derive.CAPTURES}) c WHERE fetched_at <= TIMESTAMP '2024-06-01 00:00:00'),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, outcome IS NULL DESC, coalesce(outcome, '') DESC, length(html) DESC) AS i FROM taken)
+    SELECT p.page_id, p.url AS link, CASE WHEN r.url IS NULL THEN 'fetch failed' ELSE r.outcome END AS outcome, length(r.html) AS n FROM pages p LEFT JOIN ranked r ON p.url = r.url AND r.i = 1""",
+    alone=True,
+)
+def c5_captures(spark, sf_dir):
+    """A work list of all pages against a crawl with earlier, repeated, failed and later captures; each page once."""
+    work = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("link"))
+    got = E.attach_pages(work, derive.derived(spark, sf_dir, derive.CAPTURES), F.lit(I.RUN_TIME).cast("timestamp"))
+    return got.select("page_id", "link", "outcome", F.length("html").cast("long").alias("n"))
+
+
 @query("""SELECT g.sheet, g.row_idx, c1, c2, CASE WHEN r.ord IS NULL THEN c3 ELSE r.height END AS c3, CASE WHEN r.ord IS NULL THEN c4 ELSE r.width END AS c4, CASE WHEN r.ord IS NULL THEN c5 ELSE r.depth END AS c5, c6,
     CASE WHEN r.ord IS NOT NULL THEN r.confidence WHEN c1 = 'Brand' AND c2 = 'Product' THEN 'Dimension Confidence' ELSE c7 END AS c7, CASE WHEN r.ord IS NOT NULL THEN r.source_url WHEN c1 = 'Brand' AND c2 = 'Product' THEN 'Dimension Source' ELSE c8 END AS c8
     FROM grid g LEFT JOIN res r ON g.sheet = r.sheet AND g.row_idx = r.row_idx""")
@@ -304,6 +384,16 @@ def e3_layout_positions(spark, sf_dir):
     return L.layout_positions(I.mapped_rows(spark, sf_dir)).select("sheet", "block", "row_seq", "row_idx")
 
 
+@query("""SELECT sheet, block, row_seq, CAST(s.start + 1 + row_number() OVER (PARTITION BY sheet, block ORDER BY row_seq) AS BIGINT) AS row_idx FROM
+    (SELECT sheet, block, (row_seq * 7919) % 1000003 * 1000003 - 500000000000 AS row_seq FROM map) m JOIN
+    (SELECT sheet, block, CAST(1 + coalesce(sum(n + 3) OVER (PARTITION BY sheet ORDER BY first_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM
+        (SELECT sheet, block, count(*) AS n, min((row_seq * 7919) % 1000003 * 1000003 - 500000000000) AS first_seq FROM map GROUP BY sheet, block)) s USING (sheet, block)""")
+def e3_sparse_positions(spark, sf_dir):
+    """Places of rows whose numbers are far apart, mixed, and partly negative."""
+    rows = I.mapped_rows(spark, sf_dir).withColumn("row_seq", F.col("row_seq") * 7919 % 1000003 * 1000003 - 500000000000)
+    return L.layout_positions(rows).select("sheet", "block", "row_seq", "row_idx")
+
+
 @query("SELECT * FROM grid")
 def e4_sheet_grid(spark, sf_dir):
     return L.sheet_grid(I.mapped_rows(spark, sf_dir))
@@ -346,6 +436,14 @@ def e7_upsert_cache(spark, sf_dir):
     return _timed(C.upsert_cache(old, log.where("ord % 2 = 1")))
 
 
+@query("SELECT url_key, height, width, depth, confidence, source_url, raw_text, reason, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM cache")
+def e7_upsert_bucketed(spark, sf_dir):
+    """The same upsert into a cache stored in buckets, which stays where it is."""
+    log = I.cache_log(spark, sf_dir)
+    old = _bucketed(spark, C.upsert_cache(log.drop("ord").limit(0), log.where("ord % 2 = 0")))
+    return _timed(C.upsert_bucketed(old, log.where("ord % 2 = 1")))
+
+
 @query("SELECT CASE confidence WHEN 'Needs Review' THEN 1 ELSE 2 END AS review_rank, ord, brand AS \"Brand\", sku AS \"SKU\", sheet AS \"Sheet\", confidence AS \"Confidence\", source_url AS \"Source URL\", reason AS \"Reason\", raw_text AS \"Raw Text\" FROM res WHERE confidence <> 'Resolved'")
 def e10_review_list(spark, sf_dir):
     return S.review_list(_enriched(spark, sf_dir)[0])
@@ -382,6 +480,16 @@ def f10_f12_dimension_result(spark, sf_dir):
     return got.select("page_key", dimensions.dimension_result(F.col("p"), F.lit("")).alias("r")).select("page_key", "r.height", "r.width", "r.depth", "r.confidence", "r.raw_text", "r.reason")
 
 
+def _option(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    got = I.paired(spark, sf_dir).select("page_key", E.dim_pairs(F.col("pairs")).alias("p")).where(F.size("p") > 0)
+    return got.select("page_key", dimensions.dimension_result(F.col("p"), F.lit(""), **how).alias("r")).select("page_key", "r.height", "r.width", "r.depth", "r.confidence", "r.raw_text", "r.reason")
+
+
+_OPTION = "SELECT page_key, h AS height, w AS width, d AS depth, confidence, raw_text, reason FROM {}_r"
+QUERIES["f10_whole_words"], ORACLES["f10_whole_words"] = lambda spark, sf_dir: _option(spark, sf_dir, match="word"), word_oracle(_OPTION.format("word"))
+QUERIES["f10_cavities"], ORACLES["f10_cavities"] = lambda spark, sf_dir: _option(spark, sf_dir, convention="cavity"), cavity_oracle(_OPTION.format("cav"))
+
+
 @query("SELECT 'https://shop.example.com/docs/spec-' || CAST(page_key AS VARCHAR) || '.pdf' AS pdf_url, string_agg(label || '=' || value, ';' ORDER BY seq) AS found FROM docs GROUP BY page_key")
 def f13_f14_document_pairs(spark, sf_dir):
     """Pairs in the text of the first eight pages of each document."""
@@ -464,6 +572,13 @@ def h7_enrich(spark, sf_dir):
     return _enriched(spark, sf_dir)[0]
 
 
+@query("SELECT sheet, row_idx, brand, sku, link, ord, height, width, depth, confidence, source_url, raw_text, reason FROM res")
+def h7_enrich_recrawled(spark, sf_dir):
+    """The same rows, some with a null link, over a crawl with failed, repeated and later captures of each page."""
+    rows = I.rows_to_enrich(spark, sf_dir).withColumn("link", F.when((F.col("link") != "") | (F.col("row_idx") % 2 == 0), F.col("link")))
+    return E.enrich(rows, I.cache(spark, sf_dir), I.recrawl_by_link(spark, sf_dir), I.pdf_texts(spark, sf_dir), F.lit(I.RUN_TIME).cast("timestamp"))[0]
+
+
 @query(f"SELECT url_key, confidence, reason, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM cache UNION ALL SELECT url_key, confidence, reason, '{I.RUN_TIME}' FROM owned")
 def h7_enriched_cache(spark, sf_dir):
     """The cache after enrichment."""
@@ -490,6 +605,20 @@ def s1_classify_stream(spark, sf_dir):
     return spark.read.parquet(sink).select("row_seq", "sheet", "block", "reason")
 
 
+@query(f"""SELECT row_seq, sheet, block, reason FROM cls WHERE row_seq // {I.SHEET_ROWS} % {I.WITHOUT_HEADER} <> {I.WITHOUT_HEADER - 1}
+    UNION ALL SELECT NULL, NULL, NULL, 'no header in row 4' FROM (SELECT DISTINCT row_seq // {I.SHEET_ROWS} AS k FROM cat) WHERE k % {I.WITHOUT_HEADER} = {I.WITHOUT_HEADER - 1}""")
+def s1_catalogue_stream(spark, sf_dir):
+    """The catalogue as CSV sheets with a banner and headers of two kinds, some without, classified as they arrive."""
+    source, sink = new_path(spark, "sheets"), new_path(spark, "sink")
+    I.csv_sheets(spark, sf_dir).repartition(4, "number").write.partitionBy("number").text(source)
+    T.catalogue_stream(spark, source, sink, new_path(spark, "stream"), files_per_batch=7).awaitTermination()
+    number = F.regexp_extract("source_path", r"number=(\d+)", 1).cast("long")
+    row = (number * I.SHEET_ROWS + F.col("row_idx") - 5).alias("row_seq")
+    none = F.lit(None).cast("string")
+    aside = spark.read.parquet(f"{sink}/set_aside").select(F.lit(None).cast("long").alias("row_seq"), none.alias("sheet"), none.alias("block"), "reason")
+    return spark.read.parquet(f"{sink}/rows").select(row, "sheet", "block", "reason").unionByName(aside)
+
+
 @query("SELECT url_key, height, width, depth, confidence, source_url, raw_text, reason, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM cache")
 def s2_cache_stream(spark, sf_dir):
     """The cache that a stream of the log's rows keeps: two checkpoints one after another, the second over a live cache."""

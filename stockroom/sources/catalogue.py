@@ -7,6 +7,10 @@ as one of these.
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,23 +22,56 @@ from stockroom.sources.shared import small
 HEADER_ROW = 4
 
 
+#: Formats whose reader joins the columns of files of several schemas by name, in one scan.
+MERGED = {"parquet": {"mergeSchema": True}, "orc": {"mergeSchema": True}, "json": {}}
+
+
+def _first_lines(spark: SparkSession, paths: list[str], **options) -> list[tuple[str, list[str]]]:
+    """(header line, paths) of text files, those with the same first line together; read by one job."""
+    text = {k: v for k, v in options.items() if k in ("encoding", "lineSep", "pathGlobFilter", "recursiveFileLookup")}
+    lines = spark.read.options(**text).text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i"))
+    # the path comes as an URL
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path")
+    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "i").alias("head")).select("head", path)
+    return [(r.head, sorted(r.paths)) for r in first.groupBy("head").agg(F.collect_list("path").alias("paths")).orderBy("head").collect()]
+
+
+def _scans(spark: SparkSession, paths: list[str], fmt: str, options: dict) -> list[DataFrame]:
+    """The files by schema: as few scans as there are schemas, or one where the reader joins columns by name itself."""
+    read = lambda some, more: spark.read.format(fmt).options(**options, **more).load(some)
+    if fmt in MERGED:
+        try:
+            return [read(paths, MERGED[fmt])]
+        except Exception as error:
+            if "MERGE" not in str(error).upper():
+                raise
+        # a column of several types: files of one schema together, and each group becomes text by itself
+        by: dict[str, list[str]] = {}
+        for path in paths:
+            by.setdefault(read([path], {}).schema.json(), []).append(path)
+        return [read(some, {}) for some in by.values()]
+    if fmt == "csv" and str(options.get("header", "")).lower() == "true":
+        return [read(some, {}) for _, some in _first_lines(spark, paths, **options)] or [read(paths, {})]
+    return [read([path], {}) for path in paths]
+
+
 def read_catalogues(spark: SparkSession, paths: list[str], fmt: str = "parquet", na_values: bool | None = None, **options) -> DataFrame:
     """Files with named columns as one table of clean strings, with source_file and source_path.
 
-    Columns that a file lacks are empty. Give row_seq in the files where order matters: Spark keeps none.
-    Text formats read words for missing values as empty, unless ``na_values`` says otherwise.
+    Columns that a file lacks are empty. Give row_seq in the files where order matters: Spark keeps none. Files of one schema are one
+    scan, however many there are. Text formats read words for missing values as empty, unless ``na_values`` says otherwise.
     """
     options = {"header": True, **options} if fmt == "csv" else options
     na_values = fmt == "csv" if na_values is None else na_values
-    out = None
-    for path in paths:
-        df = spark.read.format(fmt).options(**options).load(path).select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
+    if not paths:
         raise ValueError("no paths")
-    apart = ("row_seq", "source_file", "source_path")
-    clean = {c: clean_cell(F.col(f"`{c}`"), kind, na_values) for c, kind in out.dtypes if c not in apart}
-    return drop_blank_rows(out.withColumns(clean), list(clean))
+    apart, out = ("row_seq", "source_file", "source_path"), None
+    for df in _scans(spark, paths, fmt, options):
+        df = df.select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"))
+        df = df.withColumns({c: clean_cell(F.col(f"`{c}`"), kind, na_values) for c, kind in df.dtypes if c not in apart})
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    cells = [c for c in out.columns if c not in apart]
+    return drop_blank_rows(out.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in cells}), cells)
 
 
 def drop_blank_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -69,18 +106,37 @@ def product_url():
     return F.coalesce(F.when(at > 0, F.get("cells", at - 1)), F.lit(""))
 
 
-def catalogue_of(promoted: DataFrame) -> DataFrame:
+def land_csv(files: DataFrame, text: str = "value", by: str = "source_path") -> DataFrame:
+    """(``by``, row_idx, cells): the rows of CSV sheets given whole, one row a file. Quoted cells may hold line ends; cells of no row are none.
+
+    A sheet is what one person edits, so it fits a task; files are spread over tasks.
+    """
+
+    @F.pandas_udf("array<array<string>>")
+    def rows(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(csv.reader(io.StringIO((t or "").lstrip("\ufeff"), newline=""))) for t in texts], dtype=object)
+
+    return files.select(by, F.posexplode(rows(F.col(text)))).select(by, (F.col("pos") + 1).cast("long").alias("row_idx"), F.col("col").alias("cells"))
+
+
+def without_header(files: DataFrame, grid: DataFrame, header_row: int = HEADER_ROW, by: str = "source_path") -> DataFrame:
+    """The files (``by``, source_file) whose landing has no header row with something in it, and the reason."""
+    heads = grid.where((F.col("row_idx") == header_row) & F.exists("cells", lambda c: clean_cell(c) != "")).select(by)
+    return files.select(by, "source_file").join(heads, by, "left_anti").withColumn("reason", F.lit(f"no header in row {header_row}"))
+
+
+def catalogue_of(promoted: DataFrame, by: str = "source_file") -> DataFrame:
     """The columns that routing uses, from ``promote_header``'s rows."""
-    return promoted.select("source_file", "row_idx", *(cell(title).alias(name) for title, name in FIELDS.items()), product_url().alias("link"))
+    return promoted.select(by, "row_idx", *(cell(title).alias(name) for title, name in FIELDS.items()), product_url().alias("link"))
 
 
 def write_catalogue(mapped: DataFrame, unmapped: DataFrame, path: str) -> None:
-    """Mapped rows as Parquet by sheet under path/mapped, in block and row order; unmapped rows under path/unmapped.
+    """Mapped rows as Parquet by sheet under path/mapped, in block and row order; unmapped rows under path/unmapped, in order of row_seq.
 
     Files of a sheet follow each other by name. Both folders are replaced, so that none is left of an earlier run.
     """
     order_output(mapped).drop("sheet_ord").orderBy("sheet", "block_ord", "row_seq").write.mode("overwrite").partitionBy("sheet").parquet(f"{path}/mapped")
-    unmapped.write.mode("overwrite").parquet(f"{path}/unmapped")
+    unmapped.orderBy("row_seq").write.mode("overwrite").parquet(f"{path}/unmapped")
 
 
 def write_enriched(listing: DataFrame, path: str) -> None:

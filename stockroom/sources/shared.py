@@ -65,6 +65,8 @@ def stored(df: DataFrame, name: str, *, batch_rows: int | None = None) -> DataFr
 SMALL_ROWS = 100_000
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` to be broadcast if it has at most ``rows`` rows; else as it is, and Spark joins by shuffling."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = SMALL_ROWS, *, or_none: bool = False) -> DataFrame | None:
+    """``df`` to be broadcast if it has at most ``rows`` rows; else as it is, and Spark joins by shuffling (``or_none``: else None)."""
+    if df.limit(rows + 1).count() <= rows:
+        return F.broadcast(df)
+    return None if or_none else df

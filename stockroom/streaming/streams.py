@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
-from stockroom.operators.cache import RESULT, upsert_cache
+from stockroom.operators.cache import RESULT
 from stockroom.operators.rules import classify
+from stockroom.sources.catalogue import catalogue_of, land_csv, promote_header, without_header
+from stockroom.sources.shared import stored
+from stockroom.streaming import log_cache
+from stockroom.streaming.log_cache import CACHE_SCHEMA, read_cache
 
-CACHE_SCHEMA = "url_key string, height string, width string, depth string, confidence string, source_url string, raw_text string, reason string, fetched_at timestamp"
+__all__ = ["CACHE_SCHEMA", "cache_stream", "catalogue_stream", "classify_stream", "read_cache"]
 
 
 def classify_stream(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str) -> StreamingQuery:
@@ -19,63 +22,40 @@ def classify_stream(spark: SparkSession, source: str, schema: str, sink: str, ch
     return classify(rows).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
 
 
-#: Parts of a cache, by a hash of the URL.
-PARTS = 64
+def catalogue_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, *, files_per_batch: int = 100, rules: list | None = None, overrides: list | None = None) -> StreamingQuery:
+    """Classifies CSV sheets as they land under ``source``, each with its own banner and header row.
 
+    A file comes whole in one batch, so its header is in the batch, keyed by its path. Rows go to ``sink``/rows (source_path,
+    source_file, row_idx, the routing columns, link, sheet, block, reason), files without a header row to ``sink``/set_aside (source_path,
+    source_file, reason). Each batch has a folder of its own that a repeated batch replaces: nothing is lost or doubled.
+    """
+    sheets = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(source)
+    given = sheets.select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("source_file"))
 
-def _manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(version, part): each part of a cache with the versions in which it was written."""
-    try:
-        return spark.read.schema("version long, part int").parquet(f"{path}/manifest")
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], "version long, part int")
-
-
-def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
-    """The versions of each part, latest first; there are ``PARTS`` parts, and two versions of each are kept."""
-    ranked = _manifest(spark, path).groupBy("part").agg(F.slice(F.sort_array(F.collect_set("version"), asc=False), 1, 3).alias("versions"))
-    return {r.part: r.versions for r in ranked.collect()}
-
-
-def _rows(spark: SparkSession, path: str, at: list[tuple[int, int]]) -> DataFrame:
-    if not at:
-        return spark.createDataFrame([], CACHE_SCHEMA)
-    return spark.read.schema(CACHE_SCHEMA).parquet(*(f"{path}/rows/version={version}/part={part}" for part, version in at))
-
-
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache that ``cache_stream`` keeps under ``path``, as of its last finished batch; empty if there is none."""
-    return _rows(spark, path, [(part, versions[0]) for part, versions in _versions(spark, path).items()])
-
+    def route(batch: DataFrame, number: int) -> None:
+        grid = stored(land_csv(batch), "landed")
+        aside = stored(without_header(batch, grid), "set-aside")
+        rows = catalogue_of(promote_header(grid.join(aside, "source_path", "left_anti"), by="source_path"), "source_path")
+        classify(rows.join(batch.select("source_path", "source_file"), "source_path"), rules, overrides).write.mode("overwrite").parquet(f"{sink}/rows/batch={number}")
+        aside.write.mode("overwrite").parquet(f"{sink}/set_aside/batch={number}")
 
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return given.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def cache_stream(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def cache_stream(results: DataFrame, path: str, checkpoint: str, *, compact: bool = True) -> StreamingQuery:
     """Keeps a cache under ``path`` from streamed results (cache columns and ord), the last of each URL winning.
 
-    A batch reads and writes anew only the parts that it has URLs of. A part is valid once the manifest, which lies with the
-    data, names its version: a batch that is stopped before leaves the cache as it was, and one that is run again, or a new
-    checkpoint over a live cache, changes nothing but versions. Of each part the version before the last is kept for readers.
+    A batch adds a run of its own rows (``log_cache.append``), whatever the size of the cache. A batch that is stopped before its commit
+    leaves the cache as it was; one that is run again, or a new checkpoint over a live cache, changes nothing. Several streams
+    may keep one cache. ``compact``: whether a batch also merges runs of like size, and removes those replaced long ago.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        part = F.pmod(F.xxhash64("url_key"), F.lit(PARTS)).cast("int").alias("part")
-        changed = [r.part for r in batch.select(part).distinct().collect()]
-        if not changed:
+        if batch.isEmpty():
             return
-        versions = _versions(spark, path)
-        version = 1 + max((v[0] for v in versions.values()), default=0)
-        merged = upsert_cache(_rows(spark, path, [(p, versions[p][0]) for p in changed if p in versions]), batch)
-        merged.withColumn("part", part).repartition(min(len(changed), PARTS), "part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows/version={version}")
-        spark.createDataFrame([(version, p) for p in changed], "version long, part int").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
-        for p in changed:
-            for old in versions.get(p, [])[1:]:
-                _remove(spark, f"{path}/rows/version={old}/part={p}")
+        log_cache.append(batch, path)
+        if compact and log_cache.compact(spark, path):
+            log_cache.vacuum(spark, path)
 
     return results.select("url_key", *RESULT, "fetched_at", F.col("ord")).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
