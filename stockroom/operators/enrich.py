@@ -98,7 +98,7 @@ def page_dimensions(attached: DataFrame, pdf_text: DataFrame, convention: str =
     """
     kept = [c for c in attached.columns if c != "html"]
     fetched = attached.withColumn("html", F.when(F.col("outcome").isNull(), F.col("html")))
-    parsed = stored(pairs_from_html(fetched, "html", "link").select(*kept, dim_pairs(F.col("pairs")).alias("_pairs"), "pdf_url"), "page-pairs")
+    parsed = stored(pairs_from_html(fetched, "html", "link").select(*kept, dim_pairs(F.col("pairs")).alias("_pairs"), "pdf_url"), "page-pairs", batch_rows=2000, dear=True)
     paged = parsed.withColumn("_page", dimension_result(F.col("_pairs"), F.col("link"), convention, match))
     open_ = (F.size("_pairs") == 0) | (F.col("_page.confidence") != V.RESOLVED)
     wanted = stored(paged.withColumn("_pdf", F.when(open_, F.col("pdf_url"))).drop("pdf_url"), "page-results")

@@ -62,9 +62,9 @@ def placed(rows: DataFrame, parts: DataFrame, starts: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n").over(W.partitionBy("sheet", "block").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # where the first row of a block would be if the range began with it
     offset = F.col("start") + 2 + before - F.col("first_at")
-    offsets = stored(parts.join(starts.select("sheet", "block", "start"), ["sheet", "block"]).select("sheet", "block", "_part", offset.alias("_offset")), "offsets")
+    offsets = parts.join(starts.select("sheet", "block", "start"), ["sheet", "block"]).select("sheet", "block", "_part", offset.alias("_offset"))
     kept = [c for c in rows.columns if c not in ("_part", "_at")]
-    return rows.join(small(offsets), ["sheet", "block", "_part"]).select(*kept, (F.col("_offset") + F.col("_at")).cast("long").alias("row_idx"))
+    return rows.join(small(offsets, counted=parts), ["sheet", "block", "_part"]).select(*kept, (F.col("_offset") + F.col("_at")).cast("long").alias("row_idx"))
 
 
 def layout_positions(mapped: DataFrame, lane: int | None = None) -> DataFrame:

@@ -61,7 +61,9 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_key, pairs): the pairs of each page in order, four at most."""
     of = F.array_sort(F.collect_list(F.struct("seq", "label", "value")))
-    got = pairs(spark, sf_dir).groupBy("page_key").agg(of.alias("p"))
+    # a number of partitions keeps them apart: a page's pairs are few bytes and much work
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = pairs(spark, sf_dir).repartition(parts, "page_key").groupBy("page_key").agg(of.alias("p"))
     return got.select("page_key", F.transform("p", lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value"))).alias("pairs"))
 
 

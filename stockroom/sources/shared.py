@@ -53,20 +53,36 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
             spark.conf.set(key, old)
 
 
-def stored(df: DataFrame, name: str, *, batch_rows: int | None = None) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again."""
-    path = new_path(df.sparkSession, name)
-    with batches_of(df.sparkSession, batch_rows) if batch_rows else nullcontext():
+@contextmanager
+def spread_out(spark: SparkSession) -> Iterator[None]:
+    """While this holds, Spark keeps small shuffle partitions apart: for rows that cost far more work than their bytes say."""
+    key = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16k")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, name: str, *, batch_rows: int | None = None, dear: bool = False) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again. ``dear``: its rows cost much work (``spread_out``)."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with batches_of(spark, batch_rows) if batch_rows else nullcontext(), spread_out(spark) if dear else nullcontext():
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Rows of a rule list or header table that may be broadcast.
 SMALL_ROWS = 100_000
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS, *, or_none: bool = False) -> DataFrame | None:
-    """``df`` to be broadcast if it has at most ``rows`` rows; else as it is, and Spark joins by shuffling (``or_none``: else None)."""
-    if df.limit(rows + 1).count() <= rows:
+def small(df: DataFrame, rows: int = SMALL_ROWS, *, or_none: bool = False, counted: DataFrame | None = None) -> DataFrame | None:
+    """``df`` to be broadcast if it has at most ``rows`` rows; else as it is, and Spark joins by shuffling (``or_none``: else None).
+
+    ``counted``: a table of as many rows that is cheaper to count.
+    """
+    if (df if counted is None else counted).limit(rows + 1).count() <= rows:
         return F.broadcast(df)
     return None if or_none else df
