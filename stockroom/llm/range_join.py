@@ -30,6 +30,10 @@ from stockroom.llm.scratch import stored
 SLACK = 1e-6
 #: What sending a row costs, in pairs compared.
 SENT_COST = 2000
+#: Rows of a block at most and at least, and blocks that vectors are cut into where there are enough of them.
+MOST_ROWS, LEAST_ROWS, BLOCKS = 16_384, 512, 4
+#: The share of a vector's components that is looked at first.
+PREFIX = 5, 16
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -112,14 +116,32 @@ def join_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
 
 
+def candidates(x: np.ndarray, y: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``x`` and of ``y`` with a cosine of at least ``cosine``, in stretches of ``x``.
+
+    A dot product is at most that of the first components plus the product of the others' norms, which is one dot product of
+    a third of the length, in single precision with some slack. What passes is computed in full. A stretch where much passes is
+    computed in full at once: the result is the same.
+    """
+    k = max(1, x.shape[1] * PREFIX[0] // PREFIX[1])
+    short = lambda v: np.concatenate([v[:, :k], np.linalg.norm(v[:, k:], axis=1, keepdims=True)], axis=1).astype(np.float32)
+    own, other = short(x), np.ascontiguousarray(short(y).T)
+    for at in range(0, len(x), 256):
+        i, j = np.nonzero(own[at : at + 256] @ other >= cosine - 1e-5)
+        if len(i) * 50 > len(own[at : at + 256]) * len(y):
+            i, j = np.nonzero(x[at : at + 256] @ y.T >= cosine)
+        else:
+            close = np.einsum("ij,ij->i", x[at + i], y[j]) >= cosine
+            i, j = i[close], j[close]
+        yield at + i, j
+
+
 def block_links(x: np.ndarray, x_copies: np.ndarray, y: np.ndarray | None, y_copies: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked rows of each vector of ``x`` and then ``y``, and each one's local root. Without ``y``, of ``x`` with itself."""
     other, weights = (x, x_copies) if y is None else (y, y_copies)
     shift = 0 if y is None else len(x)
     n, parent = np.zeros(shift + len(other), np.int64), np.arange(shift + len(other))
-    for at in range(0, len(x), 256):
-        i, j = np.nonzero(x[at : at + 256] @ other.T >= cosine)
-        i += at
+    for i, j in candidates(x, other, cosine):
         if y is None:  # each pair once
             i, j = i[i < j], j[i < j]
         if len(i):
@@ -132,7 +154,7 @@ def block_links(x: np.ndarray, x_copies: np.ndarray, y: np.ndarray | None, y_cop
 CELL = ["dim", "cell", "left", "right"]
 
 
-def range_links(rows: DataFrame, *, cosine: float = 0.9, max_pivots: int = 1024, sample_rows: int = 4096, block_rows: int = 16_384) -> DataFrame:
+def range_links(rows: DataFrame, *, cosine: float = 0.9, max_pivots: int = 1024, sample_rows: int = 4096, block_rows: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``rows`` (vec_id, embedding).
 
     n_links: other rows at ``cosine`` or more. component_id: the smallest vec_id reachable by links, itself
@@ -141,7 +163,7 @@ def range_links(rows: DataFrame, *, cosine: float = 0.9, max_pivots: int = 1024,
     other. A row without vec_id counts as a partner; its component_id is null where no linked row has one.
     Any 64-bit vec_id is returned as it is. ``max_pivots`` and ``sample_rows`` bound what the driver and each task
     hold (vectors); besides, they hold a few numbers for each length that occurs. A pair of blocks holds two times
-    ``block_rows`` vectors.
+    ``block_rows`` vectors, by default ``MOST_ROWS``, and fewer where the vectors are few, so that there is work for several tasks.
     """
     own = stored(vectors(rows).withColumn("key", F.unhex(F.sha2("vec", 256))), "vectors")
     first = [F.first("vec").alias("vec"), F.min("vec_id").alias("first"), F.count("*").alias("copies")]
@@ -150,6 +172,7 @@ def range_links(rows: DataFrame, *, cosine: float = 0.9, max_pivots: int = 1024,
     radius = math.sqrt(2 - 2 * cosine)
 
     total = {r.dim: r.n for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    block_rows = block_rows or min(MOST_ROWS, max(LEAST_ROWS, -(-sum(total.values()) // BLOCKS)))
     drawn: dict[int, list[bytes]] = {}
     for r in classes.select("dim", "vec").orderBy(F.xxhash64("vec")).limit(sample_rows).collect():
         drawn.setdefault(r.dim, []).append(bytes(r.vec))
