@@ -11,7 +11,6 @@ which rule is named as the first to reject; it never decides whether a row is re
 from __future__ import annotations
 
 import math
-import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -154,40 +153,57 @@ def sampled(docs: DataFrame, rows: int, seed: int = 7) -> DataFrame:
     return docs.sample(min(1.0, rows / max(docs.count(), 1)), seed=seed)
 
 
+def _timed(rules: Mapping[str, Rule], text: str, runs: int) -> Column:
+    """struct<seconds, hits> of a row: for each rule the least time of ``runs`` from the raw text, and whether it rejects.
+
+    The clock is read inside the task between one rule and the next, as the fields of a struct are computed in their order.
+    """
+    now = F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
+    tests = [F.coalesce(with_measures(list(rule.needs), body_of(text), rule.test), F.lit(False)) for rule in rules.values()]
+    n = len(tests)
+    fields = [now.alias("t0")]
+    for i in range(n * runs):
+        fields += [tests[i % n].alias(f"h{i}"), now.alias(f"t{i + 1}")]
+
+    def told(read: Column) -> Column:
+        least = lambda i: F.least(*(read[f"t{j + 1}"] - read[f"t{j}"] for j in range(i, n * runs, n)), F.lit(2**62))
+        return F.struct(F.array(*(least(i) / 1e9 for i in range(n))).alias("seconds"), F.array(*(read[f"h{i}"] for i in range(n))).alias("hits"))
+
+    return let(F.struct(*fields), told)
+
+
 def order_rules(sample: DataFrame, rules: Mapping[str, Rule], text: str = "text", runs: int = 2) -> list[str]:
     """Names of ``rules`` by share of ``sample`` rejected per second, most first; ties keep their order.
 
-    A rule's cost is the least time of ``runs`` of it alone, from the raw text, beyond that of reading the sample. It is
-    rounded to a power of two, so that noise seldom changes an order. On an empty sample the rules keep their order.
+    One job times all rules, each alone and from the raw text, inside its tasks (``_timed``): what else the driver or the
+    cluster does isn't counted. A rule's cost is the sum over the rows, rounded to a power of two, so that noise seldom changes
+    an order. On an empty sample the rules keep their order.
     """
-    sample = stored(sample.select(text), "rule-sample").coalesce(4)
-
-    def timed(verdict: Column) -> tuple[float, float]:
-        best, share = float("inf"), 0.0
-        for _ in range(runs):
-            began = time.perf_counter()
-            share = sample.agg(F.avg(F.coalesce(verdict, F.lit(False)).cast("double"))).first()[0] or 0.0
-            best = min(best, time.perf_counter() - began)
-        return best, share
-
-    reading, _ = timed(F.octet_length(text) < 0)
-    ranks = {}
-    for name, rule in rules.items():
-        seconds, share = timed(with_measures(list(rule.needs), body_of(text), rule.test))
-        ranks[name] = share / 2.0 ** round(math.log2(max(seconds - reading, 1e-3)))
+    if not rules:
+        return []
+    spark, key = sample.sparkSession, "spark.sql.subexpressionElimination.enabled"
+    sample, before = stored(sample.select(text), "rule-sample").coalesce(4), spark.conf.get(key)
+    spark.conf.set(key, "false")  # a measure that two rules share would be computed before the clock is read
+    try:
+        rows = sample.select(_timed(rules, text, max(runs, 1)).alias("r"))
+        seconds, hits = (lambda i: F.sum(F.col("r.seconds")[i])), (lambda i: F.avg(F.col("r.hits")[i].cast("double")))
+        got = rows.agg(*(seconds(i).alias(f"s{i}") for i in range(len(rules))), *(hits(i).alias(f"h{i}") for i in range(len(rules)))).first()
+    finally:
+        spark.conf.set(key, before)
+    ranks = {name: (got[f"h{i}"] or 0.0) / 2.0 ** round(math.log2(max(got[f"s{i}"] or 0.0, 1e-9))) for i, name in enumerate(rules)}
     return sorted(rules, key=lambda name: -ranks[name])
 
 
-def judged(docs: DataFrame, *, text: str = "text", min_words: int = 20, repeat_percent: int = 30, sample_rows: int = 2000) -> DataFrame:
+def judged(docs: DataFrame, *, text: str = "text", min_words: int = 20, repeat_percent: int = 30, sample_rows: int = 2000, order: list[str] | None = None) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, failed_rule and kept.
 
     base_failed: by ``base_rules``; failed_rule: the first of ``standard_rules`` in measured order that rejects the
     text, else null; kept: none does. Null and empty texts have no words: they are short. Windows are told apart by 64-bit
     hashes of their words' hashes. A text of any length is measured whole, in time n log n of its words. Existing columns
-    with these names are replaced, and so is one named _judged.
+    with these names are replaced, and so is one named _judged. ``order``: the rules' order, if an earlier run's is to be repeated.
     """
     base, rules = base_rules(min_words, repeat_percent), standard_rules(min_words, repeat_percent)
-    names = order_rules(sampled(docs.select(text), sample_rows), rules, text)
+    names = order or order_rules(sampled(docs.select(text), sample_rows), rules, text)
 
     def told(m: Measures) -> Column:
         failed = base["short"].test(m) | base["repeated words"].test(m)
@@ -198,13 +214,13 @@ def judged(docs: DataFrame, *, text: str = "text", min_words: int = 20, repeat_p
     return rows.withColumn("kept", F.col("failed_rule").isNull()).drop("_judged")
 
 
-def passed(docs: DataFrame, *, text: str = "text", min_words: int = 20, repeat_percent: int = 30, sample_rows: int = 2000) -> DataFrame:
+def passed(docs: DataFrame, *, text: str = "text", min_words: int = 20, repeat_percent: int = 30, sample_rows: int = 2000, order: list[str] | None = None) -> DataFrame:
     """The rows of ``docs`` that none of ``stretch_rules`` rejects: nothing is measured beyond the first rule that rejects.
 
-    Null and empty texts are short; with ``min_words`` of 0 they stay. Columns are those of ``docs``.
+    Null and empty texts are short; with ``min_words`` of 0 they stay. Columns are those of ``docs``. ``order``: as of ``judged``.
     """
     rules = stretch_rules(min_words, repeat_percent)
-    names = order_rules(sampled(docs.select(text), sample_rows), rules, text)
+    names = order or order_rules(sampled(docs.select(text), sample_rows), rules, text)
     return docs.where(cascade(names, rules, body_of(text)).isNull())
 
 
