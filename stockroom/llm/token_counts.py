@@ -54,9 +54,12 @@ def count_tokens(
 
     ``normalise`` may map texts that the tokenizer can't tell apart to one; it must not change counts.
     Null counts as the empty text (0 bytes, 0 tokens). Repeated rows each return a row. Other columns of
-    ``docs`` are not read. ``keep`` columns may hold nulls. One call at a time may append to a cache. If
-    a call is stopped before its append ends, nothing is appended and the next call encodes it again.
+    ``docs`` are not read. ``keep`` columns may hold nulls, and may not be called n_bytes, n_tokens, over_limit or content. If
+    a call is stopped before its append ends, nothing is appended and the next call encodes it again. Two calls at once
+    may both append a digest: it is stored twice, and counts once.
     """
+    if set(keep) & {"n_bytes", "n_tokens", "over_limit", "content"}:
+        raise ValueError("keep names a column of the result")
     spark, version = docs.sparkSession, tokenizer_version(tokenizer_path)
     content = normalise(F.coalesce(F.col(text), F.lit("")))
     digest = F.unhex(F.sha2(content.cast("binary"), 256))
@@ -79,6 +82,7 @@ def count_tokens(
         with batches_of(spark, 500):
             misses.mapInPandas(encode, "content binary, n_tokens long").withColumn("tokenizer", F.lit(version)).write.partitionBy("tokenizer").mode("append").parquet(cache_path)
 
-    counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens")
+    stored_counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
+    counts = stored_counts.groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))  # by the join's own key
     rows = docs.select(*keep, F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), digest.alias("content"))
     return rows.join(counts, "content").select(*keep, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
