@@ -90,6 +90,7 @@ def pack(
     weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3),
     rule: str = "norm",
     group: int = 2048,
+    oversize: str = "error",
 ) -> DataFrame:
     """Adds sequence_id and offset to the rows of ``cut_docs`` (a stored table with length, at most ``capacity``).
 
@@ -97,12 +98,14 @@ def pack(
     goes only where all three have room. A sequence of at most ``capacity`` tokens never costs more than its square,
     nor holds more than ``capacity`` pieces, so with the defaults only tokens bind.
     ``rule``: "norm" (least weighted norm of the residuals) or "dot" (largest weighted dot product).
-    A piece whose own tokens, count or attention cost is over a capacity can't be placed: that is an error.
+    A piece whose attention cost alone is over its capacity is an error, or with ``oversize`` "alone" has a sequence for itself. One with
+    more than ``capacity`` tokens is always an error.
     Rows with nulls in other columns and repeated rows are packed like any other; existing columns sequence_id, offset
     and group_no are an error of the caller. Empty in, empty out.
     """
-    of = cut_docs.agg(F.count_if(F.col("length") < capacity).alias("n"), F.max("length").alias("longest")).first()
-    if documents < 1 or (of.longest or 0) > capacity or (of.longest or 0) ** 2 > attention:
+    lone = (F.col("length") >= capacity) | (F.col("length") * F.col("length") > attention)
+    of = cut_docs.agg(F.count_if(~lone).alias("n"), F.max("length").alias("longest")).first()
+    if documents < 1 or (of.longest or 0) > capacity or (oversize != "alone" and (of.longest or 0) ** 2 > attention):
         raise ValueError("the longest piece doesn't fit in a sequence")
     groups = max(1, -(-of.n // group))
     # a row's group comes from what it holds and, among equal rows, from where it is stored
@@ -116,8 +119,8 @@ def pack(
         first = rows.column("group_no")[0].as_py() << 31
         return rows.select(columns).append_column("sequence_id", pa.array(2 * (first + bins))).append_column("offset", pa.array(at))
 
-    small = cut_docs.where(F.col("length") < capacity).withColumn("group_no", mixed).groupBy("group_no").applyInArrow(packed, schema)
-    alone = cut_docs.where(F.col("length") >= capacity).withColumns({"sequence_id": 2 * F.monotonically_increasing_id() + 1, "offset": F.lit(0).cast("long")})
+    small = cut_docs.where(~lone).withColumn("group_no", mixed).groupBy("group_no").applyInArrow(packed, schema)
+    alone = cut_docs.where(lone).withColumns({"sequence_id": 2 * F.monotonically_increasing_id() + 1, "offset": F.lit(0).cast("long")})
     return small.unionByName(alone)
 
 

@@ -153,8 +153,10 @@ def scores(docs: DataFrame, model: Model | None, *, threshold: float = 0.3, keep
     """``keep``, held_out, score and predicted for each row of ``docs`` (doc_id, text).
 
     Without a model every score is 0.5. Null and empty texts are scored by their statistics like any other
-    text. held_out is null for a row without doc_id. Repeated rows get equal scores.
+    text. held_out is null for a row without doc_id. Repeated rows get equal scores. ``keep`` may not name a column of the result.
     """
+    if set(keep) & {"held_out", "score", "predicted", "_x"}:
+        raise ValueError("keep names a column of the result")
     held = fold(F.col("doc_id")) == 0
     if model is None:
         return docs.select(*keep, held.alias("held_out"), F.lit(0.5).alias("score"), F.lit(int(0.5 >= threshold)).alias("predicted"))

@@ -388,10 +388,11 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     chosen = stored(best.join(roots, "node").groupBy("root").agg(F.min("row").alias("row")).select("row.*"), "chosen")
     # the ids grow with the corpus, so they are shuffled to the texts at every size
     key = ["doc_id", "text_key"]
-    given = docs.withColumn("_text_key", text_key())
-    match = lambda of: given["doc_id"].cast("long").eqNullSafe(of["doc_id"]) & (given["_text_key"] == of["text_key"])
+    own = "_text_key" + "_" * max((len(c) for c in docs.columns), default=0)  # no column of the caller's
+    given = docs.withColumn(own, text_key())
+    match = lambda of: given["doc_id"].cast("long").eqNullSafe(of["doc_id"]) & (given[own] == of["text_key"])
     once, repeated = chosen.where("n = 1").select(*key), chosen.where("n > 1").select(*key)
     kept = given.join(once.hint("merge"), match(once), "left_semi")
     if not repeated.isEmpty():
-        kept = kept.unionByName(given.join(repeated, match(repeated), "left_semi").dropDuplicates(["doc_id", "_text_key"]))
-    return kept.drop("_text_key")
+        kept = kept.unionByName(given.join(repeated, match(repeated), "left_semi").dropDuplicates(["doc_id", own]))
+    return kept.drop(own)
