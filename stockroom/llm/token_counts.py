@@ -82,7 +82,7 @@ def count_tokens(
         with batches_of(spark, 500):
             misses.mapInPandas(encode, "content binary, n_tokens long").withColumn("tokenizer", F.lit(version)).write.partitionBy("tokenizer").mode("append").parquet(cache_path)
 
-    stored_counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
-    counts = stored_counts.groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))  # by the join's own key
+    # a digest has one count, so distinct rows are distinct digests; not grouped by the join's own key, so that Spark can split the join where many rows share a text
+    counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("content", "n_tokens").distinct()
     rows = docs.select(*keep, F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), digest.alias("content"))
     return rows.join(counts, "content").select(*keep, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
