@@ -23,13 +23,13 @@ def with_key(rows: DataFrame) -> DataFrame:
 
 
 def held_for(rows: DataFrame, cache: DataFrame) -> DataFrame:
-    """The cache's rows for the links of ``rows``: at the scan where the links are few enough to broadcast, else all of the cache.
+    """The cache's rows for the links of ``rows``, stored, where the links are few enough to broadcast; else the cache itself.
 
-    What is left is shuffled at most as far as the links go; a cache kept by ``store_cache`` isn't shuffled even where they are many.
+    So what is shuffled follows the links, not the cache; one kept by ``store_cache`` isn't shuffled even where they are many.
     """
     keys = with_key(rows.where(has_link(F.col("link")))).select("url_key").distinct()
     known = small(stored(keys, "asked-keys"), or_none=True)
-    return cache if known is None else cache.join(known, "url_key", "left_semi")
+    return cache if known is None else stored(cache.join(known, "url_key", "left_semi"), "cache-asked")
 
 
 def store_cache(cache: DataFrame, table: str, buckets: int = 200) -> DataFrame:

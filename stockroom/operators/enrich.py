@@ -12,7 +12,7 @@ from stockroom.functions.clean import brand_key
 from stockroom.functions.dimensions import dimension_result, is_dim_label, pairs_from_text
 from stockroom.operators.cache import fetch_worklist, has_link, held_for, new_cache_rows, one_result, replay_results, upsert_cache
 from stockroom.operators.pages import pairs_from_html
-from stockroom.sources.shared import stored
+from stockroom.sources.shared import small, stored
 
 RESULT_TYPE = "struct<height:string,width:string,depth:string,confidence:string,source_url:string,raw_text:string,reason:string>"
 
@@ -54,11 +54,12 @@ def latest_captures(crawl: DataFrame, as_of: Column | None = None, *, good_first
 def attach_pages(worklist: DataFrame, crawl: DataFrame, as_of: Column | None = None, *, good_first: bool = False) -> DataFrame:
     """The work list with outcome and html of each link, a row for each of its rows; a link that wasn't crawled has failed.
 
-    ``crawl``, ``as_of`` and ``good_first``: as of ``latest_captures``. Captures of links that nobody asked for are left out before
-    the pages are compared.
+    ``crawl``, ``as_of`` and ``good_first``: as of ``latest_captures``. Where the links are few enough to broadcast, captures that nobody
+    asked for stay at the scan. Beyond that all are compared, as far as possible before they are shuffled, and joined by that
+    same key: a page is shuffled once.
     """
-    wanted = crawl.join(worklist.select(F.col("link").alias("url")).distinct(), "url", "left_semi")
-    crawled = latest_captures(wanted, as_of, good_first=good_first).select(F.col("url").alias("link"), F.col("outcome").alias("_outcome"), "html", F.lit(True).alias("_seen"))
+    links = small(worklist.select(F.col("link").alias("url")).distinct(), or_none=True)
+    crawled = latest_captures(crawl if links is None else crawl.join(links, "url", "left_semi"), as_of, good_first=good_first).select(F.col("url").alias("link"), F.col("outcome").alias("_outcome"), "html", F.lit(True).alias("_seen"))
     seen = F.coalesce("_seen", F.lit(False))
     return worklist.join(crawled, "link", "left").withColumn("outcome", F.when(seen, F.col("_outcome")).otherwise(F.lit(V.FETCH_FAILED))).drop("_outcome", "_seen")
 
@@ -138,7 +139,7 @@ def enrich(rows: DataFrame, cache: DataFrame, crawl: DataFrame, pdf_text: DataFr
     none is computed again.
     """
     rows = stored(rows.withColumn("link", F.coalesce("link", F.lit(""))), "rows-to-enrich")
-    asked = stored(held_for(rows, cache), "cache-asked")
+    asked = held_for(rows, cache)
     work = stored(fetch_worklist(rows, asked, force), "work-list")
     own = stored(one_result(fetch_results(work, crawl, pdf_text, page_parsers(fetched_at) if parsers is None else parsers)), "own-results")
     replayed = replay_results(rows, own, asked, force).select(*rows.columns, "result")

@@ -23,9 +23,10 @@ LANE = 1 << 16
 def ranged(mapped: DataFrame, lane: int | None = None) -> DataFrame:
     """The rows with _part, the range of row_seq that they are in, and _at, their place in it by sheet, block and row_seq; stored.
 
-    The rows are evaluated for the ranges' bounds and once more to be stored; all that follows reads what is stored. ``lane``:
-    about how many rows to a range; by default as Spark sizes its partitions.
+    The rows are evaluated once and stored: the ranges' bounds and what follows are read from that. ``lane``: about how many rows
+    to a range; by default as Spark sizes its partitions.
     """
+    mapped = stored(mapped, "mapped")
     ranges = () if lane is None else (max(1, -(-mapped.count() // lane)),)
     dealt = mapped.repartitionByRange(*ranges, "row_seq").sortWithinPartitions("sheet", "block", "row_seq").withColumn("_p", F.monotonically_increasing_id())
     return stored(dealt.select(*mapped.columns, F.shiftright("_p", 33).cast("int").alias("_part"), F.col("_p").bitwiseAND((1 << 33) - 1).alias("_at")), "ranged")

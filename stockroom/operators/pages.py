@@ -150,6 +150,15 @@ def json_pairs(text: str | None) -> list[tuple[str, str]]:
     return found
 
 
+def _text(told: str) -> str:
+    """A text that can leave Python: half surrogate pairs, which JSON escapes may hold, become question marks."""
+    try:
+        told.encode()
+    except UnicodeEncodeError:
+        return told.encode("utf-8", "replace").decode()
+    return told
+
+
 SPEC, LABEL, VALUE = (re.compile(p, re.I) for p in ("spec", "label|name|key|title", "value|data|content"))
 SHEET = re.compile(r"spec|product.guide|data.sheet", re.I)
 
@@ -231,7 +240,7 @@ def page_pairs(html: str | None, url: str | None) -> tuple[list[dict], str | Non
             left -= len(label) + len(value) + 16
             if left < 0:
                 return
-            found.append({"source": source, "label": label, "value": value})
+            found.append({"source": source, "label": _text(label), "value": _text(value)})
 
     def text(n: int) -> str:
         if n not in texts:
@@ -273,6 +282,6 @@ def pairs_from_json(col: Column) -> Column:
 
     @F.pandas_udf("array<struct<label:string,value:string>>")
     def walk(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"label": k, "value": v} for k, v in json_pairs(t)] for t in texts], dtype=object)
+        return pd.Series([[{"label": _text(k), "value": _text(v)} for k, v in json_pairs(t)] for t in texts], dtype=object)
 
     return walk(col)

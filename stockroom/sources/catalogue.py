@@ -43,6 +43,8 @@ def _scans(spark: SparkSession, paths: list[str], fmt: str, options: dict) -> li
         try:
             return [read(paths, MERGED[fmt])]
         except Exception as error:
+            if "CONFLICTING" in str(error).upper():  # folders of different partitions
+                return [read([path], {}) for path in paths]
             if "MERGE" not in str(error).upper():
                 raise
         # a column of several types: files of one schema together, and each group becomes text by itself

@@ -211,6 +211,13 @@ def test_the_prefilter_sets_aside_only_pages_without_pairs(spark):
     assert df.where(F.col("html").rlike(pages.HOLDS)).count() < df.count()
 
 
+def test_half_surrogates_stop_no_job(spark):
+    text = '{"name": "Width \\ud800", "value": "5"}'
+    df = spark.createDataFrame([(f'<script type="application/ld+json">{text}</script>', text, "https://h/")], "html string, json string, url string")
+    got = pages.pairs_from_html(df).select("pairs", pages.pairs_from_json(F.col("json")).alias("j")).first()
+    assert [(p.label, p.value) for p in got.pairs] == [("Width ?", "5")] == [(p.label, p.value) for p in got.j]
+
+
 # cells ------------------------------------------------------------------------------------------------------
 
 
@@ -355,7 +362,7 @@ def test_a_batch_counts_once_its_entry_is_whole(spark, tmp_path):
     assert log_cache.read_cache(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_a_bucketed_cache_is_not_shuffled(spark):
+def test_a_bucketed_cache_is_not_shuffled(spark, monkeypatch):
     held_ = spark.range(5000).select(F.concat(F.lit("https://h/"), F.col("id").cast("string")).alias("url_key"), *(F.lit("1").alias(c) for c in ("height", "width", "depth")), F.lit("Resolved").alias("confidence"), *(F.lit("").alias(c) for c in ("source_url", "raw_text", "reason")), F.lit("2024-01-01").cast("timestamp").alias("fetched_at"))
     stored = cache.store_cache(held_, "bucketed_cache_test", 4)
     todo = spark.range(6000).select(F.lit("s").alias("sheet"), F.col("id").cast("int").alias("row_idx"), F.lit("LG").alias("brand"), F.lit("k").alias("sku"), F.concat(F.lit("https://h/"), F.col("id").cast("string"), F.lit("/")).alias("link"), F.col("id").alias("ord"))
@@ -366,7 +373,9 @@ def test_a_bucketed_cache_is_not_shuffled(spark):
     assert found.where("cached IS NOT NULL").count() == 5000 and found.count() == 6000
     # a run of few links takes what it asks for from the scan
     few = cache.held_for(todo.limit(10), held_)
-    assert few.count() == 10 and "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    assert few.count() == 10 and "FileScan" in few._jdf.queryExecution().executedPlan().toString() and cache.held_for(todo, held_) is not held_
+    monkeypatch.setattr(cache, "small", lambda df, **how: None)  # as if the links were too many
+    assert cache.held_for(todo, held_) is held_
     new = stored.limit(3).select("url_key", F.lit("9").alias("height"), "width", "depth", "confidence", "source_url", "raw_text", "reason", F.lit("2025-01-01").cast("timestamp").alias("fetched_at"), F.lit(1).cast("long").alias("ord"))
     both = cache.upsert_bucketed(stored, new)
     assert both.count() == 5000 and both.where("height = '9'").count() == 3
@@ -393,6 +402,9 @@ def test_many_files_of_few_schemas_are_few_scans(spark, tmp_path):
     mixed = catalogue.read_catalogues(spark, [str(tmp_path / f"p{i}") for i in range(4)])  # x is a number in one file
     assert mixed._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 3
     assert Counter(rows(mixed.select("x", "y"))) == {("0", ""): 1, ("", "1"): 1, ("2", ""): 1, ("3", ""): 1}
+    for folder in ("a/k=1", "b/j=2"):  # each its own partitions
+        spark.createDataFrame([("v",)], "x string").write.parquet(str(tmp_path / folder))
+    assert rows(catalogue.read_catalogues(spark, [str(tmp_path / "a/k=1"), str(tmp_path / "b/j=2")]).select("x")) == [("v",), ("v",)]
     (tmp_path / "empty.csv").write_text("")
     assert catalogue.read_catalogues(spark, [str(tmp_path / "empty.csv")], fmt="csv").count() == 0
 
