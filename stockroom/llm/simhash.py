@@ -135,7 +135,7 @@ def _probes(part: int, key: Column, flips: list[int]) -> Column:
 
 
 def links(distinct: DataFrame, *, k: int = 3, sample_rows: int = 2000) -> DataFrame:
-    """(a, b): the nodes of all pairs of fingerprints of ``distinct`` (fp, node; no fp twice) at 1 to ``k`` bits."""
+    """(a, b): the nodes of all pairs of fingerprints of ``distinct`` (fp, node; no fp twice) at 1 to ``k`` bits, once for each part that finds them."""
     rows = distinct.count()
     drawn = [r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(sample_rows).collect()]
     bits = np.unpackbits(np.array(drawn, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -275,55 +275,17 @@ def text_key() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
-def text_components(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, k: int = 3, views: int = 14, sample: int = 4, block_rows: int = 512, batch_rows: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(rows, roots) of ``docs`` (doc_id, text): rows has doc_id, text_key and node for each row; roots (node, root).
-
-    A node is a distinct sequence of words (A-Z in lower case); its rows may have any ids, or none. Nodes are
-    linked if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more, found among
-    two kinds of candidates: fingerprints of the whole texts at most ``k`` bits apart, by the general pigeonhole; and
-    texts with the same fingerprint in one of ``views`` samples of ``sample`` shingles. Whole fingerprints alone don't
-    reach this similarity: at 0.8 they differ in about ten bits. All texts with the same fingerprint in a view,
-    and all that a link of whole fingerprints brings together, are a bucket, and no pair in a bucket goes
-    untested unless a chain of verified links joins it already:
+def linked_in_buckets(docs: DataFrame, nodes: DataFrame, members: DataFrame, *, similarity: float, shingle: int, block_rows: int, batch_rows: int, known: DataFrame | None = None) -> DataFrame:
+    """(a, b), stored: verified links that join what is alike inside the buckets of ``members`` (view, key, key2, node; no row twice).
 
-    1. Each member is verified against two others of its bucket: the one whose buckets are the largest in sum,
-       which is the hub of a group of copies if it has one, and the smallest.
-    2. Links found make components. Where a bucket still holds several, all members outside its largest component
-       are compared with all members, in blocks of about ``block_rows`` by as many, each pair of blocks by itself.
-
-    Verification is on 64-bit hashes of all shingles of the whole texts. roots has every node.
+    ``nodes``: (node, text_key) of all texts. ``known``: (node, root) that links lead to already; nodes of one root aren't compared.
     """
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            words = [(t or "").encode().lower().split() for t in texts]
-            found = [
-                pa.array([xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
-                pa.array([simhash(t, shingle) for t in texts], pa.int64()),
-                pa.array([views_of(shingle_hashes(w, shingle), views, sample) for w in words], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *found], names=["doc_id", "text_key", "content", "fp", "views"])
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [shingle_hashes((t or "").encode().lower().split(), shingle).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(hashes, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    own = stored(keyed.mapInArrow(sketch, "doc_id long, text_key binary, content binary, fp long, views array<long>"), "sketches", batch_rows=batch_rows)
-    nodes = stored(own.groupBy("content").agg(F.first("fp").alias("fp"), F.first("views").alias("views"), F.min("text_key").alias("text_key")).withColumn("node", F.monotonically_increasing_id()), "texts")
-    rows = own.select("doc_id", "text_key", "content").join(nodes.select("content", "node"), "content").select("doc_id", "text_key", "node")
-
-    # buckets of the views, of equal whole fingerprints, and of links between those
-    distinct = stored(nodes.groupBy("fp").agg(F.min("node").alias("node")), "distinct-fingerprints")
-    near = stored(links(distinct, k=k).select("a", "b", F.explode(F.array("a", "b")).alias("head")), "fingerprint-links")
-    heads = near.join(distinct.select("fp", F.col("node").alias("head")), "head").select("fp", "a", "b")
-    of_links = heads.join(nodes.select("node", "fp"), "fp").select(F.lit(-1).alias("view"), F.col("a").alias("key"), F.col("b").alias("key2"), "node")
-    bucket = F.posexplode(F.concat("views", F.array("fp"))).alias("view", "key")
-    members = stored(nodes.select("node", bucket).select("view", "key", F.lit(0).cast("long").alias("key2"), "node").unionByName(of_links), "members")
     sums = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
     filled = members.groupBy("view", "key", "key2").agg(F.count("*").alias("n"), *sums).where("n > 1")
     # buckets with the same members count once
@@ -342,14 +304,19 @@ def text_components(docs: DataFrame, *, similarity: float = 0.8, shingle: int =
     leaders = stored(ranked.groupBy("bucket").agg(F.max_by("node", F.struct("reach", -F.col("node"))).alias("hub"), F.min("node").alias("least")), "leaders")
     led = stored(met.join(leaders, "bucket"), "led")
     tried = led.select("node", F.explode(F.array("hub", "least")).alias("leader")).where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    if known is not None:
+        mine, theirs = (known.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+        tried = tried.join(mine, "a", "left").join(theirs, "b", "left").where("NOT coalesce(ra, a) <=> coalesce(rb, b)").select("a", "b")
     left, right = (held.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
     alike = common >= similarity * (F.size("sa") + F.size("sb") - common)
     first = stored(stored(tried, "tried").join(left, "a").join(right, "b").where((F.size("sa") > 0) & alike).select("a", "b"), "verified")
-    known = components(first)
+    if known is not None:
+        first = stored(first.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links-so-far")
+    labels = components(first)
 
     # 2: what is still apart in a bucket; its leaders have met everyone
-    labelled = stored(led.where("node != hub AND node != least").join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label")), "labelled")
+    labelled = stored(led.where("node != hub AND node != least").join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label")), "labelled")
     shares = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     apart = stored(shares.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).where("n > most.n").select("bucket", "n", (F.col("n") - F.col("most.n")).alias("movers"), F.col("most.label").alias("main")), "apart")
     still = labelled.join(apart, "bucket").join(held, "node").select("bucket", "node", "label", "shingles", F.col("label") != F.col("main"), *(F.ceil(F.col(c) / block_rows).alias(f"{c}_blocks") for c in ("movers", "n"))).toDF("bucket", "node", "label", "shingles", "moves", "movers_blocks", "n_blocks")
@@ -360,7 +327,66 @@ def text_components(docs: DataFrame, *, similarity: float = 0.8, shingle: int =
     mine = still.where("moves").select("bucket", place("movers_blocks").alias("mine"), span("n_blocks").alias("theirs"), F.lit(True).alias("moves"), *plain)
     theirs = still.select("bucket", span("movers_blocks").alias("mine"), place("n_blocks").alias("theirs"), F.lit(False).alias("moves"), *plain)
     rest = stored(links_in_blocks(mine.unionByName(theirs), similarity), "verified", batch_rows=batch_rows)
-    roots = components(stored(first.unionByName(rest), "all-links"))
+    return stored(first.unionByName(rest), "all-links")
+
+
+def text_components(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, k: int = 3, views: int = 14, sample: int = 4, block_rows: int = 512, batch_rows: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(rows, roots) of ``docs`` (doc_id, text): rows has doc_id, text_key and node for each row; roots (node, root).
+
+    A node is a distinct sequence of words (A-Z in lower case); its rows may have any ids, or none. Nodes are
+    linked if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more, found among
+    two kinds of candidates: texts with the same fingerprint, of the whole or in one of ``views`` samples of ``sample``
+    shingles; and fingerprints of the whole texts at most ``k`` bits apart, by the general pigeonhole. Whole fingerprints alone don't
+    reach this similarity: at 0.8 they differ in about ten bits. All texts with the same fingerprint are a bucket, and
+    no pair in a bucket goes untested unless a chain of verified links joins it already:
+
+    1. Each member is verified against two others of its bucket: the one whose buckets are the largest in sum,
+       which is the hub of a group of copies if it has one, and the smallest.
+    2. Links found make components. Where a bucket still holds several, all members outside its largest component
+       are compared with all members, in blocks of about ``block_rows`` by as many, each pair of blocks by itself.
+
+    Then each pair of fingerprints a few bits apart is a bucket in the same way, but only where its texts are not in one
+    component by now: a dense family of copies, which has nearly as many such pairs as pairs, is joined before it gets here.
+
+    Verification is on 64-bit hashes of all shingles of the whole texts. roots has every node. Texts may be as long as memory
+    holds one; null is empty, and texts without words are one node. Empty in, empty out.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            words = [(t or "").encode().lower().split() for t in texts]
+            found = [
+                pa.array([xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
+                pa.array([simhash(t, shingle) for t in texts], pa.int64()),
+                pa.array([views_of(shingle_hashes(w, shingle), views, sample) for w in words], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *found], names=["doc_id", "text_key", "content", "fp", "views"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    own = stored(keyed.mapInArrow(sketch, "doc_id long, text_key binary, content binary, fp long, views array<long>"), "sketches", batch_rows=batch_rows)
+    nodes = stored(own.groupBy("content").agg(F.first("fp").alias("fp"), F.first("views").alias("views"), F.min("text_key").alias("text_key")).withColumn("node", F.monotonically_increasing_id()), "texts")
+    rows = own.select("doc_id", "text_key", "content").join(nodes.select("content", "node"), "content").select("doc_id", "text_key", "node")
+    how = {"similarity": similarity, "shingle": shingle, "block_rows": block_rows, "batch_rows": batch_rows}
+
+    # buckets of the views and of equal whole fingerprints
+    bucket = F.posexplode(F.concat("views", F.array("fp"))).alias("view", "key")
+    members = stored(nodes.select("node", bucket).select("view", "key", F.lit(0).cast("long").alias("key2"), "node"), "members")
+    verified = linked_in_buckets(docs, nodes, members, **how)
+    roots = components(verified)
+
+    # pairs of fingerprints whose texts are still apart; a fingerprint's texts may be of several components
+    rooted = stored(nodes.select("node", "fp").join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "rooted")
+    distinct = stored(rooted.groupBy("fp").agg(F.min("node").alias("node"), F.min("root").alias("low"), F.max("root").alias("high")), "distinct-fingerprints")
+    ends = [distinct.select(F.col("node").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ab"]
+    together = "low_a = high_a AND low_b = high_b AND low_a = low_b"
+    near = stored(links(distinct.select("fp", "node"), k=k).join(ends[0], "a").join(ends[1], "b").where(f"NOT ({together})").select("a", "b").distinct(), "fingerprint-links")
+    if not near.isEmpty():
+        heads = near.select("a", "b", F.explode(F.array("a", "b")).alias("head")).join(distinct.select("fp", F.col("node").alias("head")), "head").select("fp", "a", "b")
+        pairs = stored(heads.join(rooted.select("node", "fp"), "fp").select(F.lit(-1).alias("view"), F.col("a").alias("key"), F.col("b").alias("key2"), "node"), "members")
+        roots = components(linked_in_buckets(docs, nodes, pairs, known=roots, **how))
     return rows, nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 

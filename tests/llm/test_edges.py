@@ -86,3 +86,44 @@ def test_few_vectors_are_several_tasks(spark):
     finally:
         range_join.cheapest = before
     assert seen == [525]
+
+
+def _likeness(a: str, b: str, shingle: int) -> float:
+    x, y = ({tuple(t.split()[i : i + shingle]) for i in range(len(t.split()) - shingle + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_links_by_whole_fingerprints_alone_against_brute_force(spark):
+    """Without views, what is found are texts whose fingerprints are equal or a few bits apart, and alike."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rng.randrange(900)}" for _ in range(300)]
+        for _ in range(8):
+            again = list(words)
+            for at in rng.sample(range(300), rng.randrange(4)):
+                again[at] = f"x{rng.randrange(900)}"
+            texts.append(" ".join(again))
+    marks = [simhash.simhash(t, 5) & (1 << 64) - 1 for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:  # the smallest that links lead to
+        for i in range(len(texts)):
+            for j in range(i):
+                if (marks[i] ^ marks[j]).bit_count() <= 3 and _likeness(texts[i], texts[j], 5) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    assert 6 < len(set(root)) < len(texts)
+    got = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), views=0, block_rows=3)
+    assert dict(got.collect()) == dict(enumerate(root))
+
+
+def test_a_dense_family_is_joined_before_its_pairs_of_fingerprints(spark, monkeypatch):
+    """Copies that views have joined make no bucket for each pair of close fingerprints; a very long text takes part."""
+    words = [f"w{i * 7919 % 4001}" for i in range(4000)]
+    texts = [" ".join([*words[:at], "other", *words[at + 1 :]]) for at in range(0, 4000, 100)]
+    long = " ".join(f"v{i}" for i in range(300_000))
+    rows = list(enumerate([*texts, long, long + " end", None, ""]))
+    passes, inside = [], simhash.linked_in_buckets
+    monkeypatch.setattr(simhash, "linked_in_buckets", lambda *a, **k: passes.append(k.get("known")) or inside(*a, **k))
+    got = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {i: 0 if i < 40 else 40 if i < 42 else 42 for i in range(44)}
+    assert passes == [None]
