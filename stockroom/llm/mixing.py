@@ -44,7 +44,7 @@ def tempered_targets(cells: DataFrame, power: float = 0.9) -> DataFrame:
     long = reduce(DataFrame.unionByName, [cells.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("value")).agg(F.sum("tokens").alias("tokens")) for d in DIMENSIONS])
     grown = long.withColumn("grown", F.pow(F.col("tokens").cast("double"), F.lit(power)))
     sums = grown.groupBy("dimension").agg(F.sum("grown").alias("total"))
-    return grown.join(F.broadcast(sums), "dimension").select("dimension", "value", (F.col("grown") / F.col("total")).alias("share"))
+    return grown.join(F.broadcast(sums), "dimension").select("dimension", "value", F.coalesce(F.try_divide("grown", "total"), F.lit(0.0)).alias("share"))
 
 
 def rake(cells: DataFrame, targets: DataFrame, *, tolerance: float = 1e-9, max_rounds: int = 50) -> DataFrame:
@@ -100,7 +100,7 @@ def mixed(docs: DataFrame, *, targets: DataFrame | None = None, power: float = 0
     may be over one, and a column copies has how often it is drawn, its whole repeats and a draw for the rest.
     Probabilities are not rounded, so a document of the rarest cell keeps its chance.
     Null source or language is a value of its own, "". Repeated rows share their probability and
-    their draw. Clashing columns tokens, topic, probability, sampled and, with a budget, copies of ``docs`` are replaced.
+    their draw. Cells whose documents all have no tokens, which only a caller's ``tokens`` can give, are drawn with probability 0. Clashing columns tokens, topic, probability, sampled and, with a budget, copies of ``docs`` are replaced.
     """
     tokens = tokens_of(F.col("text")) if tokens is None else tokens
     topic = topic_of(F.col("text")) if topic is None else topic
@@ -108,9 +108,9 @@ def mixed(docs: DataFrame, *, targets: DataFrame | None = None, power: float = 0
     rows = docs.drop("probability", "sampled").withColumns({"tokens": tokens, "topic": topic})
     cells = stored(rows.groupBy(*(c.alias(d) for c, d in zip(cell, DIMENSIONS))).agg(F.sum("tokens").alias("tokens")), "cells")
     raked = rake(cells, stored(tempered_targets(cells, power), "targets") if targets is None else targets, tolerance=tolerance)
-    ratio = raked.withColumn("ratio", F.col("weight") / F.col("tokens"))
+    ratio = raked.withColumn("ratio", F.try_divide("weight", "tokens"))
     # weights sum to one, so by a budget a cell's weight is its share of the tokens to be drawn
-    top = ratio.agg(F.max("ratio") if budget is None else 1 / (budget * F.sum("tokens"))).first()[0] or 1.0
+    top = ratio.agg(F.max("ratio") if budget is None else F.try_divide(F.lit(1.0), budget * F.sum("tokens"))).first()[0] or 1.0
     chance = stored(ratio.select(F.struct(*DIMENSIONS).alias("cell"), (F.col("ratio") / top).alias("chance")), "chances")
     out = rows.join(chance, F.struct(*(c.alias(d) for c, d in zip(cell, DIMENSIONS))) == chance["cell"], "left").drop(chance["cell"]).withColumn("probability", F.coalesce(chance["chance"], F.lit(0.0))).drop(chance["chance"])
     drawn = uniform_of(F.col("doc_id"), seed)
@@ -121,8 +121,8 @@ def mixed(docs: DataFrame, *, targets: DataFrame | None = None, power: float = 0
     return out.withColumn("copies", copies).withColumn("sampled", F.col("copies") > 0)
 
 
-def oracle_sql(rounds: int = 20, power: float = 0.9, seed: str = "mix") -> str:
-    """DuckDB SQL for (doc_id, tokens, topic, probability, sampled)."""
+def oracle_sql(rounds: int = 20, power: float = 0.9, seed: str = "mix", budget: float = 0.5) -> str:
+    """DuckDB SQL for (doc_id, tokens, topic, probability, copies, sampled) of a draw of ``budget`` of all tokens."""
     steps, last = [], "cells"
     for k in range(rounds):
         for d in DIMENSIONS:
@@ -141,9 +141,9 @@ cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) A
 grown AS ({shares}),
 targets AS MATERIALIZED (SELECT dimension, value, g / sum(g) OVER (PARTITION BY dimension) AS share FROM grown),
 {", ".join(steps)},
-r AS (SELECT source, lang, topic, weight / tokens AS ratio FROM {last}),
-q AS (SELECT source, lang, topic, ratio / max(ratio) OVER () AS probability FROM r)
-SELECT doc_id, tokens, topic, round(probability, 6) AS probability,
-       CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled
-FROM d JOIN q USING (source, lang, topic)
+q AS (SELECT source, lang, topic, weight / tokens * {budget} * sum(tokens) OVER () AS probability FROM {last}),
+u AS (SELECT doc_id, tokens, topic, probability, CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 AS drawn
+      FROM d JOIN q USING (source, lang, topic)),
+c AS (SELECT *, CAST(floor(probability) + CAST(drawn < probability - floor(probability) AS INTEGER) AS INTEGER) AS copies FROM u)
+SELECT doc_id, tokens, topic, round(probability, 6) AS probability, copies, copies > 0 AS sampled FROM c
 """

@@ -11,6 +11,8 @@ from stockroom.llm import fill_middle, languages, mixing, packing, quality_model
 from stockroom.llm.scratch import new_path
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Share of all tokens that mixing draws.
+MIX_BUDGET = 0.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +47,9 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with the probability that mixing gives them, and whether they are drawn."""
+    """All documents with how often mixing expects them in a draw of half the tokens, and how often they are drawn."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mixing.mixed(docs).select("doc_id", "tokens", "topic", F.round("probability", 6).alias("probability"), "sampled")
+    return mixing.mixed(docs, budget=MIX_BUDGET).select("doc_id", "tokens", "topic", F.round("probability", 6).alias("probability"), "copies", "sampled")
 
 
 def op6_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
-    "op5_mixing": mixing.oracle_sql(),
+    "op5_mixing": mixing.oracle_sql(budget=MIX_BUDGET),
     "op10_url_lists": url_lists.ORACLE_SQL,
     "op11_fill_middle": fill_middle.ORACLE_SQL,
 }
