@@ -204,9 +204,12 @@ def test_raking(spark, docs, empty):
     drawn = mixing.mixed(docs)
     assert drawn.count() == docs.count() and drawn.agg(F.max("probability"), F.min("probability")).first()[0] == 1.0
     assert drawn.columns.count("probability") == 1 and mixing.mixed(empty).count() == 0
-    assert mixing.mixed(empty, budget=0.5).count() == 0
-    none = mixing.mixed(docs, budget=0.5, tokens=F.lit(0).cast("long"))
-    assert none.count() == docs.count() and none.agg(F.max("copies")).first()[0] == 0
+
+
+def test_documents_without_tokens_are_not_drawn(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", "en"), (1, "a b", "s", "en"), (None, None, None, None)], "doc_id long, text string, source string, lang string")
+    none = mixing.mixed(docs, budget=0.5, tokens=F.lit(0).cast("long")).select("copies", "probability").collect()
+    assert [tuple(r) for r in none] == [(0, 0.0)] * 3 and mixing.mixed(docs.limit(0), budget=0.5).count() == 0
 
 
 def test_mixing_budget_is_not_set_by_one_rare_cell(spark):
