@@ -108,28 +108,30 @@ def product_url():
     return F.coalesce(F.when(at > 0, F.get("cells", at - 1)), F.lit(""))
 
 
-def land_csv(files: DataFrame, text: str = "value", by: str = "source_path") -> DataFrame:
-    """(``by``, row_idx, cells): the rows of CSV sheets given whole, one row a file. Quoted cells may hold line ends; cells of no row are none.
+def headed_rows(files: DataFrame, text: str = "value", header_row: int = HEADER_ROW) -> DataFrame:
+    """The data rows of CSV sheets given whole, one row a file: the files' other columns, reason, row_idx, header and cells, as of ``promote_header``.
 
-    A sheet is what one person edits, so it fits a task; files are spread over tasks.
+    A file without a header row with something in it is one row with the reason. Quoted cells may hold line ends. A file
+    brings its own header, so nothing is joined or shuffled. A sheet is what one person edits, so it fits a task; files are spread over tasks.
     """
 
     @F.pandas_udf("array<array<string>>")
     def rows(texts: pd.Series) -> pd.Series:
         return pd.Series([list(csv.reader(io.StringIO((t or "").lstrip("\ufeff"), newline=""))) for t in texts], dtype=object)
 
-    return files.select(by, F.posexplode(rows(F.col(text)))).select(by, (F.col("pos") + 1).cast("long").alias("row_idx"), F.col("col").alias("cells"))
-
-
-def without_header(files: DataFrame, grid: DataFrame, header_row: int = HEADER_ROW, by: str = "source_path") -> DataFrame:
-    """The files (``by``, source_file) whose landing has no header row with something in it, and the reason."""
-    heads = grid.where((F.col("row_idx") == header_row) & F.exists("cells", lambda c: clean_cell(c) != "")).select(by)
-    return files.select(by, "source_file").join(heads, by, "left_anti").withColumn("reason", F.lit(f"no header in row {header_row}"))
-
-
-def catalogue_of(promoted: DataFrame, by: str = "source_file") -> DataFrame:
-    """The columns that routing uses, from ``promote_header``'s rows."""
-    return promoted.select(by, "row_idx", *(cell(title).alias(name) for title, name in FIELDS.items()), product_url().alias("link"))
+    clean = lambda cells: F.transform(cells, lambda c: clean_cell(c))
+    filled = lambda cells: F.exists(cells, lambda c: c != "")
+    kept = [c for c in files.columns if c != text]
+    landed = files.select(*kept, rows(F.col(text)).alias("_rows")).withColumn("header", clean(F.get("_rows", F.lit(header_row - 1))))
+    headed = F.coalesce(filled("header"), F.lit(False))
+    told = landed.select(*kept, F.when(~headed, F.lit(f"no header in row {header_row}")).alias("reason"), "header", F.posexplode_outer(F.when(headed, F.col("_rows"))).alias("_at", "cells"))
+    told = told.select(*kept, "reason", (F.col("_at") + 1).cast("long").alias("row_idx"), "header", clean("cells").alias("cells"))
+    return told.where(F.col("reason").isNotNull() | ((F.col("row_idx") > header_row) & filled("cells")))
+
+
+def catalogue_of(promoted: DataFrame, *kept: str) -> DataFrame:
+    """The columns that routing uses, from ``promote_header``'s rows, after those to be kept (by default source_file)."""
+    return promoted.select(*(kept or ("source_file",)), "row_idx", *(cell(title).alias(name) for title, name in FIELDS.items()), product_url().alias("link"))
 
 
 def write_catalogue(mapped: DataFrame, unmapped: DataFrame, path: str) -> None:

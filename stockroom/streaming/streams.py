@@ -8,8 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stockroom.operators.cache import RESULT
 from stockroom.operators.rules import classify
-from stockroom.sources.catalogue import catalogue_of, land_csv, promote_header, without_header
-from stockroom.sources.shared import stored
+from stockroom.sources.catalogue import catalogue_of, headed_rows
 from stockroom.streaming import log_cache
 from stockroom.streaming.log_cache import CACHE_SCHEMA, read_cache
 
@@ -25,21 +24,26 @@ def classify_stream(spark: SparkSession, source: str, schema: str, sink: str, ch
 def catalogue_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, *, files_per_batch: int = 100, rules: list | None = None, overrides: list | None = None) -> StreamingQuery:
     """Classifies CSV sheets as they land under ``source``, each with its own banner and header row.
 
-    A file comes whole in one batch, so its header is in the batch, keyed by its path. Rows go to ``sink``/rows (source_path,
+    A file comes whole in one batch and brings its own header. Rows go to ``sink``/rows (source_path,
     source_file, row_idx, the routing columns, link, sheet, block, reason), files without a header row to ``sink``/set_aside (source_path,
     source_file, reason). Each batch has a folder of its own that a repeated batch replaces: nothing is lost or doubled.
+
+    A batch is two jobs without a shuffle, the second of which reads what the first has parsed and kept: its cost beside its rows is
+    what a trigger and two writes cost.
     """
     sheets = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(source)
-    given = sheets.select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("source_file"))
+    given = headed_rows(sheets.select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("source_file")))
+    routed = classify(catalogue_of(given.withColumnRenamed("reason", "_aside"), "source_path", "source_file", "_aside"), rules, overrides)
 
     def route(batch: DataFrame, number: int) -> None:
-        grid = stored(land_csv(batch), "landed")
-        aside = stored(without_header(batch, grid), "set-aside")
-        rows = catalogue_of(promote_header(grid.join(aside, "source_path", "left_anti"), by="source_path"), "source_path")
-        classify(rows.join(batch.select("source_path", "source_file"), "source_path"), rules, overrides).write.mode("overwrite").parquet(f"{sink}/rows/batch={number}")
-        aside.write.mode("overwrite").parquet(f"{sink}/set_aside/batch={number}")
-
-    return given.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.persist()
+        try:
+            batch.where("_aside IS NULL").drop("_aside").write.mode("overwrite").parquet(f"{sink}/rows/batch={number}")
+            batch.where("_aside IS NOT NULL").select("source_path", "source_file", F.col("_aside").alias("reason")).write.mode("overwrite").parquet(f"{sink}/set_aside/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return routed.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def cache_stream(results: DataFrame, path: str, checkpoint: str, *, compact: bool = True) -> StreamingQuery:

@@ -429,6 +429,19 @@ def test_sheets_as_they_arrive_equal_the_batch(spark, tmp_path):
     assert sorted(rows(spark.read.parquet(f"{sink}/set_aside").select("source_file", "reason"))) == [("c.csv", "no header in row 4"), ("d.csv", "no header in row 4")]
 
 
+def test_a_batch_of_sheets_is_two_jobs(spark, tmp_path):
+    source, sink = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for i in range(3):
+        head = "" if i == 1 else "Brand,Product Group,Subcategory,Model / SKU,Product Name,Product URL"
+        (source / f"{i}.csv").write_text(f'Master\n"two\nlines"\n\n{head}\nLG,Cooking,Steam Oven,k{i},n,u\n\n,,\n')
+    stream = streams.catalogue_stream(spark, str(source), sink, str(tmp_path / "c"), files_per_batch=1)
+    stream.awaitTermination()
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(stream.runId))) <= 3 * 2
+    assert sorted(rows(spark.read.parquet(f"{sink}/rows").select("source_file", "row_idx", "sku", "sheet"))) == [("0.csv", 5, "k0", "Ovens"), ("2.csv", 5, "k2", "Ovens")]
+    assert rows(spark.read.parquet(f"{sink}/set_aside").select("source_file", "reason")) == [("1.csv", "no header in row 4")]
+
+
 @pytest.mark.parametrize("name", ["a3_large_and_tiny", "a8_unmapped_order", "a9_write_results", "b3_many_rules", "c2_lookup_bucketed", "c5_captures", "e3_sparse_positions", "e7_upsert_bucketed", "f10_whole_words", "f10_cavities", "h7_enrich_recrawled", "s1_catalogue_stream"])
 def test_new_oracles(spark, name):
     from test_catalogue import test_oracles
