@@ -35,33 +35,34 @@ def fetch_outcome(status: Column, error: Column) -> Column:
     )
 
 
-def latest_captures(crawl: DataFrame, as_of: Column | None = None, *, good_first: bool = False) -> DataFrame:
-    """(url, outcome, html): of each URL's captures the last one at or before ``as_of``, or the last one of all.
+def latest_captures(crawl: DataFrame, as_of: Column | None = None, *, good_first: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(``by``, url, outcome, html): of each URL's captures the last one at or before ``as_of``, or the last one of all.
 
     ``crawl``: url, status, error, html, and fetched_at if there are several runs; captures without a time come before all others.
     Of captures of one moment one that succeeded is taken before one that failed; what is still even, by content, so that equal captures are one.
+    ``by``: columns that tell what a capture is of where that isn't its URL alone; each is a URL of its own then.
     ``good_first``: an earlier success is taken before a later failure. A partial aggregate: a URL captured a million times is no hot key.
     """
     at = F.col("fetched_at").cast("timestamp") if "fetched_at" in crawl.columns else F.lit(None).cast("timestamp")
-    taken = crawl.select("url", fetch_outcome(F.col("status"), F.col("error")).alias("outcome"), "html", at.alias("_at"))
+    taken = crawl.select(*by, "url", fetch_outcome(F.col("status"), F.col("error")).alias("outcome"), "html", at.alias("_at"))
     if as_of is not None:
         taken = taken.where(F.col("_at").isNull() | (F.col("_at") <= as_of))
     good = F.col("outcome").isNull()
     order = F.struct(*([good.alias("kept")] if good_first else []), F.col("_at").alias("at"), good.alias("good"), F.coalesce("outcome", F.lit("")).alias("why"), F.length("html").alias("n"), F.xxhash64("html").alias("content"))
-    return taken.groupBy("url").agg(F.max_by(F.struct("outcome", "html"), order).alias("c")).select("url", "c.*")
+    return taken.groupBy(*by, "url").agg(F.max_by(F.struct("outcome", "html"), order).alias("c")).select(*by, "url", "c.*")
 
 
-def attach_pages(worklist: DataFrame, crawl: DataFrame, as_of: Column | None = None, *, good_first: bool = False) -> DataFrame:
+def attach_pages(worklist: DataFrame, crawl: DataFrame, as_of: Column | None = None, *, good_first: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """The work list with outcome and html of each link, a row for each of its rows; a link that wasn't crawled has failed.
 
-    ``crawl``, ``as_of`` and ``good_first``: as of ``latest_captures``. Where the links are few enough to broadcast, captures that nobody
+    ``crawl``, ``as_of``, ``good_first`` and ``by`` (columns of both that are joined beside the link): as of ``latest_captures``. Where the links are few enough to broadcast, captures that nobody
     asked for stay at the scan. Beyond that all are compared, as far as possible before they are shuffled, and joined by that
     same key: a page is shuffled once.
     """
     links = small(worklist.select(F.col("link").alias("url")).distinct(), or_none=True)
-    crawled = latest_captures(crawl if links is None else crawl.join(links, "url", "left_semi"), as_of, good_first=good_first).select(F.col("url").alias("link"), F.col("outcome").alias("_outcome"), "html", F.lit(True).alias("_seen"))
+    crawled = latest_captures(crawl if links is None else crawl.join(links, "url", "left_semi"), as_of, good_first=good_first, by=by).select(*by, F.col("url").alias("link"), F.col("outcome").alias("_outcome"), "html", F.lit(True).alias("_seen"))
     seen = F.coalesce("_seen", F.lit(False))
-    return worklist.join(crawled, "link", "left").withColumn("outcome", F.when(seen, F.col("_outcome")).otherwise(F.lit(V.FETCH_FAILED))).drop("_outcome", "_seen")
+    return worklist.join(crawled, [*by, "link"], "left").select(*worklist.columns, "html", "_outcome", "_seen").withColumn("outcome", F.when(seen, F.col("_outcome")).otherwise(F.lit(V.FETCH_FAILED))).drop("_outcome", "_seen")
 
 
 def route_brand(rows: DataFrame, brand: str = "brand", link: str = "link") -> DataFrame:

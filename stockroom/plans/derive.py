@@ -39,6 +39,9 @@ CRAWL = """
 SELECT url, CASE page_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 403 WHEN 3 THEN 429 WHEN 4 THEN 404 END AS status,
   CASE WHEN page_id % 6 = 5 THEN 'timeout' ELSE '' END AS error, html FROM pages"""
 
+#: The same with the page that each capture is of: several pages may have one address.
+PAGE_CRAWL = CRAWL.replace("SELECT url,", "SELECT page_id, url,")
+
 CAPTURES = """
 SELECT page_id, url, k, CASE (page_id + k) % 4 WHEN 0 THEN 200 WHEN 1 THEN 500 WHEN 2 THEN 200 ELSE 404 END AS status, '' AS error, concat(html, CASE k WHEN 0 THEN '' WHEN 1 THEN 'x' ELSE 'xx' END) AS html,
   CAST(CASE k WHEN 0 THEN '2024-04-01 00:00:00' WHEN 1 THEN '2024-05-01 00:00:00' ELSE CASE page_id % 3 WHEN 0 THEN '2024-05-01 00:00:00' WHEN 1 THEN '2024-05-20 00:00:00' ELSE '2024-07-01 00:00:00' END END AS TIMESTAMP) AS fetched_at

@@ -442,6 +442,19 @@ def test_a_batch_of_sheets_is_two_jobs(spark, tmp_path):
     assert rows(spark.read.parquet(f"{sink}/set_aside").select("source_file", "reason")) == [("1.csv", "no header in row 4")]
 
 
+def test_pages_of_one_address_keep_their_own_captures(spark, tmp_path):
+    # the address of 1 (fetched), 2 (refused) and 7 (not crawled) is the same
+    given = [(1, "u", "a"), (2, "u", "bb"), (7, "u", "ccc"), (3, "v", "d")]
+    spark.createDataFrame(given, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(rows(queries.QUERIES["c5_attach_pages"](spark, str(tmp_path))))
+    import duckdb
+
+    want = duckdb.sql(queries.ORACLES["c5_attach_pages"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert got == sorted(want) == [(1, "u", None, 1), (2, "u", "access refused (HTTP 403)", 2), (3, "v", "access refused (HTTP 429)", 1), (7, "u", "fetch failed", None)]
+    by_url = spark.createDataFrame([(u, 200, "", h) for _, u, h in given], "url string, status int, error string, html string")
+    assert enrich.attach_pages(spark.createDataFrame([(1, "u"), (2, "u")], "page_id long, link string"), by_url).select("html").distinct().count() == 1
+
+
 @pytest.mark.parametrize("name", ["a3_large_and_tiny", "a8_unmapped_order", "a9_write_results", "b3_many_rules", "c2_lookup_bucketed", "c5_captures", "e3_sparse_positions", "e7_upsert_bucketed", "f10_whole_words", "f10_cavities", "h7_enrich_recrawled", "s1_catalogue_stream"])
 def test_new_oracles(spark, name):
     from test_catalogue import test_oracles
