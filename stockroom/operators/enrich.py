@@ -12,7 +12,7 @@ from stockroom.functions.clean import brand_key
 from stockroom.functions.dimensions import dimension_result, is_dim_label, pairs_from_text
 from stockroom.operators.cache import fetch_worklist, has_link, held_for, new_cache_rows, one_result, replay_results, upsert_cache
 from stockroom.operators.pages import pairs_from_html
-from stockroom.sources.shared import small, stored
+from stockroom.sources.shared import SMALL_ROWS, stored
 
 RESULT_TYPE = "struct<height:string,width:string,depth:string,confidence:string,source_url:string,raw_text:string,reason:string>"
 
@@ -52,15 +52,30 @@ def latest_captures(crawl: DataFrame, as_of: Column | None = None, *, good_first
     return taken.groupBy(*by, "url").agg(F.max_by(F.struct("outcome", "html"), order).alias("c")).select(*by, "url", "c.*")
 
 
+#: Links whose hashes may be broadcast, 8 bytes each.
+HASHED_ROWS = 1_000_000
+
+
+def asked_for(crawl: DataFrame, links: DataFrame) -> DataFrame:
+    """The captures of some links (url), and few others: by the links, or by their hashes where they are too many; all beyond ``HASHED_ROWS``."""
+    wanted = links.distinct()
+    n = wanted.limit(HASHED_ROWS + 1).count()
+    if n <= SMALL_ROWS:
+        return crawl.join(F.broadcast(wanted), "url", "left_semi")
+    if n <= HASHED_ROWS:
+        hashes = links.select(F.xxhash64("url").alias("_hash")).distinct()
+        return crawl.withColumn("_hash", F.xxhash64("url")).join(F.broadcast(hashes), "_hash", "left_semi").drop("_hash")
+    return crawl
+
+
 def attach_pages(worklist: DataFrame, crawl: DataFrame, as_of: Column | None = None, *, good_first: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """The work list with outcome and html of each link, a row for each of its rows; a link that wasn't crawled has failed.
 
-    ``crawl``, ``as_of``, ``good_first`` and ``by`` (columns of both that are joined beside the link): as of ``latest_captures``. Where the links are few enough to broadcast, captures that nobody
-    asked for stay at the scan. Beyond that all are compared, as far as possible before they are shuffled, and joined by that
+    ``crawl``, ``as_of``, ``good_first`` and ``by`` (columns of both that are joined beside the link): as of ``latest_captures``. Where the links or their hashes are few enough to broadcast
+    (``asked_for``), captures that nobody asked for stay at the scan. Beyond that all are compared, as far as possible before they are shuffled, and joined by that
     same key: a page is shuffled once.
     """
-    links = small(worklist.select(F.col("link").alias("url")).distinct(), or_none=True)
-    crawled = latest_captures(crawl if links is None else crawl.join(links, "url", "left_semi"), as_of, good_first=good_first, by=by).select(*by, F.col("url").alias("link"), F.col("outcome").alias("_outcome"), "html", F.lit(True).alias("_seen"))
+    crawled = latest_captures(asked_for(crawl, worklist.select(F.col("link").alias("url"))), as_of, good_first=good_first, by=by).select(*by, F.col("url").alias("link"), F.col("outcome").alias("_outcome"), "html", F.lit(True).alias("_seen"))
     seen = F.coalesce("_seen", F.lit(False))
     return worklist.join(crawled, [*by, "link"], "left").select(*worklist.columns, "html", "_outcome", "_seen").withColumn("outcome", F.when(seen, F.col("_outcome")).otherwise(F.lit(V.FETCH_FAILED))).drop("_outcome", "_seen")
 

@@ -57,9 +57,12 @@ FROM ({CATALOGUE}) c"""
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A derived table; ``sql`` names tables of ``sf_dir``."""
+    """A derived table; ``sql`` names tables of ``sf_dir``. Rows of part are dealt out: few bytes in a file or two, and much work each."""
     names = [t for t in ("part", "events", "pages") if f"FROM {t}" in sql]
     text = sql.replace("{", "{{").replace("}", "}}")
     for t in names:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names})
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
+    if "part" in tables:
+        tables["part"] = tables["part"].repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(text, **tables)

@@ -96,17 +96,18 @@ def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crawl_by_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url, status, error, html) for the links of rows as they are written, with and without a slash."""
-    made = html_pages(spark, sf_dir).drop("page_key")
-    return made.unionByName(made.withColumn("url", F.concat("url", F.lit("/"))))
+    # one evaluation of the pages: both addresses come from a row, not from a union of two
+    return html_pages(spark, sf_dir).drop("page_key").withColumn("url", F.explode(F.array("url", F.concat("url", F.lit("/")))))
 
 
 def recrawl_by_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``crawl_by_link`` as captures: each twice before the run, one that failed before these, and another page after the run."""
-    made, at = crawl_by_link(spark, sf_dir), lambda day: F.lit(f"{day} 00:00:00").cast("timestamp")
-    counted = made.withColumn("fetched_at", at("2024-05-01"))
-    failed = made.withColumns({"status": F.lit(500), "error": F.lit(""), "fetched_at": at("2024-04-01")})
-    later = made.withColumns({"status": F.lit(200), "error": F.lit(""), "html": F.lit("<table><tr><td>Net dimension (WxHxD)<td>1 2 3</table>"), "fetched_at": at("2024-07-01")})
-    return counted.unionByName(counted).unionByName(failed).unionByName(later)
+    at = lambda day: F.lit(f"{day} 00:00:00").cast("timestamp")
+    own = lambda day: F.struct("status", "error", "html", at(day).alias("fetched_at"))
+    other = lambda status, html, day: F.struct(F.lit(status).alias("status"), F.lit("").alias("error"), html.alias("html"), at(day).alias("fetched_at"))
+    later = F.lit("<table><tr><td>Net dimension (WxHxD)<td>1 2 3</table>")
+    captures = F.array(own("2024-05-01"), own("2024-05-01"), other(500, F.col("html"), "2024-04-01"), other(200, later, "2024-07-01"))
+    return crawl_by_link(spark, sf_dir).select("url", F.explode(captures).alias("c")).select("url", "c.*")
 
 
 #: Rows to a sheet of ``csv_sheets``; every so many of them one has no header.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stockroom.functions import clean
 from stockroom.operators import cache, enrich, layout, pages, rules
-from stockroom.plans import queries
+from stockroom.plans import derive, inputs, queries
 from stockroom.sources import catalogue
 from stockroom.streaming import log_cache, streams
 
@@ -455,6 +455,33 @@ def test_pages_of_one_address_keep_their_own_captures(spark, tmp_path):
     assert enrich.attach_pages(spark.createDataFrame([(1, "u"), (2, "u")], "page_id long, link string"), by_url).select("html").distinct().count() == 1
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_captures_come_from_one_evaluation_of_the_pages(spark):
+    for made, times in ((inputs.crawl_by_link(spark, SF), 2), (inputs.recrawl_by_link(spark, SF), 8)):
+        assert plan_of(made).count("collect_list(") == 1
+        assert made.count() == times * inputs.html_pages(spark, SF).count()
+    kinds = inputs.recrawl_by_link(spark, SF).where("url = 'https://shop.example.com/p/3/'").select(F.date_format("fetched_at", "MM-dd"), "status", "error", F.col("html").startswith("<html>"))
+    assert Counter(rows(kinds)) == {("05-01", 403, "", True): 2, ("04-01", 500, "", True): 1, ("07-01", 200, "", False): 1}
+
+
+def test_many_links_leave_captures_at_the_scan_by_their_hashes(spark, monkeypatch):
+    crawl = spark.range(50).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.lit(200).alias("status"), F.lit("").alias("error"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("html"))
+    work = spark.createDataFrame([("u3",), ("u3",), ("u7",), ("none",), (None,)], "link string")
+    want = Counter([("u3", None, "h3")] * 2 + [("u7", None, "h7"), ("none", "fetch failed", None), (None, "fetch failed", None)])
+    for small, hashed, left in ((100, 100, 2), (1, 100, 2), (1, 1, 50)):
+        monkeypatch.setattr(enrich, "SMALL_ROWS", small)
+        monkeypatch.setattr(enrich, "HASHED_ROWS", hashed)
+        assert enrich.asked_for(crawl, work.select(F.col("link").alias("url"))).count() == left
+        assert Counter(rows(enrich.attach_pages(work, crawl).select("link", "outcome", "html"))) == want
+
+
+def test_rows_of_part_are_dealt_out(spark):
+    assert derive.derived(spark, SF, derive.CATALOGUE).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("name", ["a3_large_and_tiny", "a8_unmapped_order", "a9_write_results", "b3_many_rules", "c2_lookup_bucketed", "c5_captures", "e3_sparse_positions", "e7_upsert_bucketed", "f10_whole_words", "f10_cavities", "h7_enrich_recrawled", "s1_catalogue_stream"])
 def test_new_oracles(spark, name):
     from test_catalogue import test_oracles
