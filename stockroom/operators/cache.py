@@ -112,7 +112,8 @@ def upsert_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
     """The cache with new rows (as the cache, and ord): for each url_key the latest, then the highest ord."""
     columns = ["url_key", *RESULT, "fetched_at"]
     both = cache.select(*columns, F.lit(-1).cast("long").alias("ord")).unionByName(new.select(*columns, "ord"))
-    last = both.groupBy("url_key").agg(F.max_by(F.struct(*columns[1:]), F.struct("fetched_at", "ord")).alias("r"))
+    # rows are sorted by what they are grouped by: a hash tells keys apart at once, where addresses of one shop begin alike
+    last = both.groupBy(F.xxhash64("url_key").alias("_hash"), "url_key").agg(F.max_by(F.struct(*columns[1:]), F.struct("fetched_at", "ord")).alias("r"))
     return last.select("url_key", "r.*")
 
 

@@ -12,7 +12,7 @@ from stockroom.functions.clean import brand_key
 from stockroom.functions.dimensions import dimension_result, is_dim_label, pairs_from_text
 from stockroom.operators.cache import fetch_worklist, has_link, held_for, new_cache_rows, one_result, replay_results, upsert_cache
 from stockroom.operators.pages import pairs_from_html
-from stockroom.sources.shared import SMALL_ROWS, stored
+from stockroom.sources.shared import SMALL_ROWS, dealt, stored
 
 RESULT_TYPE = "struct<height:string,width:string,depth:string,confidence:string,source_url:string,raw_text:string,reason:string>"
 
@@ -73,8 +73,9 @@ def attach_pages(worklist: DataFrame, crawl: DataFrame, as_of: Column | None = N
 
     ``crawl``, ``as_of``, ``good_first`` and ``by`` (columns of both that are joined beside the link): as of ``latest_captures``. Where the links or their hashes are few enough to broadcast
     (``asked_for``), captures that nobody asked for stay at the scan. Beyond that all are compared, as far as possible before they are shuffled, and joined by that
-    same key: a page is shuffled once.
+    same key: a page is shuffled once. The work list, few bytes to much work, is dealt out first: where its pages are broadcast, its tasks are those that parse them.
     """
+    worklist = dealt(worklist)
     crawled = latest_captures(asked_for(crawl, worklist.select(F.col("link").alias("url"))), as_of, good_first=good_first, by=by).select(*by, F.col("url").alias("link"), F.col("outcome").alias("_outcome"), "html", F.lit(True).alias("_seen"))
     seen = F.coalesce("_seen", F.lit(False))
     return worklist.join(crawled, [*by, "link"], "left").select(*worklist.columns, "html", "_outcome", "_seen").withColumn("outcome", F.when(seen, F.col("_outcome")).otherwise(F.lit(V.FETCH_FAILED))).drop("_outcome", "_seen")

@@ -7,6 +7,8 @@ the order of the ranges, say where a range's rows of a block begin. So a block o
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,13 +22,20 @@ from stockroom.sources.shared import small, stored
 LANE = 1 << 16
 
 
-def ranged(mapped: DataFrame, lane: int | None = None) -> DataFrame:
+class Laid(NamedTuple):
+    """What the places of rows and the listing are made from: ``ranged`` rows and their ``parts_of``, both stored."""
+
+    rows: DataFrame
+    parts: DataFrame
+
+
+def ranged(mapped: DataFrame, lane: int | None = None, *, held: bool = False) -> DataFrame:
     """The rows with _part, the range of row_seq that they are in, and _at, their place in it by sheet, block and row_seq; stored.
 
     The rows are evaluated once and stored: the ranges' bounds and what follows are read from that. ``lane``: about how many rows
-    to a range; by default as Spark sizes its partitions.
+    to a range; by default as Spark sizes its partitions. ``held``: the rows come from a stored table, and aren't stored before they are dealt.
     """
-    mapped = stored(mapped, "mapped")
+    mapped = mapped if held else stored(mapped, "mapped")
     ranges = () if lane is None else (max(1, -(-mapped.count() // lane)),)
     dealt = mapped.repartitionByRange(*ranges, "row_seq").sortWithinPartitions("sheet", "block", "row_seq").withColumn("_p", F.monotonically_increasing_id())
     return stored(dealt.select(*mapped.columns, F.shiftright("_p", 33).cast("int").alias("_part"), F.col("_p").bitwiseAND((1 << 33) - 1).alias("_at")), "ranged")
@@ -68,17 +77,30 @@ def placed(rows: DataFrame, parts: DataFrame, starts: DataFrame) -> DataFrame:
     return rows.join(small(offsets, counted=parts), ["sheet", "block", "_part"]).select(*kept, (F.col("_offset") + F.col("_at")).cast("long").alias("row_idx"))
 
 
+def laid_out(mapped: DataFrame, lane: int | None = None, *, held: bool = False) -> Laid:
+    """The layout of mapped rows, for ``positions`` and ``grid``: who needs both lays the rows out once. ``lane`` and ``held``: as of ``ranged``."""
+    rows = ranged(mapped, lane, held=held)
+    return Laid(rows, parts_of(rows))
+
+
+def positions(laid: Laid) -> DataFrame:
+    """The rows with row_idx, their place in the sheet; equal row_seq may take each other's place."""
+    return placed(laid.rows, laid.parts, block_starts(laid.rows, laid.parts))
+
+
 def layout_positions(mapped: DataFrame, lane: int | None = None) -> DataFrame:
-    """Mapped rows with row_idx, their place in the sheet; equal row_seq may take each other's place. ``lane``: as of ``ranged``."""
-    rows = ranged(mapped, lane)
-    parts = parts_of(rows)
-    return placed(rows, parts, block_starts(rows, parts))
+    """``positions`` of mapped rows. ``lane``: as of ``ranged``."""
+    return positions(laid_out(mapped, lane))
 
 
 def sheet_grid(mapped: DataFrame) -> DataFrame:
+    """``grid`` of mapped rows."""
+    return grid(laid_out(mapped))
+
+
+def grid(laid: Laid) -> DataFrame:
     """(sheet, row_idx, c1..c8): the listing of each sheet, with labels, headers, rows and blank separators."""
-    placed_rows = ranged(mapped)
-    parts = parts_of(placed_rows)
+    placed_rows, parts = laid
     starts = stored(block_starts(placed_rows, parts), "starts")
     empty = [F.lit("").alias(f"c{i}") for i in range(1, 9)]
     last = F.max("block_ord").over(W.partitionBy("sheet"))

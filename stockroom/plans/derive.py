@@ -56,13 +56,17 @@ SELECT source_file, CAST(row_number() OVER (PARTITION BY source_file ORDER BY ro
 FROM ({CATALOGUE}) c"""
 
 
-def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A derived table; ``sql`` names tables of ``sf_dir``. Rows of part are dealt out: few bytes in a file or two, and much work each."""
+def derived(spark: SparkSession, sf_dir: str, sql: str, by: str | None = None) -> DataFrame:
+    """A derived table; ``sql`` names tables of ``sf_dir``. Rows of part are dealt out: few bytes in a file or two, and much work each.
+
+    ``by``: a column of part that they are dealt out by, to as many tasks as a shuffle has. What is grouped by it later isn't shuffled again.
+    """
     names = [t for t in ("part", "events", "pages") if f"FROM {t}" in sql]
     text = sql.replace("{", "{{").replace("}", "}}")
     for t in names:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
     if "part" in tables:
-        tables["part"] = tables["part"].repartition(spark.sparkContext.defaultParallelism)
+        cores = spark.sparkContext.defaultParallelism
+        tables["part"] = tables["part"].repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), by) if by else tables["part"].repartition(cores)
     return spark.sql(text, **tables)

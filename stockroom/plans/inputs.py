@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from stockroom.functions import fixed_values as V
 from stockroom.operators.cache import upsert_cache
-from stockroom.operators.layout import blank_rows_of, layout_positions
+from stockroom.operators.layout import Laid, blank_rows_of, laid_out, positions
 from stockroom.operators.rules import classify, mapped
 from stockroom.plans import derive
+from stockroom.sources.shared import stored
 
 RUN_TIME = "2024-06-01 00:00:00"
 
@@ -23,7 +24,12 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapped(classified(spark, sf_dir))
+    """The mapped rows of the catalogue. What the rules say is stored: a filter on it goes down to the scan, ahead of the dealing out of rows, and computes it once more."""
+    return mapped(stored(classified(spark, sf_dir).select("row_seq", "brand", "sku", "link", "sheet", "block"), "classified"))
+
+
+def laid(spark: SparkSession, sf_dir: str) -> Laid:
+    return laid_out(mapped_rows(spark, sf_dir), held=True)
 
 
 def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +43,9 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.unionByName(heads).unionByName(banner)
 
 
-def rows_to_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blank rows with ord: by sheet order, then by row."""
-    blank = blank_rows_of(layout_positions(mapped_rows(spark, sf_dir)))
+def rows_to_enrich(spark: SparkSession, sf_dir: str, of: Laid | None = None) -> DataFrame:
+    """Blank rows with ord: by sheet order, then by row. ``of``: the layout of the rows, if it is at hand."""
+    blank = blank_rows_of(positions(laid(spark, sf_dir) if of is None else of))
     place = F.array_position(F.array(*map(F.lit, V.SHEETS)), F.col("sheet"))
     return blank.withColumn("ord", place * 1_000_000_000_000 + F.col("row_idx"))
 
@@ -61,9 +67,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_key, pairs): the pairs of each page in order, four at most."""
     of = F.array_sort(F.collect_list(F.struct("seq", "label", "value")))
-    # a number of partitions keeps them apart: a page's pairs are few bytes and much work
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    got = pairs(spark, sf_dir).repartition(parts, "page_key").groupBy("page_key").agg(of.alias("p"))
+    # rows of part are dealt out by their keys, so a page's pairs come from one task: only part is shuffled
+    got = derive.derived(spark, sf_dir, derive.PAIRS, by="p_partkey").groupBy("page_key").agg(of.alias("p"))
     return got.select("page_key", F.transform("p", lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value"))).alias("pairs"))
 
 

@@ -65,6 +65,12 @@ def spread_out(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly, to a task for each core or shuffle partition: for few bytes in few files that cost much work."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def stored(df: DataFrame, name: str, *, batch_rows: int | None = None, dear: bool = False) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again. ``dear``: its rows cost much work (``spread_out``)."""
     spark = df.sparkSession

@@ -494,3 +494,24 @@ def test_new_oracles(spark, name):
     from test_catalogue import test_oracles
 
     test_oracles(spark, name)
+
+
+def test_pairs_of_a_page_are_not_shuffled(spark):
+    plan = inputs.paired(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # rows of part are dealt out by their keys, and that is all (three exchanges before)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(p_partkey" in plan
+
+
+def test_rules_are_not_computed_by_a_filter_on_them(spark):
+    mapped = inputs.mapped_rows(spark, SF)
+    assert "RLIKE" not in plan_of(mapped)
+    want = rules.mapped(inputs.classified(spark, SF))
+    assert mapped.columns == want.columns and Counter(rows(mapped)) == Counter(rows(want))
+
+
+def test_few_rows_are_parsed_by_many_tasks(spark):
+    work = spark.range(40).coalesce(1).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("link"))
+    crawl = work.select(F.col("link").alias("url"), F.lit(200).alias("status"), F.lit("").alias("error"), F.lit("h").alias("html"))
+    # its pages are broadcast: the tasks are those of the work list, one before
+    tasks = enrich.attach_pages(work, F.broadcast(crawl)).withColumn("task", F.spark_partition_id())
+    assert tasks.select("task").distinct().count() == spark.sparkContext.defaultParallelism
