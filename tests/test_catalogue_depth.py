@@ -442,6 +442,53 @@ def test_a_batch_of_sheets_is_two_jobs(spark, tmp_path):
     assert rows(spark.read.parquet(f"{sink}/set_aside").select("source_file", "reason")) == [("1.csv", "no header in row 4")]
 
 
+def test_streams_side_by_side_equal_one(spark, tmp_path):
+    head, sink = "Brand,Product Group,Subcategory,Model / SKU,Product Name,Product URL", str(tmp_path / "out")
+
+    def put(i):
+        (tmp_path / "in" / f"number={i}").mkdir(parents=True)
+        (tmp_path / "in" / f"number={i}" / "s.csv").write_text(f'Master\n"two\nlines"\n\n{"" if i % 4 == 1 else head}\nLG,Cooking,Steam Oven,k{i},n,u\n')
+
+    def run():
+        lanes = {name: str(tmp_path / "in" / f"number=*[{digits}]") for name, digits in (("even", "02468"), ("odd", "13579"))}
+        streams.await_all(streams.catalogue_streams(spark, lanes, sink, str(tmp_path / "c"), files_per_batch=7))
+        kept, aside = spark.read.parquet(f"{sink}/rows").select("sku", "sheet"), spark.read.parquet(f"{sink}/set_aside").select("reason")
+        return Counter(rows(kept)), Counter(rows(aside))
+
+    want = lambda n: (Counter((f"k{i}", "Ovens") for i in range(n) if i % 4 != 1), Counter({("no header in row 4",): len([i for i in range(n) if i % 4 == 1])}))
+    for i in range(14):
+        put(i)
+    assert run() == want(14)
+    # seven small sheets are one task and one file
+    assert {f.name: len(list(f.glob("batch=*/*.parquet"))) for f in (tmp_path / "out" / "rows").iterdir()} == {"lane=even": 1, "lane=odd": 1}
+    put(14)
+    put(15)
+    assert run() == run() == want(16)
+
+
+def test_a_stream_that_fails_stops_the_others(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        for i in range(3):
+            (tmp_path / name / f"{i}.csv").write_text("one line\n")
+    (tmp_path / "out" / "rows").mkdir(parents=True)
+    (tmp_path / "out" / "rows" / "lane=a").write_text("in the way")
+    started = streams.catalogue_streams(spark, {n: str(tmp_path / n) for n in ("a", "b")}, str(tmp_path / "out"), str(tmp_path / "c"), files_per_batch=1)
+    with pytest.raises(Exception, match="lane=a"):
+        streams.await_all(started)
+    assert not any(s.isActive for s in started)
+
+
+def test_sheets_of_the_catalogue_go_through_streams_side_by_side(spark, tmp_path, monkeypatch):
+    spark.range(2000).selectExpr("id p_partkey", "concat('n', id) p_name").write.parquet(str(tmp_path / "part.parquet"))
+    seen, start = [], streams.catalogue_stream
+    monkeypatch.setattr(streams, "catalogue_stream", lambda *a, **b: seen.append(start(*a, **b)) or seen[-1])
+    assert queries.QUERIES["s1_catalogue_stream"](spark, str(tmp_path)).count() == 1600 + 4
+    files = [sum(p.numInputRows for p in s.recentProgress) for s in seen]
+    assert sum(files) == 20 and max(files) == 2  # 20 sheets: three batches one after another in one stream
+    assert max(p.numInputRows for s in seen for p in s.recentProgress) <= 7
+
+
 def test_pages_of_one_address_keep_their_own_captures(spark, tmp_path):
     # the address of 1 (fetched), 2 (refused) and 7 (not crawled) is the same
     given = [(1, "u", "a"), (2, "u", "bb"), (7, "u", "ccc"), (3, "v", "d")]
