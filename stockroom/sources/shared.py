@@ -65,6 +65,18 @@ def spread_out(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def listed_by_cores(spark: SparkSession) -> Iterator[None]:
+    """While this holds, many folders are listed by a task for each core, not one for each folder: for folders of a file or two, where a task costs more than its list."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """``df`` dealt out evenly, to a task for each core or shuffle partition: for few bytes in few files that cost much work."""
     spark = df.sparkSession

@@ -11,10 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from stockroom.operators.cache import RESULT
 from stockroom.operators.rules import classify
 from stockroom.sources.catalogue import catalogue_of, headed_rows
+from stockroom.sources.shared import listed_by_cores
 from stockroom.streaming import log_cache
 from stockroom.streaming.log_cache import CACHE_SCHEMA, read_cache
 
-__all__ = ["CACHE_SCHEMA", "await_all", "cache_stream", "catalogue_stream", "catalogue_streams", "classify_stream", "read_cache"]
+__all__ = ["CACHE_SCHEMA", "cache_stream", "catalogue_stream", "classify_stream", "read_cache", "run_catalogue_streams"]
 
 #: Sheets to a task: what one person edits is parsed in less time than a task and its file take.
 SHEETS_PER_TASK = 8
@@ -32,7 +33,7 @@ def catalogue_stream(spark: SparkSession, source: str, sink: str, checkpoint: st
     A file comes whole in one batch and brings its own header. Rows go to ``sink``/rows (source_path,
     source_file, row_idx, the routing columns, link, sheet, block, reason), files without a header row to ``sink``/set_aside (source_path,
     source_file, reason). Each batch has a folder of its own that a repeated batch replaces: nothing is lost or doubled.
-    ``lane``: a name that tells the folders of several streams into one sink apart (``catalogue_streams``).
+    ``lane``: a name that tells the folders of several streams into one sink apart (``run_catalogue_streams``).
 
     A batch is two jobs without a shuffle, the second of which reads what the first has parsed and kept: its cost beside its rows is
     what a trigger and two writes cost. ``SHEETS_PER_TASK`` sheets share a task and its file.
@@ -54,23 +55,24 @@ def catalogue_stream(spark: SparkSession, source: str, sink: str, checkpoint: st
     return routed.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def catalogue_streams(spark: SparkSession, sources: dict[str, str], sink: str, checkpoint: str, **how) -> list[StreamingQuery]:
-    """``catalogue_stream`` over each of ``sources``, all at once into one sink; they are folders, or patterns of folders, that share no file.
+def run_catalogue_streams(spark: SparkSession, sources: dict[str, str], sink: str, checkpoint: str, **how) -> list[StreamingQuery]:
+    """Runs ``catalogue_stream`` over each of ``sources``, all at once into one sink, until all is taken in; they are folders, or patterns of folders, that share no file.
 
     A small batch mostly waits: for its logs, its plan and its writes. Streams side by side wait at the same time, each for batches of ``files_per_batch``.
-    ``sources`` have names, which name their checkpoints and folders: a name keeps its files from run to run.
+    ``sources`` have names, which name their checkpoints and folders: a name keeps its files from run to run. If a stream fails, the others are
+    stopped; their checkpoints say where they go on.
     """
-    return [catalogue_stream(spark, source, sink, f"{checkpoint}/{lane}", lane=lane, **how) for lane, source in sources.items()]
-
-
-def await_all(streams: list[StreamingQuery]) -> None:
-    """Waits until every stream is done. If one fails, the others are stopped; their checkpoints say where they go on."""
-    try:
-        for stream in streams:
-            stream.awaitTermination()
-    finally:
-        for stream in streams:
-            stream.stop()
+    started = []
+    with listed_by_cores(spark):  # when a stream is made, and again when it begins
+        try:
+            for lane, source in sources.items():
+                started.append(catalogue_stream(spark, source, sink, f"{checkpoint}/{lane}", lane=lane, **how))
+            for stream in started:
+                stream.awaitTermination()
+        finally:
+            for stream in started:
+                stream.stop()
+    return started
 
 
 def cache_stream(results: DataFrame, path: str, checkpoint: str, *, compact: bool = True) -> StreamingQuery:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stockroom.functions import clean
 from stockroom.operators import cache, enrich, layout, pages, rules
 from stockroom.plans import derive, inputs, queries
-from stockroom.sources import catalogue
+from stockroom.sources import catalogue, shared
 from stockroom.streaming import log_cache, streams
 
 SF = "/root/testdata/sf0.001"
@@ -451,7 +451,7 @@ def test_streams_side_by_side_equal_one(spark, tmp_path):
 
     def run():
         lanes = {name: str(tmp_path / "in" / f"number=*[{digits}]") for name, digits in (("even", "02468"), ("odd", "13579"))}
-        streams.await_all(streams.catalogue_streams(spark, lanes, sink, str(tmp_path / "c"), files_per_batch=7))
+        streams.run_catalogue_streams(spark, lanes, sink, str(tmp_path / "c"), files_per_batch=7)
         kept, aside = spark.read.parquet(f"{sink}/rows").select("sku", "sheet"), spark.read.parquet(f"{sink}/set_aside").select("reason")
         return Counter(rows(kept)), Counter(rows(aside))
 
@@ -466,17 +466,33 @@ def test_streams_side_by_side_equal_one(spark, tmp_path):
     assert run() == run() == want(16)
 
 
-def test_a_stream_that_fails_stops_the_others(spark, tmp_path):
+def test_a_stream_that_fails_stops_the_others(spark, tmp_path, monkeypatch):
     for name in ("a", "b"):
         (tmp_path / name).mkdir()
         for i in range(3):
             (tmp_path / name / f"{i}.csv").write_text("one line\n")
     (tmp_path / "out" / "rows").mkdir(parents=True)
     (tmp_path / "out" / "rows" / "lane=a").write_text("in the way")
-    started = streams.catalogue_streams(spark, {n: str(tmp_path / n) for n in ("a", "b")}, str(tmp_path / "out"), str(tmp_path / "c"), files_per_batch=1)
+    seen, start = [], streams.catalogue_stream
+    monkeypatch.setattr(streams, "catalogue_stream", lambda *a, **b: seen.append(start(*a, **b)) or seen[-1])
     with pytest.raises(Exception, match="lane=a"):
-        streams.await_all(started)
-    assert not any(s.isActive for s in started)
+        streams.run_catalogue_streams(spark, {n: str(tmp_path / n) for n in ("a", "b")}, str(tmp_path / "out"), str(tmp_path / "c"), files_per_batch=1)
+    assert len(seen) == 2 and not any(s.isActive for s in seen)
+
+
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    sc, key = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    for i in range(40):
+        (tmp_path / f"number={i}").mkdir()
+        (tmp_path / f"number={i}" / "s.csv").write_text("x")
+    before = spark.conf.get(key)
+    with shared.listed_by_cores(spark):
+        sc.setJobGroup("list-few", "")
+        assert spark.read.text(str(tmp_path / "number=*")).count() == 40
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    first = min(sc.statusTracker().getJobIdsForGroup("list-few"))
+    assert [sc.statusTracker().getStageInfo(s).numTasks for s in sc.statusTracker().getJobInfo(first).stageIds] == [sc.defaultParallelism]
+    assert spark.conf.get(key) == before
 
 
 def test_sheets_of_the_catalogue_go_through_streams_side_by_side(spark, tmp_path, monkeypatch):
